@@ -221,7 +221,7 @@ def human_size(size: Column) -> Column:
     scale = F.pow(F.lit(1024), step).cast("long")
     whole = size % scale == 0
     number = F.when(whole, int_div(size, scale).cast("string")).otherwise(
-        F.format_string("%.1f", size / scale)
+        F.format_string("%.1f", F.bround(size / scale, 1))
     )
     return F.concat(number, F.lit(" "), unit)
 

@@ -28,8 +28,9 @@ def quantiles(
     groups = list(groups)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value)
     counts = counts.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = Scan(counts, groups, [value], chunked=True).add(RunningSum("_hi", F.col("_n"))).df
-    sizes = ranked.groupBy(*groups).agg(F.max("_hi").alias("n"))
+    scan = Scan(counts, groups, [value], chunked=True)
+    sizes = scan.df.groupBy(*groups).agg(F.sum("_n").alias("n"))
+    ranked = scan.add(RunningSum("_hi", F.col("_n"))).df
     rows = _with_group(ranked, sizes, groups).withColumn("_lo", F.col("_hi") - F.col("_n"))
     n = F.col("n")
 
@@ -62,9 +63,9 @@ def cdf(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     groups = list(groups)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value)
     counts = counts.agg(F.count(F.lit(1)).alias("n_here"))
-    ranked = Scan(counts, groups, [value], chunked=True)
-    ranked = ranked.add(RunningSum("n_upto", F.col("n_here"))).df
-    sizes = ranked.groupBy(*groups).agg(F.max("n_upto").alias("n"))
+    scan = Scan(counts, groups, [value], chunked=True)
+    sizes = scan.df.groupBy(*groups).agg(F.sum("n_here").alias("n"))
+    ranked = scan.add(RunningSum("n_upto", F.col("n_here"))).df
     return _with_group(ranked, sizes, groups).withColumn("share", F.col("n_upto") / F.col("n"))
 
 
@@ -83,8 +84,8 @@ def ks_distance(df: DataFrame, by: Sequence[str], arm: str, value: str, arms: tu
     a, b = (F.count(F.when(F.col(arm) == x, 1)) for x in arms)
     counts = df.groupBy(*by, value).agg(a.alias("_a"), b.alias("_b"))
     scan = Scan(counts, by, [value], chunked=True)
+    sizes = scan.df.groupBy(*by).agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
     rows = scan.add(RunningSum("_ca", F.col("_a")), RunningSum("_cb", F.col("_b"))).df
-    sizes = rows.groupBy(*by).agg(F.max("_ca").alias("_na"), F.max("_cb").alias("_nb"))
     if by:
         rows = rows.join(sizes, by)
     else:

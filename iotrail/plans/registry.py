@@ -41,9 +41,10 @@ def compose(sql: str | None, views: str) -> str | None:
         return None
     ctes = ", ".join(f"{v} AS ({VIEW_SQL[v]})" for v in views.split())
     body = sql.strip()
+    plain = body.upper().startswith("SELECT")
     if not ctes:
-        return body
-    joint = " " if body.upper().startswith("SELECT") else ", "
+        return body if plain else f"WITH {body}"
+    joint = " " if plain else ", "
     return f"WITH {ctes}{joint}{body}"
 
 
