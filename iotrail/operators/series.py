@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from iotrail.functions.scalar import ceil_div, int_div, time_bucket
@@ -147,8 +147,6 @@ def robust_limit(req: DataFrame) -> float:
 
 def top_ranked(df: DataFrame, order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of ``order`` (which must end in a key), with their rank."""
-    from pyspark.sql import Window
-
     best = df.orderBy(*order).limit(k)
     return best.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 

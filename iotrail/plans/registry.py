@@ -41,7 +41,7 @@ def compose(sql: str | None, views: str) -> str | None:
         return None
     ctes = ", ".join(f"{v} AS ({VIEW_SQL[v]})" for v in views.split())
     body = sql.strip()
-    plain = body.upper().startswith("SELECT")
+    plain = body.upper().startswith(("SELECT", "WITH"))
     if not ctes:
         return body if plain else f"WITH {body}"
     joint = " " if plain else ", "
