@@ -129,28 +129,36 @@ def intent_summary(events: DataFrame, order: Sequence[str] = ("ts_ns", "event_id
 def fork_tree(edges: DataFrame) -> DataFrame:
     """Root and depth of every process from (parent_pid, child_pid) edges.
 
-    Every process points at an ancestor, and each round replaces it by that
-    ancestor's ancestor, so a tree of depth d takes log2(d) joins. Processes
-    whose ancestor is a root are set aside; roots were running before the trace.
+    Every open process points at an ancestor; each round replaces it by what
+    that ancestor points at, so a tree of depth d takes about log2(d) joins.
+    A process whose ancestor is finished is finished too. Roots were running
+    before the trace.
     """
-    nodes = edges.select(F.col("child_pid").alias("pid"), F.col("parent_pid").alias("up"))
-    nodes = pin(nodes.withColumn("depth", F.lit(1).cast("long")))
-    roots = edges.select(F.col("parent_pid").alias("pid")).distinct()
-    roots = roots.join(nodes.select("pid"), "pid", "left_anti")
-    done = roots.select("pid", F.col("pid").alias("root"), F.lit(0).cast("long").alias("depth"))
-    while True:
-        target = nodes.select(
-            F.col("pid").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d")
+    todo = pin(
+        edges.select(
+            F.col("child_pid").alias("pid"),
+            F.col("parent_pid").alias("up"),
+            F.lit(1).cast("long").alias("depth"),
         )
-        step = pin(nodes.join(target, "up", "left"))
-        final = step.filter("_up IS NULL").select("pid", F.col("up").alias("root"), "depth")
-        open_nodes = step.filter("_up IS NOT NULL")
-        done = done.unionByName(final)
-        if open_nodes.isEmpty():
+    )
+    roots = todo.select(F.col("up").alias("pid")).distinct()
+    roots = roots.join(todo.select("pid"), "pid", "left_anti")
+    zero = F.lit(0).cast("long").alias("depth")
+    done = pin(roots.select("pid", F.col("pid").alias("root"), zero))
+    for _ in range(64):
+        ends = done.select(
+            F.col("pid").alias("up"), F.col("root").alias("_up"), F.col("depth").alias("_d"), F.lit(True).alias("_end")
+        )
+        ways = todo.select(
+            F.col("pid").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.lit(False).alias("_end")
+        )
+        joined = todo.join(ends.unionByName(ways), "up")
+        step = pin(joined.select("pid", "_up", (F.col("depth") + F.col("_d")).alias("depth"), "_end"))
+        done = done.unionByName(step.filter("_end").select("pid", F.col("_up").alias("root"), "depth"))
+        todo = step.filter("NOT _end").select("pid", F.col("_up").alias("up"), "depth")
+        if todo.isEmpty():
             return done
-        moved = open_nodes.select("pid", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"))
-        # Finished ancestors still have to be found by the rows that point at them.
-        nodes = pin(moved.unionByName(final.select("pid", F.col("root").alias("up"), "depth")))
+    raise ValueError("the fork edges form a cycle")
 
 
 def basename(path: Column) -> Column:
