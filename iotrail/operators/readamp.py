@@ -109,7 +109,7 @@ def device_io(requests: DataFrame, geometry: DataFrame) -> DataFrame:
     """
     first = F.substring("rwbs", 1, 1)
     rows = requests.filter(first.isin("R", "W")).withColumn("is_write", first == "W")
-    rows = rows.join(F.broadcast(geometry.select("dev", "iu")), "dev", "left")
+    rows = rows.join(geometry.select("dev", "iu"), "dev", "left")
     rows = rows.withColumn("_iu", F.when(F.col("iu") > 0, charged_bytes(F.col("sector"), F.col("bytes"), F.col("iu"))))
     ios, b = F.count(F.lit(1)), F.sum("bytes")
     sub = count_if(F.col("bytes") < F.col("iu"))
