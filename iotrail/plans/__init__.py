@@ -9,10 +9,11 @@ from iotrail.plans import (
     parsing,
     projection,
     readamp,
+    streams,
     syscalls,
 )
 from iotrail.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
 
-_ = (blocks, counters, fidelity, objects, pages, parsing, projection, readamp, syscalls)
+_ = (blocks, counters, fidelity, objects, pages, parsing, projection, readamp, streams, syscalls)
