@@ -23,6 +23,8 @@ BUCKET_NS = 21_600_000_000_000
 BUCKET_S = BUCKET_NS / 1e9
 MIB = 1048576.0
 IU, NPWG, AWUN = 8, 16, 32
+# A power of two keeps bin widths, and so the split bytes, exact.
+ADDRESS_BINS = 128
 
 
 def r6(column, digits: int = 6):
@@ -521,9 +523,9 @@ def block_address_histogram(t: Tables) -> DataFrame:
 EXTENT_SQL = f"""
 ends AS (SELECT *, sector + nblocks e FROM req),
 md AS (SELECT quantile_cont(e, 0.5) med FROM ends),
-lim AS (SELECT max(e) FILTER (e <= med * 8) / 100 w FROM ends, md),
-pl AS (SELECT ends.*, w, CAST(greatest(least(floor(sector / w), 99), 0) AS BIGINT) f,
-              CAST(greatest(least(ceil(e / w) - 1, 99), 0) AS BIGINT) l FROM ends, lim),
+lim AS (SELECT max(e) FILTER (e <= med * 8) / 128 w FROM ends, md),
+pl AS (SELECT ends.*, w, CAST(greatest(least(floor(sector / w), 127), 0) AS BIGINT) f,
+              CAST(greatest(least(ceil(e / w) - 1, 127), 0) AS BIGINT) l FROM ends, lim),
 un AS (SELECT *, unnest(range(f, l + 1)) bin FROM pl),
 ov AS (SELECT *, least(e, (bin + 1) * w) - greatest(sector, bin * w) ov FROM un),
 bb AS (SELECT *, CASE WHEN f = l THEN nblocks ELSE ov END * {LBS} bytes FROM ov WHERE f = l OR ov > 0),
@@ -546,7 +548,7 @@ def address_extent_bins(t: Tables) -> DataFrame:
 
 
 def _extent_bins(t: Tables) -> DataFrame:
-    placed = series.extent_bins(t.req, 100, LBS, series.robust_limit(t.req))
+    placed = series.extent_bins(t.req, ADDRESS_BINS, LBS, series.robust_limit(t.req))
     bins = B.address_bins(placed)
     return bins.withColumns({c: r6(F.col(c), 1) for c in ("total_bytes", "write_bytes", "read_bytes")})
 
@@ -560,8 +562,8 @@ def _extent_bins(t: Tables) -> DataFrame:
     "req",
 )
 def address_start_bins(t: Tables) -> DataFrame:
-    width = series.robust_limit(t.req) / 100
-    at = F.greatest(F.least(F.floor(F.col("sector") / width), F.lit(99)), F.lit(0)).cast("long")
+    width = series.robust_limit(t.req) / ADDRESS_BINS
+    at = F.greatest(F.least(F.floor(F.col("sector") / width), F.lit(ADDRESS_BINS - 1)), F.lit(0)).cast("long")
     return t.req.groupBy(at.alias("bin")).agg(
         F.count(F.lit(1)).alias("io_count"), F.sum(F.col("nblocks") * LBS).alias("total_bytes")
     )
@@ -571,14 +573,14 @@ def address_start_bins(t: Tables) -> DataFrame:
     "address_extent_lost_bytes",
     "X5",
     EXTENT_SQL
-    + f"""SELECT round((SELECT CAST(sum(nblocks) * {LBS} AS DOUBLE) FROM req) - sum(bytes), 0) lost_bytes
+    + f"""SELECT round((SELECT CAST(sum(nblocks) * {LBS} AS DOUBLE) FROM req) - sum(bytes), 0) + 0.0 lost_bytes
          FROM bb""",
     "req",
 )
 def address_extent_lost_bytes(t: Tables) -> DataFrame:
-    placed = series.extent_bins(t.req, 100, LBS, series.robust_limit(t.req))
+    placed = series.extent_bins(t.req, ADDRESS_BINS, LBS, series.robust_limit(t.req))
     total = t.req.agg(F.sum(F.col("nblocks") * LBS)).first()[0]
-    return placed.agg(F.round(F.lit(float(total)) - F.sum("bin_bytes"), 0).alias("lost_bytes"))
+    return placed.agg((F.round(F.lit(float(total)) - F.sum("bin_bytes"), 0) + 0.0).alias("lost_bytes"))
 
 
 @query(

@@ -9,7 +9,7 @@ from iotrail.functions.stats import pearson
 from iotrail.operators import fidelity as X
 from iotrail.operators import reconcile as R
 from iotrail.plans.blocks import BUCKET_NS, BUCKET_S, LBS, LIFE_SQL, r6, rounded
-from iotrail.plans.registry import Tables, query
+from iotrail.plans.registry import REGISTRY, Tables, query
 from iotrail.sinks import replay_log
 
 SPAN_SQL = f"""
@@ -202,14 +202,47 @@ def fidelity_address_score(t: Tables) -> DataFrame:
     return profile.agg(r6(corr).alias("lba_freq_corr"))
 
 
-@query("fidelity_metrics", "D8")
+def _flat(name: str, columns: list[str]) -> str:
+    parts = (f"SELECT '{c}' metric, CAST({c} AS DOUBLE) AS value FROM ({REGISTRY[name].sql})" for c in columns)
+    return " UNION ALL ".join(parts)
+
+
+def _stems(name: str, stem: str) -> str:
+    parts = (
+        f"SELECT {stem} || '_{k}' metric, round({k}, 6) AS value FROM ({REGISTRY[name].sql})" for k in ("ks", "jsd")
+    )
+    return " UNION ALL ".join(parts)
+
+
+METRICS_SQL = " UNION ALL ".join(
+    [
+        _flat("fidelity_rate_scores", ["q_rate_corr_read", "q_rate_corr_write", "q_rate_smape"]),
+        _flat("fidelity_throughput_scores", ["mbps_corr", "mbps_smape", "iops_corr", "iops_smape"]),
+        _flat("fidelity_depth_scores", ["qd_corr", "qd_smape"]),
+        _flat("fidelity_address_score", ["lba_freq_corr"]),
+        _stems("fidelity_size_distances", "'size_' || class"),
+        _stems("fidelity_latency_distances", "'lat_' || grp"),
+    ]
+)
+
+
+@query("fidelity_metrics", "D8 K4", METRICS_SQL)
 def fidelity_metrics(t: Tables) -> DataFrame:
     return rounded(X.metrics(t.arms, BUCKET_NS, LBS, 64))
 
 
-@query("fidelity_score", "D9")
+@query(
+    "fidelity_score",
+    "D9",
+    f"""WITH m AS ({METRICS_SQL}),
+      s AS (SELECT avg(value) FILTER (metric LIKE '%corr%') correlation, 1 - avg(value) FILTER (metric LIKE '%smape%') one_minus_smape,
+                   1 - avg(value) FILTER (metric LIKE '%\\_ks%' ESCAPE '\\') one_minus_ks FROM m),
+      o AS (SELECT *, (correlation + one_minus_smape + one_minus_ks) / 3 overall FROM s)
+      SELECT round(correlation, 4) correlation, round(one_minus_smape, 4) one_minus_smape, round(one_minus_ks, 4) one_minus_ks, round(overall, 4) overall,
+             CASE WHEN overall > 0.95 THEN 'EXCELLENT' WHEN overall > 0.9 THEN 'GOOD' WHEN overall > 0.8 THEN 'FAIR' ELSE 'POOR' END grade FROM o""",
+)
 def fidelity_score(t: Tables) -> DataFrame:
-    return rounded(X.score(X.metrics(t.arms, BUCKET_NS, LBS, 64)))
+    return rounded(X.score(X.metrics(t.arms, BUCKET_NS, LBS, 64)), 4)
 
 
 STREAM_SQL = "st AS (SELECT cmd.*, CASE tid % 5 WHEN 0 THEN 'file' WHEN 1 THEN 'device' ELSE 'capture' END stream FROM cmd)"

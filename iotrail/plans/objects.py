@@ -96,7 +96,7 @@ def command_shown_durations(t: Tables) -> DataFrame:
 
 @query(
     "command_report",
-    "A49 U1",
+    "A49 U1 K4",
     PAIR_SQL
     + f"""SELECT op_name, count(*) n, count(dur_ns) n_real, CAST(sum(bytes) AS BIGINT) bytes,
        max(ts_ns + coalesce(dur_ns, 0)) - min(ts_ns) wall_ns, round(count(dur_ns) / count(*), 9) real_cover,
@@ -646,7 +646,7 @@ def object_key_fields(t: Tables) -> DataFrame:
 
 @query(
     "commands_in_trace_range",
-    "F3 F5",
+    "F3 F5 K8",
     """SELECT op_name, count(*) n, CAST(sum(bytes) AS BIGINT) bytes FROM cmd
        WHERE tid BETWEEN (SELECT min(tid) FROM cmd) + 100 AND (SELECT max(tid) FROM cmd) - 100
          AND ts_ns BETWEEN (SELECT min(ts_ns) FROM cmd) AND (SELECT max(ts_ns) FROM cmd) - 31536000000000000

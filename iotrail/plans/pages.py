@@ -318,7 +318,15 @@ def page_byte_diff(t: Tables) -> DataFrame:
     return diff.groupBy("doc_id").agg(F.sum("changed_bytes").alias("changed_bytes"))
 
 
-@query("page_word_diff", "A72 A71")
+@query(
+    "page_word_diff",
+    "A72 A71",
+    """b AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') h FROM documents),
+      x AS (SELECT doc_id, unnest(h) c, generate_subscripts(h, 1) - 1 i FROM b),
+      w AS (SELECT doc_id, i // 4096 page_idx, i // 8 wd, count(*) n FROM x WHERE c = '65' GROUP BY ALL)
+      SELECT doc_id, CAST(page_idx AS INTEGER) page_idx, CAST(sum(n) AS BIGINT) changed_bytes, count(*) * 8 word_bytes, CAST(max(n) AS INTEGER) busiest_block
+      FROM w GROUP BY doc_id, page_idx""",
+)
 def page_word_diff(t: Tables) -> DataFrame:
     """Changed bytes, changed 8-byte words and the busiest sub-block of every page."""
     diff = G.page_diff(_texts(t), ["doc_id", "page_idx"], 8)

@@ -105,7 +105,9 @@ def paired(
                 state.update((opened,))
                 due = (opened + timeout_ns) // 1_000_000
                 state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        columns = list(zip(*out, strict=True)) or [()] * (len(keys) + 3)
+        if not out:
+            return
+        columns = list(zip(*out, strict=True))
         frame = {n: list(c) for n, c in zip([*keys, "outcome"], columns, strict=False)}
         for name, values in zip(("start_ns", "end_ns"), columns[-2:], strict=True):
             # Nullable integers: a float column would lose nanoseconds.
