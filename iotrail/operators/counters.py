@@ -49,14 +49,25 @@ def live_summary(rates: DataFrame) -> DataFrame:
     )
 
 
-def rolling(series: DataFrame, key: str, order: Sequence[str], value: str, window: int) -> DataFrame:
+def rolling(
+    series: DataFrame, key: str, order: Sequence[str], value: str, window: int, stretch: int = 100_000
+) -> DataFrame:
     """Mean, maximum and minimum over the last ``window`` samples of a device.
 
-    Samples come at most a few times per second, so one device's series fits a task.
+    The samples of a device are numbered and cut into stretches. The last
+    samples of a stretch are repeated at the head of the next one, so that each
+    stretch is a window partition of its own and no task holds a whole series.
     """
-    rows = Window.partitionBy(key).orderBy(*order).rowsBetween(-(window - 1), 0)
+    numbered = Scan(series, [key], order).add(RunningSum("_rn", F.lit(1))).df
+    number = F.col("_rn") - 1
+    home = F.floor(number / stretch)
+    tail = number % stretch >= stretch - (window - 1)
+    places = F.when(tail, F.array(home, home + 1)).otherwise(F.array(home))
+    rows = numbered.withColumns({"_home": home, "_at": F.explode(places)})
+    near = Window.partitionBy(key, "_at").orderBy("_rn").rowsBetween(-(window - 1), 0)
     fns = {"mean": F.avg, "max": F.max, "min": F.min}
-    return series.select("*", *[f(value).over(rows).alias(f"roll_{n}") for n, f in fns.items()])
+    out = rows.select("*", *[f(value).over(near).alias(f"roll_{n}") for n, f in fns.items()])
+    return out.filter(F.col("_at") == F.col("_home")).drop("_rn", "_home", "_at")
 
 
 def decimated(series: DataFrame, keys: Sequence[str], order: Sequence[str], step: int) -> DataFrame:

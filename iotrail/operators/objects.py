@@ -217,10 +217,22 @@ def object_report(obj: DataFrame, cmd: DataFrame, by: Sequence[str] = ("op",)) -
             "pre_ns": F.col("first_cmd") - F.col("ts_start_ns"),
         }
     )
-    spans = quantiles(rows, by, "span_ns", {"span_p50": 0.5, "span_p99": 0.99}, nearest=True)
     speed = quantiles(rows, by, "mbps", {"mbps_p50": 0.5}, nearest=True).drop("n")
-    pre = quantiles(rows, by, "pre_ns", {"presubmit_p50": 0.5}, nearest=True).drop("n")
-    return spans.join(speed, by, "left").join(pre, by, "left")
+    # Both integer measures share one pass.
+    pairs = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("v")) for k in ("span_ns", "pre_ns")]
+    long = rows.select(*by, F.explode(F.array(*pairs)).alias("p")).select(*by, "p.*")
+    both = quantiles(long, [*by, "kind"], "v", {"p50": 0.5, "p99": 0.99}, nearest=True)
+
+    def of(kind: str, column: str, name: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col(column))).alias(name)
+
+    times = both.groupBy(*by).agg(
+        of("span_ns", "n", "n"),
+        of("span_ns", "p50", "span_p50"),
+        of("span_ns", "p99", "span_p99"),
+        of("pre_ns", "p50", "presubmit_p50"),
+    )
+    return times.join(speed, by, "left")
 
 
 def submission_gaps(cmd: DataFrame, order: Sequence[str], min_cmds: int = 4) -> DataFrame:
@@ -233,7 +245,8 @@ def submission_gaps(cmd: DataFrame, order: Sequence[str], min_cmds: int = 4) ->
     kinds = sizes.filter(F.col("_n") >= min_cmds).select(
         "tid", F.when(F.col("_first") == "read", "load").otherwise("store").alias("kind")
     )
-    scan = Scan(cmd, ["tid"], ["ts_ns", *order]).add(Previous("_prev", F.col("ts_ns")))
+    slim = cmd.select(*dict.fromkeys(["tid", "ts_ns", *order]))
+    scan = Scan(slim, ["tid"], ["ts_ns", *order]).add(Previous("_prev", F.col("ts_ns")))
     rows = scan.df.join(kinds, "tid").filter("_prev IS NOT NULL")
     return rows.select("tid", "kind", (F.col("ts_ns") - F.col("_prev")).alias("gap_ns"))
 
@@ -257,7 +270,8 @@ def serialization(gaps: DataFrame, latency: DataFrame) -> DataFrame:
 
 def batches(cmd: DataFrame, order: Sequence[str], gap_ns: int, keys: Sequence[str] = ()) -> DataFrame:
     """Size of each run of submissions without a gap above ``gap_ns``."""
-    scan = Scan(cmd, keys, ["ts_ns", *order]).add(Previous("_prev", F.col("ts_ns")))
+    slim = cmd.select(*dict.fromkeys([*keys, "ts_ns", *order]))
+    scan = Scan(slim, keys, ["ts_ns", *order]).add(Previous("_prev", F.col("ts_ns")))
     opens = F.col("_prev").isNull() | (F.col("ts_ns") - F.col("_prev") > gap_ns)
     scan.add(RunningSum("batch", F.when(opens, 1).otherwise(0)))
     return scan.df.groupBy(*keys, "batch").agg(
@@ -268,6 +282,7 @@ def batches(cmd: DataFrame, order: Sequence[str], gap_ns: int, keys: Sequence[st
 def write_locality(cmd: DataFrame, order: Sequence[str], block_bytes: int) -> DataFrame:
     """Reuse of write addresses and share of sequential writes."""
     writes = cmd.filter("op_name = 'write'")
+    writes = writes.select(*dict.fromkeys(["ts_ns", *order, "slba", "bytes"]))
     last = F.struct("slba", "bytes")
     rows = Scan(writes, [], ["ts_ns", *order]).add(Previous("_p", last)).df
     seq = F.col("slba") == F.col("_p.slba") + int_div(F.col("_p.bytes"), block_bytes)
@@ -281,7 +296,7 @@ def write_locality(cmd: DataFrame, order: Sequence[str], block_bytes: int) -> Da
 
 def interleaving(cmd: DataFrame, order: Sequence[str]) -> DataFrame:
     """How often consecutive reads belong to different objects."""
-    reads = cmd.filter("op_name = 'read'")
+    reads = cmd.filter("op_name = 'read'").select(*dict.fromkeys(["ts_ns", *order, "tid"]))
     rows = Scan(reads, [], ["ts_ns", *order]).add(Previous("_p", F.col("tid"))).df
     same = count_if(F.col("_p") == F.col("tid"))
     other = count_if(F.col("_p") != F.col("tid"))

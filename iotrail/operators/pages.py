@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from iotrail.functions.scalar import int_div, page_letter, page_state
@@ -150,9 +150,9 @@ def largest_file_mapping(vma: DataFrame) -> DataFrame:
         F.max_by("start_addr", F.struct(size, -F.col("start_addr"))).alias("start_addr"),
         F.max(size).alias("vma_bytes"),
     )
-    # Few files per process; the path settles ties.
-    rank = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("total"), "pathname"))
-    return per_file.withColumn("_r", rank).filter("_r = 1").drop("_r")
+    # The path settles ties.
+    best = F.min_by(F.struct("pathname", "total", "start_addr", "vma_bytes"), F.struct(-F.col("total"), "pathname"))
+    return per_file.groupBy("pid").agg(best.alias("b")).select("pid", "b.*")
 
 
 def binary_pages(contents: DataFrame, key: str, value: str) -> DataFrame:

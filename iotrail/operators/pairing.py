@@ -167,7 +167,8 @@ def latest_pairs(
     scan.add(Previous("_was", F.col("_depth")))
     level = F.when(opens, F.col("_depth")).otherwise(F.coalesce(F.col("_was"), F.lit(0)))
     leveled = scan.df.withColumn("_level", level).filter("_level > 0")
-    pairs = Scan(leveled, [key, "_level"], order, chunked)
+    # A level is part of a key, so it needs no measuring of its own.
+    pairs = Scan(leveled, [key, "_level"], order, scan.chunked)
     closing = F.when(F.col("_side") == 1, F.col(ts))
     rows = pairs.add(Following("_closed", closing)).df.filter("_side = 0")
     return rows.select("_row.*", (F.col("_closed") - F.col(ts)).alias("dur_ns"))

@@ -48,7 +48,7 @@ def completed_faults(events: DataFrame, order: Sequence[str]) -> DataFrame:
     opens = entering & (F.col("_p").isNull() | (F.col("_p") == "exit"))
     kept = prev.df.filter(opens | ~entering)
     data = F.struct("phase", "dev", "ino", "pgoff", "write")
-    rows = Scan(kept, keys, order).add(Previous("_in", data)).df
+    rows = Scan(kept, keys, order, prev.chunked).add(Previous("_in", data)).df
     ends = rows.filter((F.col("phase") == "exit") & (F.col("_in.phase") == "enter"))
     good = ends.filter(fault_kept(F.col("flags"), F.col("ret")))
     return good.select(

@@ -50,7 +50,7 @@ def queue_depth(
         }
     )
     delta, reads = F.col("delta"), F.col("is_read")
-    scan = Scan(events, keys, order).add(
+    scan = Scan(events.select(*dict.fromkeys([*keys, *order])), keys, order).add(
         Clamped("qd", delta),
         Clamped("qd_read", F.when(reads, delta).otherwise(0)),
         Clamped("qd_write", F.when(reads, 0).otherwise(delta)),

@@ -113,7 +113,7 @@ def intent_summary(events: DataFrame, order: Sequence[str] = ("ts_ns", "event_id
     rows = rows.withColumn("direction", way).filter("direction IS NOT NULL")
     placed = name.isin("pread64", "pwrite64")
     end = F.when(placed, F.col("file_offset") + F.col("size"))
-    second = Scan(rows, ["pid", "fd", "epoch", "direction"], order)
+    second = Scan(rows, ["pid", "fd", "epoch", "direction"], order, scan.chunked)
     rows = second.add(LastSeen("expected", end, exclusive=True)).df
     known = placed & (F.col("expected") > 0)
     return rows.groupBy("direction").agg(

@@ -41,25 +41,27 @@ def groups(line: Column, pattern: str, n: int, anywhere: bool = False) -> Column
     """The n groups of a pattern as an array, null where the line does not match.
 
     The pattern starts at the beginning of the line, or anywhere in it. Groups
-    that did not take part are empty strings.
+    that did not take part are empty strings. The line is matched once: the
+    split result is bound as the element of a one-row array and tested there.
     """
     # Lines never hold the separator: it is taken out first.
     clean = F.translate(line, SEP, "")
     marks = SEP.join(f"${i}" for i in range(1, n + 1))
     lead = "^.*?" if anywhere else "^"
     parts = F.split(F.regexp_replace(clean, f"(?s){lead}{pattern}.*$", marks + SEP), SEP)
-    return F.when(F.size(parts) == n + 1, parts)
+    return F.get(F.filter(F.array(parts), lambda p: F.size(p) == n + 1), F.lit(0))
 
 
-def matched(lines: DataFrame, **found: Column) -> DataFrame:
-    """Keep the lines on which one of the groups was found.
+def matched(lines: DataFrame, keep_others: bool = False, **found: Column) -> DataFrame:
+    """Add the groups; drop the lines without any, unless ``keep_others``.
 
     The groups are exploded rather than filtered, because a filter would be
     pushed below the projection and match every line a second time.
     """
     whole = F.struct(*[c.alias(n) for n, c in found.items()])
     some = F.filter(F.array(whole), lambda x: F.coalesce(*[x[n] for n in found]).isNotNull())
-    return lines.withColumn("_m", F.explode(some)).select(
+    spread = F.explode_outer(some) if keep_others else F.explode(some)
+    return lines.withColumn("_m", spread).select(
         *lines.columns, *[F.col(f"_m.{n}").alias(n) for n in found]
     )
 
@@ -90,7 +92,7 @@ def block_trace(lines: DataFrame, tolerant: bool = False) -> DataFrame:
     text = F.trim("value")
     noise = (text == "") | text.rlike("^(CPU|Total)") | text.contains("==")
     g = groups(text, BLOCK_LINE_TOLERANT if tolerant else BLOCK_LINE, 11)
-    rows = lines.filter(~noise).withColumn("_g", g)
+    rows = matched(lines.filter(~noise), keep_others=True, _g=g)
     at = F.col("_g")
     rwbs, action = at[7], at[6]
     return rows.select(
