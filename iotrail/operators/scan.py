@@ -256,7 +256,7 @@ class Scan:
             ends = self._df.groupBy(CHUNK).agg(F.min(whole).alias("lo"), F.max(whole).alias("hi"))
             edges = ends.select(CHUNK, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("e"))
             edges = edges.select(CHUNK, *[F.col(f"e.{k}").alias(k) for k in self.keys])
-            edge_rows = local.join(F.broadcast(edges), by, "left_semi")
+            edge_rows = _null_safe_join(local, edges, by, "left_semi")
         totals: dict[str, Column] = {}
         for measure in measures:
             totals.update(measure.total(self.order))
@@ -272,13 +272,23 @@ class Scan:
                     columns.update(steps[step])
             names += columns
             carry = carry.withColumns(columns)
-        return local.join(F.broadcast(carry.select(*by, *names)), by, "left")
+        return _null_safe_join(local, carry.select(*by, *names), by, "left")
 
     @property
     def df(self) -> DataFrame:
         return self._df.drop(CHUNK)
 
 
+def _null_safe_join(rows: DataFrame, small: DataFrame, by: Sequence[str], how: str) -> DataFrame:
+    """Join with at most two rows per chunk on ``by``; a null key is a key like any other."""
+    marked = small.select(
+        *[F.col(c).alias(f"_by_{c}") for c in by], *[c for c in small.columns if c not in by]
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    out = rows.join(F.broadcast(marked), same, how)
+    return out.drop(*[f"_by_{c}" for c in by])
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the most frequent key: one small number to the driver."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

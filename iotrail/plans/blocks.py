@@ -210,11 +210,8 @@ def block_trace_summary(t: Tables) -> DataFrame:
             for p in ("p50", "p99")
         ]
     )
-    one = [head, sizes.drop("n"), life.agg(F.count(F.lit(1)).alias("completed")), wide]
-    out = one[0].withColumn("_one", F.lit(1))
-    for part in one[1:]:
-        out = out.join(part.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+    rest = {**sizes.drop("n").first().asDict(), **wide.first().asDict(), "completed": life.count()}
+    return head.withColumns({name: F.lit(value) for name, value in rest.items()})
 
 
 @query(

@@ -64,9 +64,10 @@ def block_text_scan(t: Tables) -> DataFrame:
 def block_text_scan_errors(t: Tables) -> DataFrame:
     lines = block_lines(t)
     n, bad = F.count(F.lit(1)).alias("lines"), count_if(~F.col("parsed"))
-    strict = text.block_trace(lines).agg(n, bad.alias("unparsed")).withColumn("_one", F.lit(1))
+    strict = text.block_trace(lines).agg(n, bad.alias("unparsed"))
     loose = text.block_trace(lines, tolerant=True).agg(bad.alias("unparsed_tolerant"))
-    return strict.join(loose.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    both = strict.unionByName(loose, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 @query(

@@ -29,7 +29,7 @@ def hot_rows(n=400, seed=1):
     rng = random.Random(seed)
     rows = []
     for ts in range(n):
-        key = "hot" if rng.random() < 0.6 else f"k{rng.randrange(5)}"
+        key = "hot" if rng.random() < 0.6 else rng.choice(["k0", "k1", "k2", None])
         v = None if key == "k1" or rng.random() < 0.3 else rng.randrange(-5, 6)
         rows.append((key, ts, v))
     return rows
