@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from iotrail.session import pin
 
 #: A group up to this size may be sorted by one task.
-ROWS_PER_TASK = 5_000_000
+ROWS_PER_TASK = 20_000_000
 
 CHUNK = "_chunk"
 
@@ -57,6 +57,9 @@ class Measure:
     def result(self, carried: bool) -> Column:
         raise NotImplementedError
 
+    #: Whether ``total`` reads columns of ``first`` or ``second``.
+    total_needs_rows = False
+
     def _c(self, suffix: str) -> str:
         return f"_{self.name}_{suffix}"
 
@@ -172,6 +175,7 @@ class Clamped(Measure):
     """
 
     floor: Column | None = None
+    total_needs_rows = True
 
     def _floor(self) -> Column:
         return F.lit(0) if self.floor is None else self.floor
@@ -220,7 +224,8 @@ class Scan:
             limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
             chunked = not self.keys or largest_group(df, self.keys) > limit
         self.chunked = chunked
-        self._steps = 0
+        # Whether the rows so far are written, so that reading them twice is cheap.
+        self._written = chunked
         if chunked:
             ranged = df.repartitionByRange(*self.keys, *self.order)
             df = pin(ranged.withColumn(CHUNK, F.spark_partition_id()))
@@ -230,9 +235,9 @@ class Scan:
         """Append one column per measure; later calls may use earlier columns."""
         parts = ([CHUNK] if self.chunked else []) + self.keys
         rows = Window.partitionBy(*parts).orderBy(*self.order)
-        if self.chunked and self._steps:
+        if self.chunked and not self._written:
             self._df = pin(self._df)
-        self._steps += 1
+        self._written = False
         kept = self._df.columns
         local = self._df
         for step in ("first", "second"):
@@ -242,6 +247,9 @@ class Scan:
             if columns:
                 local = local.withColumns(columns)
         if self.chunked:
+            if any(m.total_needs_rows for m in measures):
+                # The totals and the result both need the window: run it once.
+                local, self._written = pin(local), True
             local = self._with_carry(local, measures)
         results = [m.result(self.chunked).alias(m.name) for m in measures]
         self._df = local.select(*kept, *results)
@@ -249,14 +257,15 @@ class Scan:
 
     def _with_carry(self, local: DataFrame, measures: Sequence[Measure]) -> DataFrame:
         by = [CHUNK, *self.keys]
-        edge_rows = local
+        # Most totals are plain aggregates, which need no window of their own.
+        edge_rows = local if any(m.total_needs_rows for m in measures) else self._df
         if self.keys:
             # Only the first and the last key of a chunk can reach into another.
             whole = F.struct(*self.keys)
             ends = self._df.groupBy(CHUNK).agg(F.min(whole).alias("lo"), F.max(whole).alias("hi"))
             edges = ends.select(CHUNK, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("e"))
             edges = edges.select(CHUNK, *[F.col(f"e.{k}").alias(k) for k in self.keys])
-            edge_rows = _null_safe_join(local, edges, by, "left_semi")
+            edge_rows = _null_safe_join(edge_rows, edges, by, "left_semi")
         totals: dict[str, Column] = {}
         for measure in measures:
             totals.update(measure.total(self.order))

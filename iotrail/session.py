@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,7 +46,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder next to the checkpoints, which every executor can reach.
+
+    Folders of one application share a parent, so that they can be dropped together.
+    """
+    base = f"{ensure_checkpoint_dir(spark)}/iotrail-{spark.sparkContext.applicationId}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from the written rows.
+
+    Unlike an RDD checkpoint the table is columnar: later steps read only the
+    columns they need.
+    """
+    folder = scratch(df.sparkSession, "pin")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
@@ -14,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from iotrail.functions.scalar import floor_log2
 from iotrail.operators.asof import asof_join
 from iotrail.operators.blocks import count_if
-from iotrail.session import ensure_checkpoint_dir
+from iotrail.session import scratch
 from iotrail.sources.records import CORRUPT
 
 
@@ -163,11 +162,6 @@ def wall_clock(records: DataFrame, anchors: DataFrame, keys: Sequence[str] = ())
     return rows.withColumn("wall_ns", F.col("ts_ns") + F.col("_r") - F.col("_m")).drop("_m", "_r")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder next to the checkpoints, which every executor can reach."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def run_available(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
     """Process what is there and return the emitted rows, written as Parquet.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from iotrail import schemas
 from iotrail.operators import heat as H
 from iotrail.operators.pairing import consuming_pairs
+from iotrail.session import scratch
 from iotrail.streaming import jobs
 
 S = 1_000_000_000
@@ -66,7 +67,7 @@ def test_losses_are_counted(spark, tmp_path):
     body = [json.dumps({"event_type": "nvme_cmd"}), json.dumps({"event_type": "drops", "dropped": 4}), '{"event_ty']
     (tmp_path / "a.jsonl").write_text("\n".join(body))
     stream = jobs.counted_losses(jobs.tail(spark, str(tmp_path), schemas.DEVICE))
-    query = stream.writeStream.format("noop").option("checkpointLocation", jobs.scratch(spark, "loss"))
+    query = stream.writeStream.format("noop").option("checkpointLocation", scratch(spark, "loss"))
     query = query.trigger(availableNow=True).start()
     query.awaitTermination()
     seen = [p["observedMetrics"]["losses"] for p in map(dict, query.recentProgress) if p["observedMetrics"]]
