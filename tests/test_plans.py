@@ -26,7 +26,7 @@ def test_no_products_and_only_needed_columns(spark, name):
     text = plan(contract.queries()[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     for schema in re.findall(r"ReadSchema: struct<([^>]*)>", text):
-        assert schema.count(":") < 11, "a scan reads every column of lineitem"
+        assert len(re.findall(r"\bl_\w+:", schema)) < 11, "a scan reads every column of lineitem"
 
 
 def test_filters_reach_the_scan(spark, tmp_path):
