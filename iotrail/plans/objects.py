@@ -79,7 +79,7 @@ def command_completion_pairs(t: Tables) -> DataFrame:
       n AS (SELECT *, lead(ts_ns) OVER (PARTITION BY role ORDER BY ts_ns, {TIE_SQL}) nx FROM r),
       b AS (SELECT min(ts_ns) base FROM cmd)
       SELECT role, count(*) n, count(dur_ns) n_real,
-             CAST(sum(greatest(1, coalesce(dur_ns, coalesce(least(20000, CAST(floor((nx - ts_ns) * CAST(0.9 AS DOUBLE)) AS BIGINT)), 20000)))) AS DECIMAL(38, 0)) shown_ns,
+             round(CAST(sum(greatest(1, coalesce(dur_ns, coalesce(least(20000, CAST(floor((nx - ts_ns) * CAST(0.9 AS DOUBLE)) AS BIGINT)), 20000)))) AS DOUBLE) / 1e9, 3) shown_s,
              max(ts_ns - base) last_rel_ns FROM n, b GROUP BY role""",
     "cmd",
 )
@@ -89,7 +89,7 @@ def command_shown_durations(t: Tables) -> DataFrame:
     return rows.groupBy("role").agg(
         F.count(F.lit(1)).alias("n"),
         count_if(F.col("is_real")).alias("n_real"),
-        F.sum(F.col("shown_ns").cast("decimal(20,0)")).cast("decimal(38,0)").alias("shown_ns"),
+        r6(F.sum(F.col("shown_ns").cast("decimal(20,0)")).cast("double") / 1e9, 3).alias("shown_s"),
         F.max(F.col("ts_ns") - base).alias("last_rel_ns"),
     )
 
