@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotrail.llm import bpe, hyperminhash, mixing, quality
+from iotrail.llm import bpe, hyperminhash, mixing, quality, rabitq, shards
 from iotrail.llm.common import word_count
 from iotrail.session import pin
 
@@ -64,11 +64,28 @@ lateral (select floor(r.rate)::bigint
 """
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.shard(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id",
+        shards.byte_size(F.col("text")).alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, trees, ["doc_id"]).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_bpe, op7_mixture, op10_quality)}
+QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_bpe, op7_mixture, op8_nearest, op9_shards, op10_quality)}
 ORACLE_SQL = {"op7_mixture": OP7_SQL}
