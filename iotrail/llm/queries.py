@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotrail.llm import bpe, hyperminhash, mixing, quality, rabitq, shards
+from iotrail.llm import bpe, html_crf, hyperminhash, mixing, quality, rabitq, shards
 from iotrail.llm.common import word_count
 from iotrail.session import pin
 
@@ -26,6 +26,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, carry=["doc_id"])
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = html_crf.extract(pages, html_crf.fit(pages), carry=["page_id", "url"])
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     sized = pin(docs)  # texts are read once
@@ -87,5 +93,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, trees, ["doc_id"]).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_bpe, op7_mixture, op8_nearest, op9_shards, op10_quality)}
+QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_bpe, op6_main_text, op7_mixture, op8_nearest, op9_shards, op10_quality)}
 ORACLE_SQL = {"op7_mixture": OP7_SQL}
