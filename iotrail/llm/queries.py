@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotrail.llm import bpe, html_crf, hyperminhash, mixing, quality, rabitq, shards
+from iotrail.llm import bpe, html_crf, hyperminhash, licenses, mixing, quality, rabitq, shards
 from iotrail.llm.common import word_count
 from iotrail.session import pin
 
@@ -18,6 +18,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    low = f"replace(lower({text}), chr(13), chr(10))"
+    plain = f"trim(regexp_replace(regexp_replace({low}, {_sql(licenses.COPYRIGHT_LINE)}, ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+    for a, b in licenses.SPELLINGS:
+        plain = f"replace({plain}, {_sql(a)}, {_sql(b)})"
+    return plain
+
+
+OP1_SQL = f"""
+with known as (
+  select sha256({_canonical_sql("body")}) digest, min(license_id) license_id from (values
+  {", ".join(f"({_sql(i)}, {_sql(t)})" for i, t in licenses.known_texts())}) as t(license_id, body) group by 1
+), lines as (
+  select doc_id, generate_subscripts(l, 1)::int line, unnest(l) body from (select doc_id, string_split(replace(text, chr(13), chr(10)), chr(10)) l from documents where text is not null)
+), units as (
+  select doc_id, 0 line, coalesce(text, '') body from documents
+  union all
+  select doc_id, line, body from lines where regexp_matches(lower(body), '{licenses.LICENSE_LINE}')
+), digests as (
+  select doc_id, line, sha256({_canonical_sql("body")}) digest from units
+)
+select d.doc_id, d.line, d.digest, k.license_id from digests d left join known k on d.digest = k.digest where d.line = 0 or k.license_id is not null
+"""
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -93,5 +126,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, trees, ["doc_id"]).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_bpe, op6_main_text, op7_mixture, op8_nearest, op9_shards, op10_quality)}
-ORACLE_SQL = {"op7_mixture": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_licenses, op3_near_duplicates, op4_bpe, op6_main_text, op7_mixture, op8_nearest, op9_shards, op10_quality)}
+ORACLE_SQL = {"op1_licenses": OP1_SQL, "op7_mixture": OP7_SQL}
