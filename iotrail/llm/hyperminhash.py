@@ -4,12 +4,14 @@
    its minimum, compressed to the number of leading zeros (6 bits) and the next ``MANTISSA`` bits.
 2. Documents with equal sets are one node, named by their smallest doc_id; only nodes go on.
 3. ``ROWS`` neighbouring registers make a band. Nodes that agree in a band meet in its bin. A pair at similarity 0.8 misses all bands
-   with probability (1 - 0.8**6)**42 = 3e-6.
+   with probability (1 - 0.8**6)**42 = 3e-6. For this an empty register takes the value of the first filled one in an order of its own:
+   else a band with one filled register would bring together all documents that share one passage.
 4. Every node of a bin is compared with the bin's smallest node. What passes the estimate (share of equal registers, corrected for
    registers that agree by chance, with five standard errors of room) is confirmed on the full sets.
-5. Components of these links are found. Bins that still hold several components have all pairs *across* components compared, apart
-   from those already refuted. Pairs within one component need no comparison, so groups of copies never expand into all pairs, and yet
-   every pair that shares a bin is either connected or refuted: no link between candidates is lost.
+5. Components of these links are found. Nodes that bins connect are a family; families that still fall into several components have
+   their pairs *across* components compared: block by block on full sets inside the tasks, which return links only, or, where a family is
+   so loose that its bins have fewer pairs than its blocks have rows, pair by pair. Pairs within one component need no comparison, so
+   groups of copies never expand into all pairs, and yet every pair that shares a bin is either connected or refuted.
 
 Equal hashes of different shingles would change a set size by one; for a document of 20,000 shingles the odds are 1e-11.
 """
@@ -34,9 +36,11 @@ BANDS = 42
 BUCKETS = ROWS * BANDS
 EMPTY = 0xFFFF
 #: Standard errors that an estimate may lie below the threshold before a pair is dropped unverified.
-ROOM = 5.0
+ROOM = 4.0
 #: Bits of the filter that spares texts without a candidate the way to the verification; at most 8 MB.
 FILTER_BITS = 1 << 26
+#: Nodes of a block; a task compares two blocks at once.
+BLOCK = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -75,6 +79,23 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.where(used, (zeros << MANTISSA) | mantissa, EMPTY).astype(">u2")
 
 
+#: For each register the order in which others stand in for it.
+_STAND_IN = np.argsort(np.random.default_rng(3).random((BUCKETS, BUCKETS)), axis=1)
+_TURN = np.argsort(_STAND_IN, axis=1)
+_MULTIPLIERS = np.random.default_rng(4).integers(1, 1 << 62, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(sketch: np.ndarray) -> np.ndarray:
+    """One number for each band of a sketch with a filled register at least."""
+    filled = np.flatnonzero(sketch != EMPTY)
+    empty = np.flatnonzero(sketch == EMPTY)
+    if len(empty):
+        sketch = sketch.copy()
+        sketch[empty] = sketch[filled[_TURN[np.ix_(empty, filled)].argmin(axis=1)]]
+    bands = mixed((sketch.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * _MULTIPLIERS)
+    return mixed(bands.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def similarity(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimated Jaccard similarity of sketches (one pair per row) and its standard error at similarity 0.8.
 
@@ -127,9 +148,8 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) that are as similar as asked for on their full sets."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets(wanted: DataFrame, docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+    """(``node``, ``s``), the full sets of at least the documents in ``wanted`` (``node``), and of few others."""
     n = wanted.count()
     bits = 1 << 10
     while bits < min(FILTER_BITS, 16 * n):
@@ -156,13 +176,62 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_
                 values = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["node", "s"])
 
-    sets = rows.mapInArrow(run, "node long, s array<long>")
+    return rows.mapInArrow(run, "node long, s array<long>")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """The pairs (a, b) that are as similar as asked for on their full sets."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets(wanted, docs, width, doc_id, text)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}"))
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
     return pairs.join(side("b"), "b").join(side("a"), "a").where(both.cast("long") * 100 >= union.cast("long") * percent).select("a", "b").distinct()
 
 
+def linked_across(node: np.ndarray, place: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """One link for each two places of which nodes of the two blocks (or, if there is one block only, of that block) are similar enough."""
+    sizes = np.array([len(s) for s in sets], np.float64)
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)))
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, (start, start + 4096))
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[owner[lo:hi], column[lo:hi] - start] = 1
+        common += held @ held.T
+    union = sizes[:, None] + sizes[None, :] - common
+    close = np.triu((common * 100 >= union * percent) & (place[:, None] != place[None, :]), 1)
+    if block.min() != block.max():
+        close &= block[:, None] != block[None, :]
+    found = {}
+    for i, j in np.argwhere(close):
+        found.setdefault(tuple(sorted((place[i], place[j]))), (int(node[i]), int(node[j])))
+    return list(found.values())
+
+
+def _across_blocks(families: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Links (a, b) across the places of each family, from (``node``, ``family``, ``place``, ``f``: nodes in the family)."""
+    blocks = F.ceil(F.col("f") / BLOCK).cast("int")
+    dealt = families.select("node", "family", "place", F.pmod(F.xxhash64("node"), blocks).alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.join(_sets(families.select("node"), docs, width, doc_id, text), "node")
+    dealt = dealt.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "place", "block", "s")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        values = group.column("s").combine_chunks()
+        flat, ends = values.flatten().to_numpy(), np.cumsum(values.value_lengths().to_numpy())
+        links = linked_across(*(group.column(c).to_numpy() for c in ("node", "place", "block")), np.split(flat, ends[:-1]), percent)
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("family", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``.
 
@@ -178,39 +247,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         .groupBy("set_key")
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     )
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    size = 2 * ROWS
-    piece = F.expr(f"substring(registers, band * {size} + 1, {size})")
-    bins = (
-        nodes.select("node", "registers", band)
-        .where(piece != F.lit(b"\xff" * size))
-        .select(F.xxhash64("band", piece).alias("bin"), "node")
-    )
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                keys = np.concatenate([band_keys(np.frombuffer(r.as_py(), ">u2").astype(np.int64)) for r in part.column(1)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["bin", "node"])
+
+    bins = nodes.select("node", "registers").mapInArrow(banded, "bin long, node long")
     shared = bins.groupBy("bin").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a < top").select("bin", "a")
     members = pin(bins.join(shared, "bin").select("bin", "a", F.col("node").alias("b")))
     tried = pin(members.where("a < b").select("a", "b").distinct())
     links = pin(_confirmed(pin(_likely(tried, nodes, percent)), docs, width, percent, doc_id, text))
     places = components(links)
 
-    # Bins that hold several components: pairs across them that have not been tried.
-    placed = members.select("bin", F.col("b").alias("node")).join(places, "node", "left").select("bin", "node", F.coalesce("component", "node").alias("place"))
-    placed = pin(placed)
-    open_bins = placed.groupBy("bin").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high").select("bin")
-    left = placed.join(open_bins, "bin", "left_semi")
-    right = left.select("bin", F.col("node").alias("b"), F.col("place").alias("place_b"))
-    across = (
-        left.select("bin", F.col("node").alias("a"), F.col("place").alias("place_a"))
-        .join(right, "bin")
-        .where("a < b and place_a <> place_b")
-        .select("a", "b")
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    likely = pin(_likely(pin(across), nodes, percent))
-    if not likely.isEmpty():
-        more = pin(_confirmed(likely, docs, width, percent, doc_id, text))
-        if not more.isEmpty():
-            places = components(links.unionByName(more))
+    family = components(tried).withColumnRenamed("component", "family")
+    placed = family.join(places, "node", "left").select("node", "family", F.coalesce("component", "node").alias("place"))
+    split = placed.groupBy("family").agg(F.count(F.lit(1)).alias("f"), F.min("place").alias("low"), F.max("place").alias("high")).where("low < high")
+    loose = members.groupBy("bin").agg(F.min("a").alias("node"), F.count(F.lit(1)).alias("c")).join(family, "node")
+    loose = loose.groupBy("family").agg(F.sum(F.expr("c * (c - 1) / 2")).alias("pairs"))
+    split = split.join(loose, "family").withColumn("in_blocks", F.expr(f"f * ceil(f / {BLOCK}) <= greatest({BLOCK}, pairs)"))
+    split = pin(placed.join(split.select("family", "f", "in_blocks"), "family"))
+    more = pin(_across_blocks(split.where("in_blocks"), docs, width, percent, doc_id, text))
+    rest = split.where("not in_blocks").select("node", "place")
+    if not rest.isEmpty():
+        left = members.select("bin", F.col("b").alias("node")).join(rest, "node")
+        right = left.select("bin", F.col("node").alias("b"), F.col("place").alias("place_b"))
+        across = left.select("bin", F.col("node").alias("a"), F.col("place").alias("place_a")).join(right, "bin").where("a < b and place_a <> place_b")
+        across = pin(across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        more = more.unionByName(pin(_confirmed(pin(_likely(across, nodes, percent)), docs, width, percent, doc_id, text)))
+    if not more.isEmpty():
+        places = components(links.unionByName(more))
 
     found = nodes.join(places, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
