@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotrail.llm import bpe, html_crf, hyperminhash, licenses, mixing, quality, rabitq, shards
+from iotrail.llm import bpe, html_crf, hyperminhash, licenses, mih, mixing, quality, rabitq, shards
 from iotrail.llm.common import word_count
 from iotrail.session import pin
 
@@ -51,6 +51,22 @@ select d.doc_id, d.line, d.digest, k.license_id from digests d left join known k
 """
 
 
+def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+OP2_SQL = """
+with rows as (
+  select vec_id, list_transform(embedding, lambda x: (x > 0)::int) bits from embeddings where vec_id is not null and len(embedding) between 1 and 64
+), pairs as (
+  select q.vec_id query_id, r.vec_id, list_sum(list_transform(list_zip(q.bits, r.bits), lambda p: abs(p[1] - p[2])))::int distance
+  from rows q join rows r on q.vec_id % 100 = 0 and q.vec_id <> r.vec_id
+)
+select query_id, row_number() over (partition by query_id order by distance, vec_id)::int rank, vec_id, distance
+from pairs qualify rank <= 10
+"""
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -126,5 +142,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, trees, ["doc_id"]).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op3_near_duplicates, op4_bpe, op6_main_text, op7_mixture, op8_nearest, op9_shards, op10_quality)}
-ORACLE_SQL = {"op1_licenses": OP1_SQL, "op7_mixture": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_hamming_top_k, op3_near_duplicates, op4_bpe, op6_main_text, op7_mixture, op8_nearest, op9_shards, op10_quality)}
+ORACLE_SQL = {"op1_licenses": OP1_SQL, "op2_hamming_top_k": OP2_SQL, "op7_mixture": OP7_SQL}
