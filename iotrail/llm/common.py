@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from iotrail.session import pin
+
 #: What the result contracts call a word: a run without blank, tab, line feed, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,3 +40,14 @@ def uniform(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) that the seed and the keys decide alone; SQL engines with md5 agree on it."""
     text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(k.cast("string"), F.lit("")) for k in keys))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def pin_and_free(df: DataFrame) -> DataFrame:
+    """Like ``pin``, and the shuffle files of the rows go as soon as they are written, not when the driver collects its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return pin(df)
+    finally:
+        conf.set(key, before)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotrail.llm import bpe, html_crf, hyperminhash, licenses, mih, mixing, quality, rabitq, shards
+from iotrail.llm import bpe, html_crf, hyperminhash, licenses, lm, mih, mixing, quality, rabitq, shards
 from iotrail.llm.common import word_count
 from iotrail.session import pin
 
@@ -75,6 +75,38 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, carry=["doc_id"])
 
 
+def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.scores(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+OP5_SQL = """
+with texts as (
+  select doc_id, string_agg(t.text, ' ') text from documents t group by doc_id
+), w as (
+  select doc_id, unnest(l) w, generate_subscripts(l, 1) i from (
+    select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') l from texts)
+), words as (
+  select w, count(*) c from w group by w
+), total as (
+  select sum(c)::double n from words
+), pairs as (
+  select doc_id, coalesce(lag(w) over (partition by doc_id order by i), '') v, w from w
+), known as (
+  select v, w, count(*) c from pairs group by v, w having count(distinct doc_id) >= 2
+), contexts as (
+  select w v, c from words union all select '', count(distinct doc_id) from w
+), gains as (
+  select k.v, k.w, ln(k.c / x.c::double) - ln(0.4 * y.c / n) gain from known k join contexts x on k.v = x.v join words y on k.w = y.w, total
+), sums as (
+  select p.doc_id, count(*) n_words, sum(ln(0.4 * y.c / n) + coalesce(g.gain, 0)) s
+  from pairs p join words y on p.w = y.w left join gains g on p.v = g.v and p.w = g.w, total group by p.doc_id
+)
+select t.doc_id, coalesce(n_words, 0)::bigint n_words, round(coalesce(s, 0), 3) log_score, round(s / n_words, 6) mean_log_score
+from texts t left join sums u on t.doc_id is not distinct from u.doc_id
+"""
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     texts = html_crf.extract(pages, html_crf.fit(pages), carry=["page_id", "url"])
@@ -142,5 +174,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, trees, ["doc_id"]).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_hamming_top_k, op3_near_duplicates, op4_bpe, op6_main_text, op7_mixture, op8_nearest, op9_shards, op10_quality)}
-ORACLE_SQL = {"op1_licenses": OP1_SQL, "op2_hamming_top_k": OP2_SQL, "op7_mixture": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_hamming_top_k, op3_near_duplicates, op4_bpe, op5_backoff_scores, op6_main_text, op7_mixture, op8_nearest, op9_shards, op10_quality)}
+ORACLE_SQL = {"op1_licenses": OP1_SQL, "op2_hamming_top_k": OP2_SQL, "op5_backoff_scores": OP5_SQL, "op7_mixture": OP7_SQL}
