@@ -112,7 +112,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 20, seed: int = SEED,
     rows, asked = codes.count(), queries.count()
     turn = codes.sparkSession.sparkContext.broadcast(rotation(codes.select(F.size("vector")).first()[0] if rows else 1, seed))
     row_blocks, query_blocks = max(1, -(-rows // block)), max(1, -(-asked // block))
-    part = lambda c, n: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(n))
+    part = lambda c, n: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = codes.select("*", part("vec_id", row_blocks).alias("rb"), every(query_blocks).alias("qb"))
     right = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), part("vec_id", query_blocks).alias("qb"), every(row_blocks).alias("rb"))
