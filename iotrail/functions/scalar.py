@@ -75,12 +75,19 @@ def nvme_class(command: Column) -> Column:
     )
 
 
+def field_value(words: Column, name: str) -> Column:
+    """The value of the first ``name=value`` among words, whatever the case of the name; null if there is none."""
+    mark = f"{name}="
+    found = F.get(F.filter(words, lambda w: F.lower(F.substr(w, F.lit(1), F.lit(len(mark)))) == mark), F.lit(0))
+    return F.substr(found, F.lit(len(mark) + 1))
+
+
 def nvme_extent(command: Column, block_bytes: int) -> dict[str, Column]:
     """slba, blocks, bytes and 512-byte sector of a command string (len is 0-based)."""
-    digits = F.regexp_extract(command, r"\bslba=(\d+)", 1)
-    slba = F.when(digits != "", digits.cast("long"))
-    length = F.regexp_extract(command, r"\b(?:len|nlb)=(\d+)", 1)
-    nlb = F.when(length != "", length.cast("long") + 1).otherwise(1)
+    given = F.split(F.translate(command, ",()", "   "), " +")
+    slba = field_value(given, "slba").try_cast("long")
+    length = F.coalesce(field_value(given, "len"), field_value(given, "nlb")).try_cast("long")
+    nlb = F.coalesce(length + 1, F.lit(1).cast("long"))
     nlb = F.when(slba.isNotNull(), F.greatest(nlb, F.lit(1)))
     return {
         "slba": slba,

@@ -327,14 +327,24 @@ def benchmark_percentiles(t: Tables) -> DataFrame:
 def health_texts(t: Tables) -> DataFrame:
     """Logs per customer, as text in two layouts or as JSON behind a preamble."""
     k = F.col("c_custkey")
-    units = F.format_number(k * 12345, 0)
-    shared = [F.lit("\ncritical_warning : 0x"), F.lower(F.hex(k % 16)), F.lit("\ntemperature : "), k % 30 + 290, F.lit(" K")]
-    machine = F.concat(*shared, F.lit("\navail_spare : "), k % 101, F.lit("%\npercent_used : 3%\ndata_units_read : "), units)
-    readable = F.concat(*shared, F.lit("\nAvailable Spare : "), k % 101, F.lit("%\nPercentage Used : 3%\nData Units Read : "), units)
-    doc = F.concat(
-        F.lit('Smart log for device\n{"critical_warning": '), k % 16, F.lit(', "temperature": '), k % 30 + 290,
-        F.lit(', "avail_spare": '), k % 101, F.lit(', "percent_used": 3, "data_units_read": '), k * 12345, F.lit("}"),
-    )
+    values = {
+        "spare_thresh": F.lit(10), "percent_used": F.lit(3), "data_units_read": k * 12345, "data_units_written": k * 54321, "host_reads": k * 7, "host_writes": k * 11,
+        "power_cycles": k % 50, "power_on_hours": k % 9000, "unsafe_shutdowns": k % 5, "media_errors": k % 3, "num_err_log_entries": k % 7,
+    }
+
+    def layout(form: int) -> Column:
+        lines = [F.lit("\ncritical_warning : 0x"), F.lower(F.hex(k % 16)), F.lit("\ntemperature : "), k % 30 + 290, F.lit(" K")]
+        names = text.HEALTH_FIELDS
+        lines += [F.lit(f"\n{names['avail_spare'][-form]} : "), k % 101, F.lit("%")]
+        for name, value in values.items():
+            lines += [F.lit(f"\n{names[name][-form]} : "), F.format_number(value, 0)]
+        return F.concat(*lines)
+
+    machine, readable = layout(0), layout(1)
+    doc = [F.lit('Smart log for device\n{"critical_warning": '), k % 16, F.lit(', "temperature": '), k % 30 + 290, F.lit(', "avail_spare": '), k % 101]
+    for name, value in values.items():
+        doc += [F.lit(f', "{text.HEALTH_FIELDS[name][0]}": '), value]
+    doc = F.concat(*doc, F.lit("}"))
     form = F.when(k % 3 == 0, machine).when(k % 3 == 1, readable).otherwise(doc)
     return t.customer.select(k.alias("ts_ns"), (k % 97).alias("device"), form.alias("value"))
 
@@ -343,7 +353,10 @@ def health_texts(t: Tables) -> DataFrame:
     "health_log_scan",
     "S15 P38 M27",
     """SELECT c_custkey ts_ns, c_custkey % 16 critical_warning, CAST(c_custkey % 30 + 290 - 273 AS DOUBLE) celsius, CAST(c_custkey % 101 AS DOUBLE) avail_spare,
-       CAST(3 AS DOUBLE) percent_used, CAST(c_custkey * 12345 AS DOUBLE) data_units_read, round(c_custkey * 12345 * 512000 / 1073741824, 6) read_gib FROM customer""",
+       CAST(3 AS DOUBLE) percent_used, CAST(c_custkey * 12345 AS DOUBLE) data_units_read, round(c_custkey * 12345 * 512000 / 1073741824, 6) read_gib,
+       CAST(10 AS DOUBLE) spare_thresh, CAST(c_custkey * 54321 AS DOUBLE) data_units_written, CAST(c_custkey * 7 AS DOUBLE) host_reads, CAST(c_custkey * 11 AS DOUBLE) host_writes,
+       CAST(c_custkey % 50 AS DOUBLE) power_cycles, CAST(c_custkey % 9000 AS DOUBLE) power_on_hours, CAST(c_custkey % 5 AS DOUBLE) unsafe_shutdowns,
+       CAST(c_custkey % 3 AS DOUBLE) media_errors, CAST(c_custkey % 7 AS DOUBLE) num_err_log_entries FROM customer""",
 )
 def health_log_scan(t: Tables) -> DataFrame:
     rows = text.health_logs(health_texts(t))
@@ -355,6 +368,15 @@ def health_log_scan(t: Tables) -> DataFrame:
         "percent_used",
         "data_units_read",
         r6(S.units_gib(F.col("data_units_read"))).alias("read_gib"),
+        "spare_thresh",
+        "data_units_written",
+        "host_reads",
+        "host_writes",
+        "power_cycles",
+        "power_on_hours",
+        "unsafe_shutdowns",
+        "media_errors",
+        "num_err_log_entries",
     )
 
 

@@ -1,55 +1,43 @@
 """Parsers of text traces: a ``value`` column of lines in, typed rows out.
 
-Each line is matched once; the groups come back joined by a separator and are
-split again. Other columns of the input (such as a file name) are kept.
+Lines are cut at their own punctuation: blanks between words, ``key=value`` fields, brackets around names and arguments. Other columns of
+the input (such as a file name) are kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotrail.functions.scalar import is_discard, is_read, is_write
-
-SEP = "\u0001"
-
-# Line formats.
-BLOCK_LINE = (
-    r"\s*(\d+),(\d+)\s+(\d+)\s+(\d+)\s+([\d.]+)\s+(\d+)\s+([A-Z])\s+([A-Z]*)\s+"
-    r"(\d+)\s*\+\s*(\d+)\s*(?:\[(.+?)\])?"
-)
-BLOCK_LINE_TOLERANT = (
-    r"\s*(\d+),(\d+)\s+(\d+)\s+(\d+)\s+([\d.]+)\s+(\d+)\s+([A-Z]+)\s+([A-Z0-9]+)\s+"
-    r"(\d+)\s+\+\s+(\d+)()"
-)
-ISSUE_LINE = (
-    r"(\d+\.\d+):\s.*?block_rq_issue:\s+(\d+),(\d+)\s+([A-Z]+)\s+(\d+)\s+\([^)]*\)\s+(\d+)\s+\+\s+(\d+)"
-)
-COMPLETE_LINE = (
-    r"(\d+\.\d+):\s.*?block_rq_complete:\s+(\d+),(\d+)\s+([A-Z]+)\s+(?:\d+\s+)?\([^)]*\)\s+(\d+)\s+\+\s+(\d+)"
-)
-_CONTROLLER = r"\s+nvme(\d+):\s+(?:(nvme\d+n\d+(?:p\d+)?)\s+)?.*?\bqid=(\d+).*?\bcmdid=(\d+)"
-SETUP_LINE = (
-    r"(\d+\.\d+):\s.*?nvme_setup_cmd:" + _CONTROLLER + r"(?:.*?\bnsid=(\d+))?(?:.*?\bcmd=\(([^)]*)\))?"
-)
-FINISH_LINE = r"(\d+\.\d+):\s.*?nvme_complete_rq:" + _CONTROLLER + r"(?:.*?\bstatus=([^,\s]+))?"
-STRACE_LINE = r"(?:\[pid\s+(\d+)\]\s+)?(\d+\.\d+)\s+(\w+)\(([^)]*)\)\s+=\s+(-?(?:0x[0-9a-fA-F]+|\d+))"
-MAPS_LINE = r"([0-9a-f]+)-([0-9a-f]+)\s+(\S+)\s+([0-9a-f]+)\s+(\S+)\s+(\d+)\s*(.*)"
-
-
-def groups(line: Column, pattern: str, n: int, anywhere: bool = False) -> Column:
-    """The n groups of a pattern as an array, null where the line does not match.
-
-    The pattern starts at the beginning of the line, or anywhere in it. Groups
-    that did not take part are empty strings. The line is matched once: the
-    split result is bound as the element of a one-row array and tested there.
-    """
-    # Lines never hold the separator: it is taken out first.
-    clean = F.translate(line, SEP, "")
-    marks = SEP.join(f"${i}" for i in range(1, n + 1))
-    lead = "^.*?" if anywhere else "^"
-    parts = F.split(F.regexp_replace(clean, f"(?s){lead}{pattern}.*$", marks + SEP), SEP)
-    return F.get(F.filter(F.array(parts), lambda p: F.size(p) == n + 1), F.lit(0))
+from iotrail.functions.scalar import field_value, is_discard, is_read, is_write
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def words(text: Column) -> Column:
+    return F.split(F.trim(text), r"\s+")
+
+
+def behind(text: Column, mark: str) -> Column:
+    """What follows the first ``mark`` of a text, whatever its case; null without it."""
+    at = F.instr(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), mark)
+    return F.when(at > 0, F.substr(text, at + len(mark)))
+
+
+def ahead(text: Column, mark: str) -> Column:
+    """What stands in front of the first ``mark`` of a text, whatever its case; all of it without one."""
+    at = F.instr(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), mark)
+    return F.when(at > 0, F.substr(text, F.lit(1), at - 1)).otherwise(text)
+
+
+def digits(*texts: Column) -> Column:
+    """Whether all texts are there and consist of digits."""
+    return F.forall(F.array(*texts), lambda x: F.coalesce(x.rlike("^[0-9]+$"), F.lit(False)))
 
 
 def matched(lines: DataFrame, keep_others: bool = False, **found: Column) -> DataFrame:
@@ -84,6 +72,28 @@ def seconds_to_ns(text: Column) -> Column:
     return (text.try_cast("decimal(28,9)") * 1_000_000_000).cast("bigint")
 
 
+def block_fields(text: Column, tolerant: bool) -> Column:
+    """Major, minor, cpu, seq, time, pid, action, rwbs, sector, blocks and process of an event line; null if it is none.
+
+    ``major,minor cpu seq time pid action rwbs sector + blocks [process]``; rwbs may be missing, unless ``tolerant``, which in turn allows
+    longer actions and digits in rwbs.
+    """
+    name = F.when(~F.lit(tolerant), F.substring_index(behind(text, "["), "]", 1))
+
+    def cut(w: Column) -> Column:
+        plus = F.array_position(w, "+")
+        device = F.split(w[0], ",")
+        rwbs = F.when(plus == 9, w[6]).when((plus == 8) & ~F.lit(tolerant), "")
+        number_words = [F.get(device, F.lit(0)), F.get(device, F.lit(1)), F.get(w, F.lit(1)), F.get(w, F.lit(2)), F.get(w, F.lit(4))]
+        place = [F.get(w, F.greatest(plus, F.lit(2)).cast("int") - 2), F.get(w, plus.cast("int"))]
+        action, at = F.get(w, F.lit(5)), F.get(w, F.lit(3))
+        letters = action.rlike("^[A-Z]+$") & rwbs.rlike("^[A-Z0-9]+$") if tolerant else action.rlike("^[A-Z]$") & rwbs.rlike("^[A-Z]*$")
+        fits = (F.size(device) == 2) & digits(*number_words, *place) & at.rlike(r"^[0-9.]+$") & letters
+        return F.when(fits, F.array(*number_words[:4], at, number_words[4], action, rwbs, *place, F.coalesce(name, F.lit(""))))
+
+    return let(words(F.replace(ahead(text, "["), F.lit("+"), F.lit(" + "))), cut)
+
+
 def block_trace(lines: DataFrame, tolerant: bool = False) -> DataFrame:
     """Block-layer events; ``parsed`` is false on lines that are none.
 
@@ -91,8 +101,7 @@ def block_trace(lines: DataFrame, tolerant: bool = False) -> DataFrame:
     """
     text = F.trim("value")
     noise = (text == "") | text.rlike("^(CPU|Total)") | text.contains("==")
-    g = groups(text, BLOCK_LINE_TOLERANT if tolerant else BLOCK_LINE, 11)
-    rows = matched(lines.filter(~noise), keep_others=True, _g=g)
+    rows = matched(lines.filter(~noise), keep_others=True, _g=block_fields(text, tolerant))
     at = F.col("_g")
     rwbs, action = at[7], at[6]
     return rows.select(
@@ -115,64 +124,112 @@ def block_trace(lines: DataFrame, tolerant: bool = False) -> DataFrame:
     )
 
 
-def ftrace_block(lines: DataFrame) -> DataFrame:
-    """Issue and complete events; a zero byte count falls back to the sectors."""
-    rows = matched(
-        lines,
-        _i=groups(F.col("value"), ISSUE_LINE, 7, anywhere=True),
-        _c=groups(F.col("value"), COMPLETE_LINE, 6, anywhere=True),
-    )
-    i, c = F.col("_i"), F.col("_c")
-    issue = i.isNotNull()
+def event_time(line: Column, mark: str) -> Column:
+    """The time of a trace line: the last word in front of the event's name, which ends in a colon."""
+    last = F.element_at(words(ahead(line, mark)), -1)
+    return F.when(last.endswith(":"), F.rtrim(last, F.lit(":")))
+
+
+def request_fields(line: Column, event: str) -> Column:
+    """Time, major, minor, rwbs, bytes ("" if not given), sector and sectors of a block request event; null on other lines.
 
-    def pick(a: int, b: int) -> Column:
-        return F.when(issue, i[a]).otherwise(c[b])
+    ``... time: event: major,minor rwbs bytes (command) sector + sectors [process]``; completions have no bytes.
+    """
+
+    def cut(parts: Column) -> Column:
+        left, right = words(parts[1]), words(F.replace(parts[2], F.lit("+"), F.lit(" + ")))
+        device = F.split(left[0], ",")
+        sector, plus, count = (F.get(right, F.lit(i)) for i in range(3))
+        size = F.coalesce(F.get(left, F.lit(2)), F.lit(""))
+        numbers = [F.get(device, F.lit(0)), F.get(device, F.lit(1)), sector, count]
+        fits = digits(*numbers) & (plus == "+") & F.get(left, F.lit(1)).rlike("^[A-Z]+$") & size.rlike("^[0-9]*$") & parts[0].isNotNull()
+        return F.when(fits, F.array(parts[0], *numbers[:2], left[1], size, sector, count))
+
+    tail = behind(line, event + ":")
+    return let(F.array(event_time(line, event + ":"), F.substring_index(tail, "(", 1), behind(tail, ")")), cut)
 
-    sectors = number(pick(6, 5))
-    size = F.when(issue, F.nullif(number(i[4]), F.lit(0)))
+
+def ftrace_block(lines: DataFrame) -> DataFrame:
+    """Issue and complete events; a zero byte count falls back to the sectors."""
+    line = F.col("value")
+    rows = matched(lines, _i=request_fields(line, "block_rq_issue"), _c=request_fields(line, "block_rq_complete"))
+    issue = F.col("_i").isNotNull()
+    at = F.coalesce("_i", "_c")
+    sectors = number(at[6])
+    size = F.when(issue, F.nullif(number(at[4]), F.lit(0)))
     return rows.select(
         *[x for x in lines.columns if x != "value"],
         F.when(issue, "issue").otherwise("complete").alias("action"),
-        seconds_to_ns(pick(0, 0)).alias("ts_ns"),
-        number(pick(1, 1)).alias("major"),
-        number(pick(2, 2)).alias("minor"),
-        pick(3, 3).alias("rwbs"),
+        seconds_to_ns(at[0]).alias("ts_ns"),
+        number(at[1]).alias("major"),
+        number(at[2]).alias("minor"),
+        at[3].alias("rwbs"),
         F.coalesce(size, sectors * 512).alias("bytes"),
-        number(pick(5, 4)).alias("sector"),
+        number(at[5]).alias("sector"),
         sectors.alias("sectors"),
     )
 
 
-def ftrace_nvme(lines: DataFrame) -> DataFrame:
-    """Command set-up and completion events, whatever the case of the text."""
-    rows = matched(
-        lines,
-        _s=groups(F.col("value"), "(?i)" + SETUP_LINE, 7, anywhere=True),
-        _f=groups(F.col("value"), "(?i)" + FINISH_LINE, 6, anywhere=True),
-    )
-    s, f = F.col("_s"), F.col("_f")
-    setup = s.isNotNull()
+def command_fields(line: Column, event: str) -> Column:
+    """Time, controller, disk, qid, cmdid, nsid, command and status of a controller event ("" for what isn't given); null on other lines.
+
+    ``... time: event: controller: [disk] key=value, key=value, ..., cmd=(command)``
+    """
+    tail = behind(line, event + ":")
+    command = F.coalesce(F.substring_index(behind(tail, "cmd=("), ")", 1), F.lit(""))
+
+    def cut(w: Column) -> Column:
+        controller, second = F.rtrim(w[0], F.lit(":")), F.coalesce(F.get(w, F.lit(1)), F.lit(""))
+        disk = F.when(second.contains("=") | ~F.lower(second).startswith("nvme"), field_value(w, "disk")).otherwise(second)
+        qid, cmdid = field_value(w, "qid"), field_value(w, "cmdid")
+        fits = w[0].endswith(":") & F.lower(controller).startswith("nvme") & digits(F.substr(controller, F.lit(5)), qid, cmdid) & at.isNotNull()
+        given = [F.substr(controller, F.lit(5)), disk, qid, cmdid, field_value(w, "nsid"), command, field_value(w, "status")]
+        return F.when(fits, F.array(at, *[F.coalesce(x, F.lit("")) for x in given]))
 
-    def pick(i: int) -> Column:
-        return F.when(setup, s[i]).otherwise(f[i])
+    at = event_time(line, event + ":")
+    return let(words(F.replace(ahead(tail, "cmd=("), F.lit(","), F.lit(" "))), cut)
 
+
+def ftrace_nvme(lines: DataFrame) -> DataFrame:
+    """Command set-up and completion events, whatever the case of the text."""
+    line = F.col("value")
+    rows = matched(lines, _s=command_fields(line, "nvme_setup_cmd"), _f=command_fields(line, "nvme_complete_rq"))
+    setup = F.col("_s").isNotNull()
+    at = F.coalesce("_s", "_f")
     return rows.select(
         *[x for x in lines.columns if x != "value"],
         F.when(setup, "setup").otherwise("complete").alias("action"),
-        seconds_to_ns(pick(0)).alias("ts_ns"),
-        number(pick(1)).alias("ctrl"),
-        F.nullif(pick(2), F.lit("")).alias("disk"),
-        number(pick(3)).alias("qid"),
-        number(pick(4)).alias("cmdid"),
-        F.when(setup, number(s[5])).alias("nsid"),
-        F.when(setup, s[6]).alias("cmd"),
-        F.when(~setup, F.coalesce(F.nullif(f[5], F.lit("")), F.lit("unknown"))).alias("status"),
+        seconds_to_ns(at[0]).alias("ts_ns"),
+        number(at[1]).alias("ctrl"),
+        F.nullif(at[2], F.lit("")).alias("disk"),
+        number(at[3]).alias("qid"),
+        number(at[4]).alias("cmdid"),
+        F.when(setup, number(at[5])).alias("nsid"),
+        F.when(setup, at[6]).alias("cmd"),
+        F.when(~setup, F.coalesce(F.nullif(at[7], F.lit("")), F.lit("unknown"))).alias("status"),
     )
 
 
+def call_fields(text: Column) -> Column:
+    """Pid, time, name, arguments and result of a system call line; null on other lines.
+
+    ``[pid N] time name(arguments) = result``; the arguments end at the first closing bracket.
+    """
+    inner = F.when(text.startswith("[pid"), F.trim(F.substring_index(behind(text, "[pid"), "]", 1)))
+    call = F.when(text.startswith("["), F.trim(behind(text, "]"))).otherwise(text)
+
+    def cut(c: Column) -> Column:
+        front, rest = words(F.substring_index(c, "(", 1)), words(behind(c, ")"))
+        time, name, result = F.get(front, F.lit(0)), F.get(front, F.lit(1)), F.get(rest, F.lit(1))
+        fits = (F.size(front) == 2) & time.rlike(r"^[0-9]+[.][0-9]+$") & name.rlike(r"^\w+$") & (F.get(rest, F.lit(0)) == "=") & integer(result).isNotNull()
+        return F.when(fits, F.array(F.coalesce(inner, F.lit("")), time, name, F.substring_index(behind(c, "("), ")", 1), result))
+
+    return let(call, cut)
+
+
 def strace(lines: DataFrame, default_pid: int = 0) -> DataFrame:
     """System calls; a call that made a child has ``child_pid`` and counts as a fork."""
-    rows = matched(lines, _g=groups(F.trim("value"), STRACE_LINE, 5))
+    rows = matched(lines, _g=call_fields(F.trim("value")))
     g = F.col("_g")
     name, ret = g[2], integer(g[4])
     args = F.transform(F.split(g[3], ","), lambda a: F.trim(a))
@@ -204,8 +261,15 @@ def strace(lines: DataFrame, default_pid: int = 0) -> DataFrame:
 
 
 def proc_maps(lines: DataFrame) -> DataFrame:
-    """Memory mappings; addresses above 2^63 do not occur in user space."""
-    rows = matched(lines, _g=groups(F.trim("value"), MAPS_LINE, 7))
+    """Memory mappings, ``start-end perms offset device inode path``; addresses above 2^63 do not occur in user space."""
+
+    def cut(w: Column) -> Column:
+        span = F.split(w[0], "-")
+        hexes = F.array(F.get(span, F.lit(0)), F.get(span, F.lit(1)), F.get(w, F.lit(2)))
+        fits = F.forall(hexes, lambda x: F.coalesce(x.rlike("^[0-9a-f]+$"), F.lit(False))) & digits(F.get(w, F.lit(4)))
+        return F.when(fits, F.concat(hexes, F.array(w[1], w[3], w[4], F.coalesce(F.get(w, F.lit(5)), F.lit("")))))
+
+    rows = matched(lines, _g=let(F.split(F.trim("value"), r"\s+", 6), cut))
     g = F.col("_g")
 
     def hexed(i: int) -> Column:
@@ -215,8 +279,8 @@ def proc_maps(lines: DataFrame) -> DataFrame:
         *[x for x in lines.columns if x != "value"],
         hexed(0).alias("start_addr"),
         hexed(1).alias("end_addr"),
-        g[2].alias("perms"),
-        hexed(3).alias("file_offset"),
+        g[3].alias("perms"),
+        hexed(2).alias("file_offset"),
         g[4].alias("device"),
         number(g[5]).alias("inode"),
         F.trim(g[6]).alias("pathname"),
@@ -272,7 +336,7 @@ HEALTH_FIELDS = {
     "num_err_log_entries": ("num_err_log_entries",),
 }
 
-_HEALTH_JSON = ", ".join(f"{name} double" for name in HEALTH_FIELDS)
+_HEALTH_JSON = ", ".join(f"{forms[0]} double" for forms in HEALTH_FIELDS.values())
 
 
 def health_logs(logs: DataFrame) -> DataFrame:
@@ -281,7 +345,7 @@ def health_logs(logs: DataFrame) -> DataFrame:
     doc = F.from_json(body, _HEALTH_JSON)
 
     def from_text(names: tuple[str, ...]) -> Column:
-        found = [F.regexp_extract("value", rf"(?i){n}\s*:\s*([\d.,]+)", 1) for n in names]
+        found = [F.regexp_extract("value", rf"(?i){n}\"?\s*:\s*([\d.,]+)", 1) for n in names]
         return F.coalesce(*[number(F.replace(x, F.lit(","), F.lit("")), "double") for x in found])
 
     rows = logs.withColumn("_d", F.when(body != "", doc))
@@ -289,7 +353,7 @@ def health_logs(logs: DataFrame) -> DataFrame:
     return rows.select(
         *[x for x in logs.columns if x != "value"],
         integer(F.lower(code)).alias("critical_warning"),
-        *[F.coalesce(F.col(f"_d.{n}"), from_text(forms)).alias(n) for n, forms in HEALTH_FIELDS.items()],
+        *[F.coalesce(F.col(f"_d.{forms[0]}"), from_text(forms)).alias(n) for n, forms in HEALTH_FIELDS.items()],
     )
 
 

@@ -18,45 +18,46 @@ def lines(spark, *values):
 def test_block_line(spark, tmp_path):
     path = tmp_path / "trace.txt"
     path.write_text(
-        "CPU0 (nvme0n1):\n\n259,0 3 1 0.000012345 1234 Q WS 2097152 + 8 [fio]\n"
-        "259,0 3 2 0.5 1234 C R 16+8\nnot an event\nTotal (nvme0n1):\n===\n"
+        "CPU5 (disk7):\n\n251,9 6 1 0.000098765 4321 Q WF 7340032 + 24 [writer one]\n"
+        "251,9 6 2 0.75 4321 C R 48+16\n251,9 6 3 1.5 4321 M 96 + 8 [x]\nno event here\n251,9 6 4 1.5 4321 QQ R 96 + 8\nTotal (disk7):\n===\n"
     )
     rows = text.read_block_trace(spark, str(path)).orderBy("seq").collect()
     first = rows[0]
-    assert len(rows) == 2
-    assert (first["ts_ns"], first["sector"], first["nblocks"], first["process"]) == (12345, 2097152, 8, "fio")
-    assert rows[1]["process"] == "" and rows[1]["is_read"]
+    assert len(rows) == 3
+    assert (first["ts_ns"], first["sector"], first["nblocks"], first["process"]) == (98765, 7340032, 24, "writer one")
+    assert rows[1]["process"] == "" and rows[1]["is_read"] and (rows[1]["sector"], rows[1]["nblocks"]) == (48, 16)
+    assert rows[2]["rwbs"] == ""
     parsed = text.block_trace(text.read_lines(spark, str(path)))
-    assert parsed.filter("NOT parsed").count() == 1
+    assert parsed.filter("NOT parsed").count() == 2
 
 
 def test_tolerant_block_line(spark):
-    row = text.block_trace(lines(spark, "8,0 3 232 0.024952877 23185 RM WS2 3728512 + 8 [x]"), tolerant=True).first()
-    assert (row["action"], row["rwbs"], row["seq"], row["ts_ns"]) == ("RM", "WS2", 232, 24952877)
+    row = text.block_trace(lines(spark, "65,16 2 777 0.031415926 5150 AB RX9 1048592 + 40 [z]"), tolerant=True).first()
+    assert (row["action"], row["rwbs"], row["seq"], row["ts_ns"]) == ("AB", "RX9", 777, 31415926)
 
 
 def test_ftrace_lines(spark):
     rows = text.ftrace_block(
         lines(
             spark,
-            "kworker-1234 [003] d..2 12345.678: block_rq_issue: 259,5 WS 0 () 3256320 + 1024 [fio]",
-            "kworker-0    [003] d..2 12345.679: block_rq_complete: 259,5 WS () 3256320 + 1024 [0]",
+            "loader-77 [011] ...1 42.125: block_rq_issue: 251,4 RA 0 (x y) 81920 + 256 [loader]",
+            "idle-0 [011] ..s1 42.250: block_rq_complete: 251,4 RA () 81920 + 256 [0]",
             "something else",
         )
     ).orderBy("ts_ns").collect()
     assert [r["action"] for r in rows] == ["issue", "complete"]
-    assert rows[0]["bytes"] == 524288 and rows[0]["ts_ns"] == 12345678000000
+    assert rows[0]["bytes"] == 131072 and rows[0]["ts_ns"] == 42125000000 and rows[1]["sector"] == 81920
 
 
 def test_nvme_lines(spark):
     rows = text.ftrace_nvme(
         lines(
             spark,
-            "fio-1 [0] 1.5: NVME_SETUP_CMD: nvme0: nvme0n1 qid=2, cmdid=17, nsid=1, flags=0x0, cmd=(nvme_cmd_read slba=256121, len=0)",
-            "fio-1 [0] 1.6: nvme_complete_rq: nvme0: qid=2, cmdid=17, res=0",
+            "job-9 [4] 7.25: NVME_SETUP_CMD: nvme3: nvme3n2 qid=5, cmdid=40, nsid=2, flags=0x0, cmd=(nvme_cmd_read slba=4711, len=6, qid=99)",
+            "job-9 [4] 7.5: nvme_complete_rq: nvme3: qid=5, cmdid=40, res=0",
         )
     ).orderBy("ts_ns").collect()
-    assert rows[0]["disk"] == "nvme0n1" and rows[0]["cmd"].startswith("nvme_cmd_read")
+    assert (rows[0]["disk"], rows[0]["ctrl"], rows[0]["qid"], rows[0]["nsid"]) == ("nvme3n2", 3, 5, 2) and rows[0]["cmd"].startswith("nvme_cmd_read")
     assert rows[1]["disk"] is None and rows[1]["status"] == "unknown"
 
 
@@ -64,24 +65,24 @@ def test_strace_lines(spark):
     rows = text.strace(
         lines(
             spark,
-            '[pid 12] 1700000000.5 pread64(3, "", 4096, 8192) = 4096',
-            "[pid 12] 1700000001.5 clone(child_stack=NULL) = 77",
-            '1700000002.5 openat(AT_FDCWD, "/data/x", O_RDONLY) = 3',
-            '1700000003.5 read(3, ")", 1) = 1',
-            "1700000004.5 mmap(NULL, 8192, PROT_READ, MAP_SHARED, 3, 0) = 0x7f0000000000",
+            '[pid 31] 1800000000.5 pread64(6, "", 512, 1536) = 512',
+            "[pid 31] 1800000001.5 clone(child_stack=NULL) = 88",
+            '1800000002.5 openat(AT_FDCWD, "/data/x", O_RDONLY) = 3',
+            '1800000003.5 read(3, ")", 1) = 1',
+            "1800000004.5 mmap(NULL, 8192, PROT_READ, MAP_SHARED, 3, 0) = 0x7f0000000000",
         ),
         default_pid=9,
     ).orderBy("ts_ns").collect()
     assert [r["syscall"] for r in rows] == ["pread64", "clone", "openat", "mmap"]
-    assert (rows[0]["fd"], rows[0]["length"], rows[0]["offset"]) == (3, 4096, 8192)
-    assert rows[1]["child_pid"] == 77 and rows[2]["filename"] == "/data/x" and rows[2]["pid"] == 9
+    assert (rows[0]["fd"], rows[0]["length"], rows[0]["offset"]) == (6, 512, 1536)
+    assert rows[1]["child_pid"] == 88 and rows[2]["filename"] == "/data/x" and rows[2]["pid"] == 9
     assert rows[3]["return_value"] == 0x7F0000000000 and rows[3]["address"] == 0
 
 
 def test_maps_line(spark):
-    row = text.proc_maps(lines(spark, "7f0000000000-7f0000002000 -w-s 00001000 00:27 745345   /path/to file")).first()
-    assert row["end_addr"] - row["start_addr"] == 8192 and row["pathname"] == "/path/to file"
-    assert (row["perms"], row["file_offset"], row["inode"]) == ("-w-s", 4096, 745345)
+    row = text.proc_maps(lines(spark, "560000a00000-560000a02000 -w-s 00001000 08:11 90210   /some/where else")).first()
+    assert row["end_addr"] - row["start_addr"] == 8192 and row["pathname"] == "/some/where else"
+    assert (row["perms"], row["file_offset"], row["inode"]) == ("-w-s", 4096, 90210)
 
 
 def test_compressed_and_truncated_capture(spark, tmp_path):
