@@ -160,17 +160,15 @@ def durations(
 
 
 def inferred_block_bytes(
-    obj: DataFrame, cmd: DataFrame, candidates: Sequence[int], order: Sequence[str], sample: int = 50
+    obj: DataFrame, cmd: DataFrame, candidates: Sequence[int]
 ) -> DataFrame:
     """Score candidate block sizes by stores whose header command they explain.
 
-    The first ``sample`` stores that have commands vote; the flagged size (first
-    candidate) wins ties.
+    All stores that have commands vote; the flagged size (first candidate) wins
+    ties. No size is chosen if none explains anything.
     """
-    claimed = cmd.select(F.col("tid").alias("trace_id")).distinct()
-    stores = obj.filter("op = 'store'").join(claimed, "trace_id", "left_semi")
-    first = stores.orderBy(*order).limit(sample).select("trace_id", "slot_offset")
-    rows = cmd.join(F.broadcast(first), cmd["tid"] == first["trace_id"])
+    stores = obj.filter("op = 'store'").select("trace_id", "slot_offset")
+    rows = cmd.join(stores, cmd["tid"] == stores["trace_id"])
     hits = [
         F.max(F.when(F.col("slba") * v == F.col("slot_offset"), 1).otherwise(0)).alias(f"c{i}")
         for i, v in enumerate(candidates)
@@ -184,12 +182,12 @@ def inferred_block_bytes(
     )
     long = votes.select(F.explode(entries).alias("e")).select("e.*")
     scores = long.groupBy("block_bytes", "prio").agg(F.sum("hit").alias("score"))
-    top = scores.agg(F.max_by("block_bytes", F.struct(F.col("score"), -F.col("prio"))).alias("best"))
+    top = scores.filter("score > 0").agg(F.max_by("block_bytes", F.struct(F.col("score"), -F.col("prio"))).alias("best"))
     best = top.first()["best"]
     return scores.select(
         "block_bytes",
         "score",
-        (F.col("block_bytes") == F.lit(best)).alias("chosen"),
+        F.coalesce(F.col("block_bytes") == F.lit(best).cast("long"), F.lit(False)).alias("chosen"),
     )
 
 

@@ -168,12 +168,13 @@ def page_diff(pages: DataFrame, keys: Sequence[str], block: int, detail_up_to: i
     """Changed bytes per page and per sub-block between ``before`` and ``after``.
 
     Pages without changes are dropped. ``details`` lists (offset, old, new) for
-    pages with at most ``detail_up_to`` changes. Only dirty pages should be given.
+    pages with at most ``detail_up_to`` changes, and ``detailed`` tells for which;
+    ``page_changes`` lists all. Only dirty pages should be given.
     """
     schema = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in keys)
     schema += (
         ", changed_bytes long, changed_words long, blocks array<struct<block:int,changed:int>>"
-        ", details array<struct<offset:int,old:int,new:int>>"
+        ", details array<struct<offset:int,old:int,new:int>>, detailed boolean"
     )
     names = list(keys)
 
@@ -187,7 +188,8 @@ def page_diff(pages: DataFrame, keys: Sequence[str], block: int, detail_up_to: i
                 if not at.size:
                     continue
                 spots, counts = np.unique(at // block, return_counts=True)
-                few = at if at.size <= detail_up_to else at[:0]
+                detailed = at.size <= detail_up_to
+                few = at if detailed else at[:0]
                 out.append(
                     (
                         *[getattr(row, k) for k in names],
@@ -195,8 +197,15 @@ def page_diff(pages: DataFrame, keys: Sequence[str], block: int, detail_up_to: i
                         np.unique(at // 8).size,
                         [{"block": int(s), "changed": int(c)} for s, c in zip(spots, counts, strict=True)],
                         [{"offset": int(i), "old": int(a[i]), "new": int(b[i])} for i in few],
+                        detailed,
                     )
                 )
-            yield pd.DataFrame(out, columns=[*names, "changed_bytes", "changed_words", "blocks", "details"])
+            yield pd.DataFrame(out, columns=[*names, "changed_bytes", "changed_words", "blocks", "details", "detailed"])
 
     return pages.select(*names, "before", "after").mapInPandas(compare, schema)
+
+
+def page_changes(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, offset, old, new) of every byte that differs between ``before`` and ``after``."""
+    every = page_diff(pages, keys, PAGE, detail_up_to=PAGE)
+    return every.select(*keys, F.explode("details").alias("d")).select(*keys, "d.*")

@@ -54,6 +54,12 @@ def totals(events: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def ranked_totals(events: DataFrame, by: str) -> DataFrame:
+    """Totals with their rank by bytes, however many there are."""
+    rows = totals(events, [by]).withColumn("_less", -F.col("bytes"))
+    return Scan(rows, [], ["_less", by]).add(RunningSum("rank", F.lit(1))).df.drop("_less")
+
+
 def process_breakdown(events: DataFrame) -> DataFrame:
     """Per process and syscall: count, bytes, mean and share of the process's calls."""
     per = totals(events, ["pid", "syscall_name"])
@@ -72,20 +78,21 @@ def fd_usage(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def timeline(events: DataFrame, bin_ns: int = 100_000_000, max_bins: int = 200) -> DataFrame:
+def timeline(events: DataFrame, bin_ns: int = 100_000_000, max_bins: int | None = None) -> DataFrame:
     """Calls per process, syscall and bin; every process has its own bins.
 
-    A process gets one bin per ``bin_ns`` up to ``max_bins``; the event at the
-    very end of the last bin is left out.
+    A process gets one bin per ``bin_ns`` of its span; with ``max_bins`` its bins get wider instead of more. The event at the very end
+    belongs to the last bin.
     """
     spans = events.groupBy("pid").agg(
         F.min("ts_ns").alias("_t0"), (F.max("ts_ns") - F.min("ts_ns")).alias("_dur")
     )
-    bins = F.least(int_div(F.col("_dur"), bin_ns) + 1, F.lit(max_bins))
+    bins = int_div(F.col("_dur"), bin_ns) + 1
+    bins = F.least(bins, F.lit(max_bins)) if max_bins else bins
     rows = events.join(spans.withColumn("_n", bins), "pid")
     width = F.col("_dur") / F.col("_n")
-    at = F.when(F.col("_dur") > 0, F.floor((F.col("ts_ns") - F.col("_t0")) / width))
-    rows = rows.withColumn("bin", at.cast("long")).filter(F.col("bin") < F.col("_n"))
+    at = F.when(F.col("_dur") > 0, F.floor((F.col("ts_ns") - F.col("_t0")) / width)).otherwise(0)
+    rows = rows.withColumn("bin", F.least(at.cast("long"), F.col("_n") - 1))
     return rows.groupBy("pid", "syscall_name", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -127,38 +134,32 @@ def intent_summary(events: DataFrame, order: Sequence[str] = ("ts_ns", "event_id
 
 
 def fork_tree(edges: DataFrame) -> DataFrame:
-    """Root and depth of every process from (parent_pid, child_pid) edges.
+    """Root and depth of every process from (parent_pid, child_pid, ts_ns) fork records.
 
-    Every open process points at an ancestor; each round replaces it by what
-    that ancestor points at, so a tree of depth d takes about log2(d) joins.
-    A process whose ancestor is finished is finished too. Roots were running
-    before the trace.
+    Process ids are used again, so a process is a pid and its birth: the parent of a fork is the latest process of the parent's pid that
+    was born before it, or one that was running before the trace (``birth_ns`` -1, a root) if there is none. Parents are older than their
+    children, so there are no cycles. Records that repeat a birth count once (the smallest parent). Every open process points at an
+    ancestor; each round replaces it by what that ancestor points at, so a tree of depth d takes about log2(d) joins.
     """
-    todo = pin(
-        edges.select(
-            F.col("child_pid").alias("pid"),
-            F.col("parent_pid").alias("up"),
-            F.lit(1).cast("long").alias("depth"),
-        )
-    )
-    roots = todo.select(F.col("up").alias("pid")).distinct()
-    roots = roots.join(todo.select("pid"), "pid", "left_anti")
-    zero = F.lit(0).cast("long").alias("depth")
-    done = pin(roots.select("pid", F.col("pid").alias("root"), zero))
-    for _ in range(64):
+    born = edges.groupBy(F.col("child_pid").alias("pid"), F.col("ts_ns").alias("birth_ns")).agg(F.min("parent_pid").alias("up"))
+    born = pin(born.withColumn("before_ns", F.col("birth_ns") - 1))
+    births = born.select(F.col("pid").alias("up"), F.col("birth_ns").alias("up_birth"))
+    placed = asof_join(born, births, ["up"], "before_ns", "up_birth", {"up_birth": "up_birth"})
+    todo = pin(placed.select("pid", "birth_ns", "up", F.coalesce("up_birth", F.lit(-1)).cast("long").alias("up_birth"), F.lit(1).cast("long").alias("depth")))
+    done = todo.filter("up_birth = -1").select(F.col("up").alias("pid"), F.lit(-1).cast("long").alias("birth_ns")).distinct()
+    done = pin(done.select("pid", "birth_ns", F.col("pid").alias("root"), F.lit(0).cast("long").alias("depth")))
+    while not todo.isEmpty():
         ends = done.select(
-            F.col("pid").alias("up"), F.col("root").alias("_up"), F.col("depth").alias("_d"), F.lit(True).alias("_end")
+            F.col("pid").alias("up"), F.col("birth_ns").alias("up_birth"), F.col("root").alias("_up"), F.lit(None).cast("long").alias("_birth"), F.col("depth").alias("_d"), F.lit(True).alias("_end")
         )
         ways = todo.select(
-            F.col("pid").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.lit(False).alias("_end")
+            F.col("pid").alias("up"), F.col("birth_ns").alias("up_birth"), F.col("up").alias("_up"), F.col("up_birth").alias("_birth"), F.col("depth").alias("_d"), F.lit(False).alias("_end")
         )
-        joined = todo.join(ends.unionByName(ways), "up")
-        step = pin(joined.select("pid", "_up", (F.col("depth") + F.col("_d")).alias("depth"), "_end"))
-        done = done.unionByName(step.filter("_end").select("pid", F.col("_up").alias("root"), "depth"))
-        todo = step.filter("NOT _end").select("pid", F.col("_up").alias("up"), "depth")
-        if todo.isEmpty():
-            return done
-    raise ValueError("the fork edges form a cycle")
+        joined = todo.join(ends.unionByName(ways), ["up", "up_birth"])
+        step = pin(joined.select("pid", "birth_ns", "_up", "_birth", (F.col("depth") + F.col("_d")).alias("depth"), "_end"))
+        done = done.unionByName(step.filter("_end").select("pid", "birth_ns", F.col("_up").alias("root"), "depth"))
+        todo = step.filter("NOT _end").select("pid", "birth_ns", F.col("_up").alias("up"), F.col("_birth").alias("up_birth"), "depth")
+    return done
 
 
 def basename(path: Column) -> Column:

@@ -698,18 +698,16 @@ def alignment_summary(t: Tables) -> DataFrame:
     ALIGN_SQL
     + f"""SELECT 'iu_bin' AS kind, is_read, CASE WHEN nblocks < {IU} THEN 0
             WHEN nblocks / {IU} <= 16 THEN nblocks // {IU} ELSE 17 END AS value, count(*) n FROM am GROUP BY ALL
-       UNION ALL SELECT 'iu_crossings', is_read, iu_crossings, count(*) FROM am WHERE iu_crossings <= 20 GROUP BY ALL
-       UNION ALL SELECT 'npwg_units', is_read, np_touched, count(*) FROM am WHERE np_touched <= 32 GROUP BY ALL
-       UNION ALL SELECT 'awun_crossings', is_read, awc, count(*) FROM am WHERE awc <= 16 GROUP BY ALL""",
+       UNION ALL SELECT 'iu_crossings', is_read, least(iu_crossings, 21), count(*) FROM am GROUP BY ALL
+       UNION ALL SELECT 'npwg_units', is_read, least(np_touched, 33), count(*) FROM am GROUP BY ALL
+       UNION ALL SELECT 'awun_crossings', is_read, least(awc, 17), count(*) FROM am GROUP BY ALL""",
     "req",
 )
 def alignment_histograms(t: Tables) -> DataFrame:
-    """All four histograms from one pass; values past a histogram's end are not shown."""
-    ends = {"iu_bin": 17, "iu_crossings": 20, "npwg_units": 32, "awun_crossings": 16}
-    entries = F.array(
-        *[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value"), F.lit(e).alias("e")) for k, e in ends.items()]
-    )
-    rows = _aligned(t).select("is_read", F.explode(entries).alias("h")).filter("h.value <= h.e")
+    """All four histograms from one pass; the last bin of each holds all that is larger."""
+    ends = {"iu_bin": 17, "iu_crossings": 21, "npwg_units": 33, "awun_crossings": 17}
+    entries = F.array(*[F.struct(F.lit(k).alias("kind"), F.least(F.col(k), F.lit(e)).alias("value")) for k, e in ends.items()])
+    rows = _aligned(t).select("is_read", F.explode(entries).alias("h"))
     return rows.groupBy("h.kind", "is_read", "h.value").agg(F.count(F.lit(1)).alias("n"))
 
 

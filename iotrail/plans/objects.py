@@ -594,19 +594,18 @@ def replay_manifest(t: Tables) -> DataFrame:
 @query(
     "block_size_inference",
     "J27 T6",
-    """s AS (SELECT trace_id, slot_offset FROM obj WHERE op = 'store' AND trace_id IN (SELECT tid FROM cmd)
-            ORDER BY ts_ns, trace_id LIMIT 50),
+    """s AS (SELECT trace_id, slot_offset FROM obj WHERE op = 'store'),
       c AS (SELECT unnest([512, 4096, 8192]) block_bytes, unnest([0, 1, 2]) prio),
       v AS (SELECT block_bytes, prio, trace_id, max(CASE WHEN slba * block_bytes = slot_offset + 131072 THEN 1 ELSE 0 END) hit
             FROM s JOIN cmd ON tid = trace_id, c GROUP BY ALL),
       t AS (SELECT block_bytes, prio, CAST(sum(hit) AS BIGINT) score FROM v GROUP BY ALL)
-      SELECT block_bytes, score, row_number() OVER (ORDER BY score DESC, prio) = 1 chosen FROM t""",
+      SELECT block_bytes, score, row_number() OVER (ORDER BY score DESC, prio) = 1 AND score > 0 chosen FROM t""",
     "obj cmd",
 )
 def block_size_inference(t: Tables) -> DataFrame:
     """Stores here start with a command 128 KiB into their slot."""
     obj = t.obj.withColumn("slot_offset", F.col("slot_offset") + 131072)
-    return O.inferred_block_bytes(obj, t.cmd, [512, 4096, 8192], ["ts_ns", "trace_id"])
+    return O.inferred_block_bytes(obj, t.cmd, [512, 4096, 8192])
 
 
 @query(

@@ -212,17 +212,17 @@ def hottest_window(t: Tables) -> DataFrame:
     "dirty_runs",
     "W20",
     PAGE_SQL
-    + """, d AS (SELECT start_addr, page_idx, page_idx - row_number() OVER (PARTITION BY start_addr ORDER BY page_idx) run FROM pg
-               WHERE iter = 0 AND (page_idx // 3 + base) % 2 = 0)
-      SELECT start_addr, min(page_idx) run_start, count(*) n FROM d GROUP BY start_addr, run""",
+    + """, d AS (SELECT start_addr, iter, page_idx, page_idx - row_number() OVER (PARTITION BY start_addr, iter ORDER BY page_idx) run FROM pg
+               WHERE (page_idx // 3 + base + iter) % 2 = 0)
+      SELECT start_addr, iter, min(page_idx) run_start, count(*) n FROM d GROUP BY start_addr, iter, run""",
     "vma",
 )
 def dirty_runs(t: Tables) -> DataFrame:
     """Runs of pages; three pages in a row share their state here."""
     base = S.int_div(F.col("start_addr"), 1048576)
-    dirty = pages(t).filter((F.col("iter") == 0) & ((S.int_div(F.col("page_idx"), 3) + base) % 2 == 0))
-    rows = runs(dirty.select("start_addr", "page_idx"), ["start_addr"], "page_idx")
-    return rows.groupBy("start_addr", "run").agg(
+    dirty = pages(t).filter((S.int_div(F.col("page_idx"), 3) + base + F.col("iter")) % 2 == 0)
+    rows = runs(dirty.select("start_addr", "iter", "page_idx"), ["start_addr", "iter"], "page_idx")
+    return rows.groupBy("start_addr", "iter", "run").agg(
         F.min("page_idx").alias("run_start"), F.count(F.lit(1)).alias("n")
     ).drop("run")
 

@@ -95,10 +95,7 @@ def file_access_table(t: Tables) -> DataFrame:
     "sysev",
 )
 def syscall_totals(t: Tables) -> DataFrame:
-    """Totals per call; there are at most a few hundred calls to rank."""
-    rows = rounded(Y.totals(t.sysev, ["syscall_name"]))
-    best = top_ranked(rows, [F.desc("bytes"), F.asc("syscall_name")], 512)
-    return best.withColumn("rank", F.col("rank").cast("long"))
+    return rounded(Y.ranked_totals(t.sysev, "syscall_name")).withColumn("rank", F.col("rank").cast("long"))
 
 
 BREAK_SQL = """
@@ -148,11 +145,11 @@ def descriptor_usage(t: Tables) -> DataFrame:
     "descriptor_usage_by_process",
     "A30",
     """SELECT pid, fd, count(*) ops, CAST(sum(size) AS BIGINT) bytes, array_to_string(list_sort(list(DISTINCT syscall_name)), ',') syscalls
-       FROM sysev WHERE fd < 1000 GROUP BY pid, fd""",
+       FROM sysev WHERE fd IS NOT NULL AND fd <> 4294967295 GROUP BY pid, fd""",
     "sysev",
 )
 def descriptor_usage_by_process(t: Tables) -> DataFrame:
-    rows = Y.fd_usage(t.sysev.filter("fd < 1000"), ["pid"])
+    rows = Y.fd_usage(t.sysev, ["pid"])
     return rows.withColumn("syscalls", F.array_join("syscalls", ","))
 
 
@@ -191,13 +188,14 @@ def size_bucket_by_syscall(t: Tables) -> DataFrame:
     "syscall_timeline",
     "A32",
     """s AS (SELECT pid, min(ts_ns) t0, max(ts_ns) - min(ts_ns) dur FROM sysev GROUP BY pid),
-      b AS (SELECT *, least(dur // 100000000 + 1, 200) n FROM s),
-      e AS (SELECT pid, syscall_name, CAST(floor((ts_ns - t0) / (dur / n)) AS BIGINT) bin, n FROM sysev JOIN b USING (pid))
-      SELECT pid, syscall_name, bin, count(*) n FROM e WHERE bin < n GROUP BY ALL""",
+      b AS (SELECT *, dur // 86400000000000 + 1 n FROM s),
+      e AS (SELECT pid, syscall_name, least(CASE WHEN dur > 0 THEN CAST(floor((ts_ns - t0) / (dur / n)) AS BIGINT) ELSE 0 END, n - 1) bin FROM sysev JOIN b USING (pid))
+      SELECT pid, syscall_name, bin, count(*) n FROM e GROUP BY ALL""",
     "sysev",
 )
 def syscall_timeline(t: Tables) -> DataFrame:
-    return Y.timeline(t.sysev)
+    """Bins of a day, as these events are minutes apart."""
+    return Y.timeline(t.sysev, 86_400_000_000_000)
 
 
 @query(
@@ -333,19 +331,20 @@ def sampled_events(t: Tables) -> DataFrame:
 
 
 TREE_SQL = """
-ed AS (SELECT p_partkey // 3 parent, p_partkey child FROM part WHERE p_partkey % 50 > 0),
-rt AS (SELECT DISTINCT parent pid FROM ed WHERE parent NOT IN (SELECT child FROM ed)),
-tr AS (SELECT pid, pid root, CAST(0 AS BIGINT) depth FROM rt
-       UNION ALL SELECT child, root, depth + 1 FROM tr JOIN ed ON ed.parent = tr.pid)
+ed AS (SELECT p_partkey ts, p_partkey // 3 % 150 parent, p_partkey % 150 child FROM part),
+pe AS (SELECT e.ts, e.parent, e.child, coalesce(b.ts, -1) born FROM ed e ASOF LEFT JOIN ed b ON b.child = e.parent AND e.ts > b.ts),
+tr AS (SELECT DISTINCT parent pid, CAST(-1 AS BIGINT) birth_ns, parent root, CAST(0 AS BIGINT) depth FROM pe WHERE born = -1
+       UNION ALL SELECT child, ts, root, depth + 1 FROM tr JOIN pe ON pe.parent = tr.pid AND pe.born = tr.birth_ns)
 """
 
 
 def _edges(t: Tables) -> DataFrame:
+    """Forks of 150 process ids that are used again and again."""
     key = F.col("p_partkey")
-    return t.part.filter(key % 50 > 0).select(S.int_div(key, 3).alias("parent_pid"), key.alias("child_pid"))
+    return t.part.select((S.int_div(key, 3) % 150).alias("parent_pid"), (key % 150).alias("child_pid"), key.alias("ts_ns"))
 
 
-@query("fork_tree", "J22 M17", "WITH RECURSIVE " + TREE_SQL + "SELECT pid, root, depth FROM tr")
+@query("fork_tree", "J22 M17", "WITH RECURSIVE " + TREE_SQL + "SELECT pid, birth_ns, root, depth FROM tr")
 def fork_tree(t: Tables) -> DataFrame:
     return Y.fork_tree(_edges(t))
 
@@ -356,7 +355,7 @@ def fork_tree(t: Tables) -> DataFrame:
     "WITH RECURSIVE "
     + TREE_SQL
     + """, top AS (SELECT root FROM tr GROUP BY root ORDER BY count(*) DESC, root LIMIT 1)
-    SELECT pid, depth FROM tr WHERE root = (SELECT root FROM top)""",
+    SELECT pid, birth_ns, depth FROM tr WHERE root = (SELECT root FROM top)""",
 )
 def tracked_by_fork(t: Tables) -> DataFrame:
     """All descendants of the root with the largest family."""
@@ -364,7 +363,7 @@ def tracked_by_fork(t: Tables) -> DataFrame:
 
     tree = pin(Y.fork_tree(_edges(t)))
     best = tree.groupBy("root").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "root").limit(1)
-    return tree.join(F.broadcast(best), "root", "left_semi").select("pid", "depth")
+    return tree.join(F.broadcast(best), "root", "left_semi").select("pid", "birth_ns", "depth")
 
 
 @query(
