@@ -32,8 +32,8 @@ def scatter(docs: DataFrame, key: list[str], text: str, seed: int, bucket_bytes:
     n = max(1, -(-total // bucket_bytes))
     draw = F.xxhash64(F.lit(seed), *map(quoted, key), F.spark_partition_id())
     rows = docs.select(draw.alias("draw"), F.struct(*map(quoted, docs.columns)).alias("row"))
-    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("draw")), F.lit(n))
-    return rows.select(bucket.alias("bucket"), "draw", "row").repartition(n, "bucket").sortWithinPartitions("bucket", "draw")
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("draw")), F.lit(n)).cast("int")
+    return rows.select(bucket.alias("bucket"), "draw", "row").repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "draw")
 
 
 def shuffled_buckets(scattered: DataFrame, seed: int) -> DataFrame:
