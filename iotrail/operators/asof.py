@@ -45,7 +45,9 @@ def asof_join(
         F.struct(*left.columns).alias("_row"),
     )
     both = rows_r.unionByName(rows_l, allowMissingColumns=True)
-    order = ["_at", "_side", *[f"_tie{i}" for i in range(len(right_tie))]]
+    # Left rows at one position are spread by a hash of what they hold, so that a hot position is no single chunk.
+    both = both.withColumn("_mix", F.xxhash64("_row"))
+    order = ["_at", "_side", *[f"_tie{i}" for i in range(len(right_tie))], "_mix"]
     seen = Scan(both, keys, order, chunked).add(LastSeen("_seen", F.col("_hit"))).df
     return seen.filter("_side = 1").select("_row.*", *[f"_seen.{n}" for n in take.values()])
 

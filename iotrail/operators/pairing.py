@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from iotrail.operators.scan import Clamped, Following, Previous, RunningSum, Scan
+from iotrail.operators.scan import ClampedBefore, Following, Previous, RunningSum, Scan
 
 US = 1000.0
 
@@ -31,9 +31,8 @@ def lifecycles(
     slim = used.select(*dict.fromkeys([*keys, *order, "action", "rwbs", "ts_ns"]))
     step = F.when(action == "Q", 1).when(action == "C", -1).otherwise(0)
     floor = F.when(action == "C", 0).otherwise(1)
-    scan = Scan(slim, keys, order, chunked).add(Clamped("_open", step, floor))
-    scan.add(Previous("_before", F.col("_open")))
-    before = F.coalesce(F.col("_before"), F.lit(0))
+    scan = Scan(slim, keys, order, chunked).add(ClampedBefore("_before", step, floor))
+    before = F.col("_before")
     pushes = (action == "Q") | ((action == "D") & (before == 0))
     pops = (action == "C") & (before > 0)
     scan.add(
@@ -163,9 +162,8 @@ def latest_pairs(
     order = [ts, "_side", *tie]
     opens = F.col("_side") == 0
     scan = Scan(both, [key], order, chunked)
-    scan.add(Clamped("_depth", F.when(opens, 1).otherwise(-1), F.lit(0)))
-    scan.add(Previous("_was", F.col("_depth")))
-    level = F.when(opens, F.col("_depth")).otherwise(F.coalesce(F.col("_was"), F.lit(0)))
+    scan.add(ClampedBefore("_was", F.when(opens, 1).otherwise(-1), F.lit(0)))
+    level = F.when(opens, F.col("_was") + 1).otherwise(F.col("_was"))
     leveled = scan.df.withColumn("_level", level).filter("_level > 0")
     # A level is part of a key, so it needs no measuring of its own.
     pairs = Scan(leveled, [key, "_level"], order, scan.chunked)

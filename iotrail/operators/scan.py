@@ -202,6 +202,24 @@ class Clamped(Measure):
         return a + F.greatest(F.lit(0), m)
 
 
+@dataclass
+class ClampedBefore(Clamped):
+    """What ``Clamped`` was before the row; 0 on the first row of a key."""
+
+    def first(self, rows):
+        return {**super().first(rows), self._c("b"): F.sum(self.value).over(_upto(rows, True))}
+
+    def second(self, rows):
+        return {**super().second(rows), self._c("n"): F.max(self._floor() - F.col(self._c("a"))).over(_upto(rows, True))}
+
+    def result(self, carried):
+        a, m = F.coalesce(F.col(self._c("b")), F.lit(0)), F.coalesce(F.col(self._c("n")), F.lit(0))
+        if carried:
+            start = F.coalesce(F.col(self._c("ka")), F.lit(0))
+            a, m = a + start, F.greatest(F.col(self._c("n")) - start, F.col(self._c("km")))
+        return a + F.greatest(F.lit(0), m)
+
+
 class Scan:
     """A scan of ``df`` in the order of ``order``, restarted for each key.
 
@@ -237,9 +255,12 @@ class Scan:
         rows = Window.partitionBy(*parts).orderBy(*self.order)
         if self.chunked and not self._written:
             self._df = pin(self._df)
-        self._written = False
         kept = self._df.columns
         local = self._df
+        if self.chunked and self._written:
+            # Every chunk goes to the partition of its number; later windows and additions find it there.
+            local = local.repartitionById(_partitions(local), F.col(CHUNK))
+        self._written = False
         for step in ("first", "second"):
             columns: dict[str, Column] = {}
             for measure in measures:
@@ -288,6 +309,10 @@ class Scan:
         return self._df.drop(CHUNK)
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _null_safe_join(rows: DataFrame, small: DataFrame, by: Sequence[str], how: str) -> DataFrame:
     """Join with at most two rows per chunk on ``by``; a null key is a key like any other."""
     marked = small.select(

@@ -48,12 +48,13 @@ H = 3_600_000_000
     WINDOW_SQL
     + f""", b AS (SELECT us // {6 * H} * {6 * H} AS st, * FROM e)
       SELECT st AS "start", st + {6 * H} AS "end", event_type, count(*) n, CAST(sum(size) AS BIGINT) bytes
-      FROM b WHERE st + {6 * H} <= (SELECT mx // 1000 * 1000 FROM m) - {H} GROUP BY st, event_type""",
+      FROM b GROUP BY st, event_type""",
 )
 def stream_tumbling_status(t: Tables) -> DataFrame:
-    """Closed six-hour windows; the watermark is an hour behind."""
-    rows = jobs.tumbling_status(sized_events(t), "time", "6 hours", "1 hour", ["event_type"])
-    return to_micros(jobs.run_available(rows, name="tumbling"))
+    """Six-hour windows; the watermark is an hour behind, and the end of the stream closes the last ones."""
+    events, close = jobs.closable(sized_events(t), "time")
+    rows = jobs.tumbling_status(events, "time", "6 hours", "1 hour", ["event_type"])
+    return to_micros(jobs.run_available(rows, name="tumbling", close=close))
 
 
 @query(
@@ -61,12 +62,12 @@ def stream_tumbling_status(t: Tables) -> DataFrame:
     "R3",
     WINDOW_SQL
     + f""", x AS (SELECT us // {6 * H} * {6 * H} - k * {6 * H} AS st, size FROM e, (SELECT unnest([0, 1, 2, 3]) k))
-      SELECT st AS "start", st + {24 * H} AS "end", count(*) n, CAST(sum(size) AS BIGINT) bytes FROM x, m
-      WHERE st + {24 * H} <= mx // 1000 * 1000 - {H} GROUP BY st""",
+      SELECT st AS "start", st + {24 * H} AS "end", count(*) n, CAST(sum(size) AS BIGINT) bytes FROM x GROUP BY st""",
 )
 def stream_sliding_status(t: Tables) -> DataFrame:
-    rows = jobs.tumbling_status(sized_events(t), "time", "24 hours", "1 hour", slide="6 hours")
-    return to_micros(jobs.run_available(rows, name="sliding"))
+    events, close = jobs.closable(sized_events(t), "time")
+    rows = jobs.tumbling_status(events, "time", "24 hours", "1 hour", slide="6 hours")
+    return to_micros(jobs.run_available(rows, name="sliding", close=close))
 
 
 @query(
@@ -75,12 +76,12 @@ def stream_sliding_status(t: Tables) -> DataFrame:
     WINDOW_SQL
     + f""", l AS (SELECT *, lag(us) OVER (PARTITION BY pid ORDER BY us) p FROM e),
       s AS (SELECT *, sum(CASE WHEN p IS NULL OR us - p >= {4 * H} THEN 1 ELSE 0 END) OVER (PARTITION BY pid ORDER BY us ROWS UNBOUNDED PRECEDING) k FROM l)
-      SELECT pid, min(us) AS "start", max(us) + {4 * H} AS "end", count(*) n FROM s GROUP BY pid, k
-      HAVING max(us) + {4 * H} <= (SELECT mx // 1000 * 1000 FROM m) - {H}""",
+      SELECT pid, min(us) AS "start", max(us) + {4 * H} AS "end", count(*) n FROM s GROUP BY pid, k""",
 )
 def stream_activity_sessions(t: Tables) -> DataFrame:
-    rows = jobs.activity_sessions(sized_events(t), "time", "4 hours", "1 hour", ["pid"])
-    return to_micros(jobs.run_available(rows, name="sessions"))
+    events, close = jobs.closable(sized_events(t), "time")
+    rows = jobs.activity_sessions(events, "time", "4 hours", "1 hour", ["pid"])
+    return to_micros(jobs.run_available(rows, name="sessions", close=close))
 
 
 @query(
@@ -98,21 +99,24 @@ TIMEOUT = 48 * 3_600_000_000_000
 
 PAIR_SQL = f"""
 e AS (SELECT user_id tid, epoch_us(ts) * 1000 ns, event_type = 'view' st FROM events WHERE event_type IN ('view', 'purchase')),
-l AS (SELECT *, lag(ns) OVER w pns, lag(st) OVER w ps FROM e WINDOW w AS (PARTITION BY tid ORDER BY ns))
+l AS (SELECT *, lead(ns) OVER w nns, lead(st) OVER w nst FROM e WINDOW w AS (PARTITION BY tid ORDER BY ns, st)),
+x AS (SELECT (max(ns) // 1000000) - 3600000 mark FROM e)
 """
 
 
 @query(
     "stream_pairs",
     "R5 R6 J6",
-    PAIR_SQL + f"SELECT tid, pns start_ns, ns end_ns FROM l WHERE NOT st AND ps AND ns - pns <= {TIMEOUT}",
+    PAIR_SQL
+    + f"""SELECT tid, CASE WHEN nns IS NULL AND (ns + {TIMEOUT}) // 1000000 > mark THEN 'open' WHEN nns IS NULL OR nns - ns > {TIMEOUT} THEN 'expired' ELSE 'paired' END outcome,
+         ns start_ns, CASE WHEN nns - ns <= {TIMEOUT} THEN nns END end_ns FROM l, x WHERE st AND (nns IS NULL OR nns - ns > {TIMEOUT} OR NOT nst)""",
 )
 def stream_pairs(t: Tables) -> DataFrame:
-    """Starts and ends paired per thread; starts older than two days have expired."""
+    """Starts and ends paired per thread; starts older than two days have expired, those left at the end are open."""
     rows = sized_events(t).filter("event_type IN ('view', 'purchase')")
-    rows = rows.withColumn("is_start", F.col("event_type") == "view")
-    emitted = jobs.run_available(jobs.paired(rows, ["tid"], "time", "1 hour", TIMEOUT), name="pairs")
-    return emitted.filter("outcome = 'paired'").select("tid", "start_ns", "end_ns")
+    rows, close = jobs.closable(rows.withColumn("is_start", F.col("event_type") == "view"), "time")
+    emitted = jobs.run_available(jobs.paired(rows, ["tid"], "time", "1 hour", TIMEOUT), name="pairs", close=close)
+    return emitted.select("tid", "outcome", "start_ns", "end_ns")
 
 
 @query(
@@ -134,15 +138,17 @@ def stream_block_heat(t: Tables) -> DataFrame:
 @query(
     "stream_tracked_processes",
     "R9 F7",
-    """WITH RECURSIVE ed AS (SELECT p_partkey // 3 parent, p_partkey child FROM part WHERE p_partkey > 2),
-      tr AS (SELECT 1 pid, CAST(0 AS BIGINT) depth UNION ALL SELECT child, depth + 1 FROM tr JOIN ed ON ed.parent = tr.pid)
-      SELECT CAST(pid AS BIGINT) pid, depth FROM tr""",
+    """WITH RECURSIVE ed AS (SELECT p_partkey ts, p_partkey // 3 % 150 parent, p_partkey % 150 child FROM part),
+      pe AS MATERIALIZED (SELECT e.ts, e.parent, e.child, coalesce(b.ts, -1) born FROM ed e ASOF LEFT JOIN ed b ON b.child = e.parent AND e.ts > b.ts),
+      tr AS (SELECT CAST(0 AS BIGINT) pid, CAST(-1 AS BIGINT) birth_ns, CAST(0 AS BIGINT) depth
+             UNION ALL SELECT child, ts, depth + 1 FROM tr JOIN pe ON pe.parent = tr.pid AND pe.born = tr.birth_ns)
+      SELECT pid, birth_ns, depth FROM tr""",
 )
 def stream_tracked_processes(t: Tables) -> DataFrame:
     key = F.col("p_partkey")
-    edges = stream(t, "part", PARTS).filter(key > 2)
-    edges = edges.select(int_div(key, 3).alias("parent_pid"), key.alias("child_pid"))
-    return jobs.tracked_processes(edges, [1]).select("pid", "depth")
+    edges = stream(t, "part", PARTS)
+    edges = edges.select((int_div(key, 3) % 150).alias("parent_pid"), (key % 150).alias("child_pid"), key.alias("ts_ns"))
+    return jobs.tracked_processes(edges, [0]).select("pid", "birth_ns", "depth")
 
 
 @query(

@@ -332,7 +332,7 @@ def sampled_events(t: Tables) -> DataFrame:
 
 TREE_SQL = """
 ed AS (SELECT p_partkey ts, p_partkey // 3 % 150 parent, p_partkey % 150 child FROM part),
-pe AS (SELECT e.ts, e.parent, e.child, coalesce(b.ts, -1) born FROM ed e ASOF LEFT JOIN ed b ON b.child = e.parent AND e.ts > b.ts),
+pe AS MATERIALIZED (SELECT e.ts, e.parent, e.child, coalesce(b.ts, -1) born FROM ed e ASOF LEFT JOIN ed b ON b.child = e.parent AND e.ts > b.ts),
 tr AS (SELECT DISTINCT parent pid, CAST(-1 AS BIGINT) birth_ns, parent root, CAST(0 AS BIGINT) depth FROM pe WHERE born = -1
        UNION ALL SELECT child, ts, root, depth + 1 FROM tr JOIN pe ON pe.parent = tr.pid AND pe.born = tr.birth_ns)
 """

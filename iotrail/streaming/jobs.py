@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,28 @@ def tail(
     return reader.schema(schema).load(folder)
 
 
+#: The time of the row that closes a stream; nothing recorded is that late.
+CLOSING = "2250-01-01 00:00:00"
+
+
+def closable(events: DataFrame, time: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``events`` and a function that ends them: what still waits for the watermark then comes out.
+
+    The function adds one row with nothing but a very late time, which moves the watermark past all windows and timeouts; its own window
+    stays open. Call it when nothing will follow, between two runs of the same query (see ``run_available``).
+    """
+    spark, folder = events.sparkSession, scratch(events.sparkSession, "closing")
+    spark.createDataFrame([], events.schema).write.parquet(folder)
+    nullable = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
+    late = spark.readStream.schema(nullable).parquet(folder)
+
+    def close() -> None:
+        columns = [F.lit(CLOSING if f.name == time else None).cast(f.dataType).alias(f.name) for f in events.schema.fields]
+        spark.range(1).select(*columns).write.mode("append").parquet(folder)
+
+    return events.unionByName(late), close
+
+
 def event_time(ts_ns: Column) -> Column:
     return F.timestamp_micros((ts_ns / 1000).cast("bigint"))
 
@@ -71,8 +94,13 @@ def paired(
 
     Needs ``is_start`` and ``ts_ns``. A later start replaces an open one and an
     end without a start is dropped. A start that is still open when the watermark
-    is ``timeout_ns`` past it gives a row with outcome expired.
+    is ``timeout_ns`` past it gives a row with outcome expired; one that is open
+    when the stream is closed (see ``closable``), with outcome open.
+
+    Rows of a key are sorted and compared with their neighbours as arrays.
     """
+    closing_ms = int(pd.Timestamp(CLOSING, tz="UTC").timestamp() * 1000) - 366 * 86_400_000
+
     fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     key_schema = ", ".join(f"{k} {fields[k]}" for k in keys)
     output = f"{key_schema}, outcome string, start_ns bigint, end_ns bigint"
@@ -80,38 +108,34 @@ def paired(
     def step(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
         if state.hasTimedOut:
-            out.append((*key, "expired", state.get[0], None))
+            outcome = "open" if state.getCurrentWatermarkMs() > closing_ms else "expired"
+            found = pd.DataFrame({"outcome": [outcome], "start_ns": pd.array([state.get[0]], "Int64"), "end_ns": pd.array([None], "Int64")})
             state.remove()
         else:
-            opened = state.get[0] if state.exists else None
-            rows = pd.concat([b[["ts_ns", "is_start"]] for b in batches])
-            rows = rows.sort_values(["ts_ns", "is_start"])
-            for ts, is_start in zip(rows["ts_ns"], rows["is_start"], strict=True):
-                if opened is not None and ts - opened > timeout_ns:
-                    out.append((*key, "expired", opened, None))
-                    opened = None
-                if is_start:
-                    opened = int(ts)
-                elif opened is not None:
-                    out.append((*key, "paired", opened, int(ts)))
-                    opened = None
-            if opened is None:
-                if state.exists:
-                    state.remove()
-            else:
+            rows = pd.concat([b[["ts_ns", "is_start"]] for b in batches]).dropna()
+            ts, starts = rows["ts_ns"].to_numpy("int64"), rows["is_start"].to_numpy(bool)
+            order = np.lexsort((starts, ts))
+            ts, starts = ts[order], starts[order]
+            if state.exists:
+                ts, starts = np.append(np.int64(state.get[0]), ts), np.append(True, starts)
+            # A start is over at the next event of its key: too late for it, an end that pairs, or another start that replaces it.
+            late = ts[1:] - ts[:-1] > timeout_ns
+            over = starts[:-1] & (late | ~starts[1:])
+            end = pd.array(ts[1:][over], "Int64")
+            end[late[over]] = None
+            found = pd.DataFrame({"outcome": np.where(late[over], "expired", "paired"), "start_ns": pd.array(ts[:-1][over], "Int64"), "end_ns": end})
+            if len(ts) and starts[-1]:
+                opened = int(ts[-1])
                 state.update((opened,))
                 due = (opened + timeout_ns) // 1_000_000
                 state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        if not out:
-            return
-        columns = list(zip(*out, strict=True))
-        frame = {n: list(c) for n, c in zip([*keys, "outcome"], columns, strict=False)}
-        for name, values in zip(("start_ns", "end_ns"), columns[-2:], strict=True):
-            # Nullable integers: a float column would lose nanoseconds.
-            frame[name] = pd.array(values, dtype="Int64")
-        yield pd.DataFrame(frame)
+            elif state.exists:
+                state.remove()
+        if len(found):
+            for name, value in reversed(list(zip(keys, key, strict=True))):
+                found.insert(0, name, [value] * len(found))
+            yield found
 
     slim = events.withWatermark(time, delay).select(*keys, time, "ts_ns", "is_start")
     return slim.groupBy(*keys).applyInPandasWithState(
@@ -162,9 +186,11 @@ def wall_clock(records: DataFrame, anchors: DataFrame, keys: Sequence[str] = ())
     return rows.withColumn("wall_ns", F.col("ts_ns") + F.col("_r") - F.col("_m")).drop("_m", "_r")
 
 
-def run_available(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", name: str = "stream", close: Callable[[], None] | None = None) -> DataFrame:
     """Process what is there and return the emitted rows, written as Parquet.
 
+    With ``close`` (see ``closable``) the stream then ends, and what was left open is emitted, too.
+
     In update mode a row may be emitted several times; ``batch`` tells in which
     micro-batch, so that the latest one can be taken.
     """
@@ -176,9 +202,11 @@ def run_available(stream: DataFrame, mode: str = "append", name: str = "stream")
         # One folder per batch: a batch that is run again replaces its own rows.
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state)
-    query = writer.foreachBatch(append).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(append).trigger(availableNow=True)
+    writer.start().awaitTermination()
+    if close:
+        close()
+        writer.start().awaitTermination()
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     return spark.read.schema(f"{fields}, batch bigint").parquet(out)
 
@@ -193,7 +221,7 @@ def latest(emitted: DataFrame, keys: Sequence[str]) -> DataFrame:
 def tracked_processes(
     edges: DataFrame, roots: Sequence[int], finish: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """Process ids that descend from the roots, kept up to date as fork events come in.
+    """Processes (pid and birth) that descend from the roots, kept up to date as fork events (with ts_ns) come in.
 
     Each batch adds its edges to a table of all edges and writes the closure
     anew; the closure of the last batch is returned.
@@ -206,7 +234,7 @@ def tracked_processes(
 
     def merge(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/edges/batch={number}")
-        known = spark.read.parquet(f"{base}/edges").select("parent_pid", "child_pid").distinct()
+        known = spark.read.parquet(f"{base}/edges").select("parent_pid", "child_pid", "ts_ns").distinct()
         if known.isEmpty():
             return
         tree = fork_tree(known).join(F.broadcast(first), "root", "left_semi")

@@ -47,6 +47,26 @@ def test_a_plain_keyed_scan_shuffles_once(spark):
     assert plan(scan.df).count("Exchange hashpartitioning") == 1
 
 
+def test_chunks_are_placed_by_number(spark):
+    df = spark.range(6400).select((F.col("id") % 3).alias("k"), "id")
+    scan = Scan(df, ["k"], ["id"], chunked=True).add(RunningSum("a", F.col("id")))
+    text = plan(scan.df)
+    assert "hashpartitioning(_chunk" not in text.split("BroadcastExchange")[0]
+    sizes = [r["count"] for r in scan.df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.5 * min(sizes)
+
+
+def test_a_hot_position_is_no_single_chunk(spark):
+    from iotrail.operators.asof import asof_join
+
+    left = spark.range(8000).select(F.lit(7).alias("at"), "id")
+    right = spark.createDataFrame([(3, 1), (7, 2), (9, 3)], "at long, v long")
+    rows = asof_join(left, right, [], "at", "at", {"v": "v"})
+    assert rows.filter("v = 2").count() == 8000
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 4000
+
+
 def test_a_global_scan_is_cut_into_balanced_chunks(spark):
     df = spark.range(10_000).select(F.lit(5).alias("ts"), "id")
     sizes = Scan(df, [], ["ts", "id"])._df.groupBy(CHUNK).count().collect()

@@ -13,6 +13,19 @@ def test_query_agrees_with_sql(spark, con, name):
     assert not line.startswith("FAIL"), line
 
 
+SPLIT = ["block_lifecycles", "block_queue_depth", "command_completion_pairs", "commands_by_extent", "fork_tree", "nvme_command_pairs", "syscall_totals"]
+
+
+@pytest.mark.parametrize("name", SPLIT)
+def test_split_scans_agree_with_sql(spark, con, name, monkeypatch):
+    """Every keyed scan in its two-level form."""
+    from iotrail.operators import scan
+
+    monkeypatch.setattr(scan, "ROWS_PER_TASK", 0)
+    line = compare(spark, con, name, SF)
+    assert not line.startswith("FAIL"), line
+
+
 def test_entry_has_rows(spark):
     assert contract.entry(spark).count() > 0
 

@@ -54,6 +54,25 @@ def test_unanswered_starts_expire(spark, tmp_path):
     assert got == {(1, "expired"), (2, "paired"), (3, "expired")}
 
 
+def test_a_closed_stream_is_complete(spark, tmp_path):
+    rows = [(i % 3, i * 7 * S, i % 2 == 0, 0, 0) for i in range(1, 31)]
+    write_parts(spark, str(tmp_path), rows)
+    stream = source(spark, str(tmp_path)).withColumn("size", F.lit(1))
+    closed, close = jobs.closable(stream, "time")
+    windows = jobs.run_available(jobs.tumbling_status(closed, "time", "20 seconds", "1 second"), name="all", close=close)
+    assert windows.agg(F.sum("n")).first()[0] == 30
+    closed, close = jobs.closable(stream, "time")
+    pairs = jobs.run_available(jobs.paired(closed, ["k"], "time", "1 second", 100 * S), name="open", close=close)
+    got = sorted((r["k"], r["outcome"], r["start_ns"]) for r in pairs.collect())
+    want = []
+    for k in range(3):
+        mine = [(t, s) for key, t, s, _, _ in rows if key == k]
+        for (t, s), later in zip(mine, [*mine[1:], None]):
+            if s and (later is None or not later[1]):
+                want.append((k, "open" if later is None else "paired", t))
+    assert got == sorted(want) and any(o == "open" for _, o, _ in want)
+
+
 def test_heat_equals_batch(spark, tmp_path):
     rows = [(0, i * S, True, i % 5, i // 3) for i in range(240)]
     write_parts(spark, str(tmp_path), rows)
@@ -75,8 +94,11 @@ def test_losses_are_counted(spark, tmp_path):
 
 
 def test_fork_edges_arrive_in_parts(spark, tmp_path):
-    for i, edges in enumerate([[(1, 2), (2, 3)], [(3, 4), (9, 10)], [(4, 5)]]):
-        spark.createDataFrame(edges, "parent_pid long, child_pid long").coalesce(1).write.parquet(f"{tmp_path}/e{i}")
-    stream = jobs.tail(spark, f"{tmp_path}/*", "parent_pid long, child_pid long", "parquet", files_per_batch=1)
-    got = {(r["pid"], r["depth"]) for r in jobs.tracked_processes(stream, [1]).collect()}
-    assert got == {(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)}
+    schema = "parent_pid long, child_pid long, ts_ns long"
+    # A record comes twice, and pid 3 is used again by a stranger, whose child is none of ours.
+    parts = [[(1, 2, 10), (2, 3, 20), (2, 3, 20)], [(3, 4, 30), (9, 10, 31), (10, 3, 40)], [(4, 5, 50), (3, 6, 60)]]
+    for i, edges in enumerate(parts):
+        spark.createDataFrame(edges, schema).coalesce(1).write.parquet(f"{tmp_path}/e{i}")
+    stream = jobs.tail(spark, f"{tmp_path}/*", schema, "parquet", files_per_batch=1)
+    got = sorted((r["pid"], r["birth_ns"], r["depth"]) for r in jobs.tracked_processes(stream, [1]).collect())
+    assert got == [(1, -1, 0), (2, 10, 1), (3, 20, 2), (4, 30, 3), (5, 50, 4)]
