@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from iotrail.functions.scalar import celsius, units_gib
-from iotrail.operators.scan import Previous, RunningSum, Scan
+from iotrail.operators.scan import Following, Previous, RunningSum, Scan
 
 COUNTERS = ("rd_ios", "rd_sect", "rd_ms", "wr_ios", "wr_sect", "wr_ms", "io_ticks")
 
@@ -71,8 +71,9 @@ def rolling(
 
 
 def decimated(series: DataFrame, keys: Sequence[str], order: Sequence[str], step: int) -> DataFrame:
-    scan = Scan(series, keys, order).add(RunningSum("_n", F.lit(1)))
-    return scan.df.filter((F.col("_n") - 1) % step == 0).drop("_n")
+    """Every ``step``-th point of each series, and its last one."""
+    scan = Scan(series, keys, order).add(RunningSum("_n", F.lit(1)), Following("_more", F.lit(True)))
+    return scan.df.filter(((F.col("_n") - 1) % step == 0) | F.col("_more").isNull()).drop("_n", "_more")
 
 
 def job_summary(jobs: DataFrame) -> DataFrame:

@@ -165,6 +165,36 @@ def block_latency_density(t: Tables) -> DataFrame:
     return bins.withColumn("density", r6(F.col("n") / F.lit(n * (high - low) / 100), 12))
 
 
+@query(
+    "block_latency_summary",
+    "A1 A7",
+    LIFE_SQL
+    + """SELECT kind, is_read, count(*) n, round(min(us), 3) min_us, round(quantile_cont(us, 0.5), 3) p50, round(quantile_cont(us, 0.95), 3) p95,
+         round(quantile_cont(us, 0.99), 3) p99, round(max(us), 3) max_us FROM latp GROUP BY kind, is_read""",
+    "blk",
+)
+def block_latency_summary(t: Tables) -> DataFrame:
+    """Queue, dispatch and total latency of either direction."""
+    points = {"min_us": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "max_us": 1.0}
+    return rounded(quantiles(latency_long(lifecycles(t.blk)), ["kind", "is_read"], "us", points), 3)
+
+
+@query(
+    "block_latency_log2_histogram",
+    "A9 M7",
+    LIFE_SQL
+    + """, h AS (SELECT is_read, CAST(floor(log2(CAST(floor(us) AS BIGINT))) AS BIGINT) bucket, count(*) n FROM latp WHERE kind = 'q2c' AND us >= 1 GROUP BY ALL)
+      SELECT is_read, bucket, n, CAST(n * (1 << bucket) AS BIGINT) approx_us,
+             round(sum(n) OVER (PARTITION BY is_read ORDER BY bucket) * 100 / sum(n) OVER (PARTITION BY is_read), 6) cumulative_pct FROM h""",
+    "blk",
+)
+def block_latency_log2_histogram(t: Tables) -> DataFrame:
+    """Latencies in whole microseconds; those below one have no bucket."""
+    rows = latency_long(lifecycles(t.blk)).filter("kind = 'q2c' AND us >= 1")
+    rows = B.log2_histogram(rows.withColumn("whole_us", F.floor("us")), "whole_us", "is_read", cap=62)
+    return rounded(rows.withColumnRenamed("approx_bytes", "approx_us"))
+
+
 @query(
     "block_trace_summary",
     "A1 W4",
@@ -313,6 +343,24 @@ def block_queue_depth(t: Tables) -> DataFrame:
     return series.queue_depth(t.blk).select("seq", "ts_ns", "qd", "qd_read", "qd_write")
 
 
+@query(
+    "block_depth_summary",
+    "A1 A60",
+    QD_SQL
+    + """SELECT max(qd) max_qd, round(avg(qd), 9) mean_qd, quantile_cont(qd, 0.5) p50, quantile_cont(qd, 0.9) p90, quantile_cont(qd, 0.99) p99,
+         round(quantile_cont(qd, 0.999), 6) p999 FROM q""",
+    "blk",
+)
+def block_depth_summary(t: Tables) -> DataFrame:
+    """Queue depth after every event: mean, largest and quantiles."""
+    from iotrail.session import pin
+
+    depth = pin(series.queue_depth(t.blk).select("qd"))
+    points = quantiles(depth.select(F.col("qd").cast("double").alias("qd")), [], "qd", {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}).drop("n")
+    head = depth.agg(F.max("qd").alias("max_qd"), r6(F.avg("qd"), 9).alias("mean_qd"))
+    return head.withColumns({name: r6(F.lit(value)) for name, value in points.first().asDict().items()})
+
+
 @query(
     "block_queue_depth_series",
     "W2",
@@ -810,6 +858,21 @@ def completion_dashboard(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "completion_buckets",
+    "A7 T9 M5",
+    f"""SELECT ts_ns // {BUCKET_NS} bkt, CASE WHEN rwbs LIKE '%R%' THEN 'R' ELSE 'W' END rw, count(*) n, CAST(sum(nblocks * {LBS}) AS BIGINT) bytes,
+        round(count(*) / {BUCKET_S}, 9) iops, round(sum(nblocks * {LBS}) / {BUCKET_S} / {MIB}, 12) mbps FROM blk WHERE action = 'C' GROUP BY ALL""",
+    "blk",
+)
+def completion_buckets(t: Tables) -> DataFrame:
+    """Completions, bytes and rates of every bucket and direction."""
+    bucket, rw = S.int_div(F.col("ts_ns"), BUCKET_NS).alias("bkt"), S.rw_class(F.col("rwbs")).alias("rw")
+    n, size = F.count(F.lit(1)), F.sum(F.col("nblocks") * LBS)
+    rates = (r6(n / BUCKET_S, 9).alias("iops"), r6(size / BUCKET_S / MIB, 12).alias("mbps"))
+    return t.blk.filter("action = 'C'").groupBy(bucket, rw).agg(n.alias("n"), size.alias("bytes"), *rates)
+
+
 @query(
     "completion_sample",
     "T8",

@@ -444,7 +444,20 @@ def command_rate_counters(t: Tables) -> DataFrame:
     return series.zero_filled(_weekly(t), "bucket", "cmds", ["tid"])
 
 
-@query("command_lanes", "W13")
+LANES_SQL = """
+sp AS (SELECT obj_key, list(trace_id ORDER BY ts_start_ns, ts_ns, trace_id) ids, list(ts_start_ns ORDER BY ts_start_ns, ts_ns, trace_id) bs,
+              list(ts_ns ORDER BY ts_start_ns, ts_ns, trace_id) es, list({'e': [ts_ns], 'l': [ts_start_ns]} ORDER BY ts_start_ns, ts_ns, trace_id) xs FROM obj GROUP BY obj_key),
+ln AS (SELECT *, list_reduce(list_prepend({'e': CAST([] AS BIGINT[]), 'l': CAST([] AS BIGINT[])}, xs), lambda a, x:
+         {'e': CASE WHEN list_position(list_transform(a.e, lambda z: z < x.l[1]), true) > 0
+                    THEN list_concat(list_concat(a.e[:list_position(list_transform(a.e, lambda z: z < x.l[1]), true) - 1], x.e), a.e[list_position(list_transform(a.e, lambda z: z < x.l[1]), true) + 1:])
+                    ELSE list_concat(a.e, x.e) END,
+          'l': list_append(a.l, CAST(CASE WHEN list_position(list_transform(a.e, lambda z: z < x.l[1]), true) > 0
+                    THEN list_position(list_transform(a.e, lambda z: z < x.l[1]), true) - 1 ELSE len(a.e) END AS BIGINT))}).l lanes FROM sp)
+SELECT obj_key, unnest(ids) trace_id, unnest(bs) ts_start_ns, unnest(es) ts_ns, unnest(lanes) lane FROM ln
+"""
+
+
+@query("command_lanes", "W13", LANES_SQL, "obj")
 def command_lanes(t: Tables) -> DataFrame:
     """Lanes of the object operations: spans that overlap never share one."""
     spans = t.obj.select("obj_key", "trace_id", "ts_start_ns", "ts_ns")

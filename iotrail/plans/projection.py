@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from iotrail.functions import scalar as S
 from iotrail.operators import objects as O
 from iotrail.operators import reconcile as R
+from iotrail.operators.pairing import consuming_pairs
 from iotrail.plans.blocks import r6, rounded
 from iotrail.plans.objects import DAY, nearest
-from iotrail.plans.registry import Tables, query
+from iotrail.plans.registry import Tables, micros, query
+from iotrail.sources import records
 
 MDTS = 1048576
 GEOMETRY = {"mdts_bytes": MDTS, "header_bytes": 4096, "block_bytes": 512}
@@ -205,6 +207,44 @@ def tracer_reconciliation(t: Tables) -> DataFrame:
     return R.reconcile(truth, submitted, done, ["row"])
 
 
+@query(
+    "ground_truth_scan",
+    "S19",
+    """SELECT row_number() OVER (ORDER BY o_orderkey) line, CASE WHEN o_orderkey % 40 <> 11 THEN o_orderkey END user_data,
+       CASE WHEN o_orderkey % 40 <> 11 THEN o_orderkey * 4096 END "offset", CASE WHEN o_orderkey % 40 <> 11 THEN o_custkey END requested_bytes,
+       CASE WHEN o_orderkey % 40 <> 11 THEN 'READ' END op_name, o_orderkey % 40 = 11 bad FROM orders""",
+)
+def ground_truth_scan(t: Tables) -> DataFrame:
+    """Records as JSON lines; every 40th line is cut off and reported with its number."""
+    k = F.col("o_orderkey")
+    doc = F.to_json(
+        F.struct(k.alias("user_data"), (k * 4096).alias("offset"), F.col("o_custkey").cast("long").alias("requested_bytes"), F.lit("READ").alias("op_name"))
+    )
+    cut = F.when(k % 40 == 11, F.substring(doc, 1, 9)).otherwise(doc)
+    rows = records.ground_truth(t.orders.select(k, cut.alias("value")), ["o_orderkey"])
+    return rows.select("line", F.col("user_data").cast("long").alias("user_data"), "offset", "requested_bytes", "op_name", "bad")
+
+
+RING_SQL = """
+e AS (SELECT user_id * 64 req, epoch_us(ts) * 1000 ns, event_id, event_type = 'view' sub FROM events WHERE event_type IN ('view', 'purchase')),
+l AS (SELECT *, lag(sub) OVER w ps, lag(ns) OVER w pn, lag(event_id) OVER w pe FROM e WINDOW w AS (PARTITION BY req ORDER BY ns, event_id))
+"""
+
+
+@query(
+    "ring_request_pairs",
+    "J6",
+    RING_SQL + "SELECT req, pe submit_id, event_id complete_id, ns - pn latency_ns FROM l WHERE NOT sub AND ps",
+)
+def ring_request_pairs(t: Tables) -> DataFrame:
+    """Ring submissions and completions that share a request pointer, which is used again."""
+    rows = t.events.filter("event_type IN ('view', 'purchase')").select(
+        (F.col("user_id") * 64).alias("req"), (micros(F.col("ts")) * 1000).alias("ns"), "event_id", (F.col("event_type") == "view").alias("is_submit")
+    )
+    pairs = consuming_pairs(rows, ["req"], ["ns", "event_id"], F.col("is_submit"), ["ns", "event_id"])
+    return pairs.select("req", F.col("start_event_id").alias("submit_id"), F.col("event_id").alias("complete_id"), (F.col("ns") - F.col("start_ns")).alias("latency_ns"))
+
+
 @query(
     "truth_self_check",
     "S19 W22",

@@ -48,3 +48,8 @@ MANIFEST = """
       slot_bytes:bigint>,
     objects array<struct<index:bigint,part:string,payload_bytes:bigint,ops:array<string>>>
 """
+
+#: What a workload says it has done, one ring request per line.
+GROUND_TRUTH = """
+    user_data decimal(20,0), op_name string, offset bigint, requested_bytes bigint, ddir string, cqe_res bigint, iov_sizes array<bigint>
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iotrail import schemas
+from iotrail.operators.scan import RunningSum, Scan
 
 CORRUPT = "_corrupt"
 
@@ -30,6 +31,20 @@ def read_capture(spark: SparkSession, path: str, schema: str = schemas.CAPTURE)
     return reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
+def ground_truth(lines: DataFrame, order: list[str]) -> DataFrame:
+    """Typed ground-truth records with their ``line`` number (from 1, in the given order); ``bad`` marks lines that are no record."""
+    numbered = Scan(lines, [], order).add(RunningSum("line", F.lit(1))).df
+    rows = parse_lines(numbered, schemas.GROUND_TRUTH)
+    return rows.withColumn("bad", F.col(CORRUPT).isNotNull()).drop(CORRUPT)
+
+
+def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """Ground truth from text files; lines are counted over all of them, file by file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # Within a block the number of a row follows the lines.
+    return ground_truth(lines.withColumn("row", F.monotonically_increasing_id()), ["file", "block", "row"])
+
+
 def classified(capture: DataFrame) -> DataFrame:
     """Add ``family``: the record kind, other, or corrupt."""
     kind = F.col("event_type")

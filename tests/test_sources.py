@@ -183,3 +183,12 @@ def test_page_diff_patterns(spark):
     assert [got[i]["changed_words"] for i in (1, 2, 3)] == [64, 4, 32]
     assert got[3]["blocks"] == [(4, 256)] and got[3]["details"] == []
     assert [d["offset"] for d in got[2]["details"]][:5] == [0, 1, 2, 3, 1000]
+
+
+def test_ground_truth_lines_are_numbered(spark, tmp_path):
+    good = [json.dumps({"user_data": 2**64 - 1 - i, "offset": i * 512, "requested_bytes": 512, "op_name": "WRITE", "iov_sizes": [256, 256]}) for i in range(4)]
+    (tmp_path / "a.jsonl").write_text("\n".join([good[0], good[1][:20], good[2]]) + "\n")
+    (tmp_path / "b.jsonl").write_text(good[3] + "\n")
+    rows = records.read_ground_truth(spark, str(tmp_path)).orderBy("line").collect()
+    assert [(r["line"], r["bad"]) for r in rows] == [(1, False), (2, True), (3, False), (4, False)]
+    assert int(rows[0]["user_data"]) == 2**64 - 1 and rows[3]["offset"] == 1536 and rows[2]["iov_sizes"] == [256, 256]
