@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from iotrail.functions.scalar import int_div
+from iotrail.functions.scalar import floor_log2, int_div
 from iotrail.operators.asof import asof_join, range_join
 from iotrail.operators.blocks import count_if
 from iotrail.operators.scan import LastSeen, Previous, RunningSum, Scan
@@ -133,6 +133,39 @@ def intent_summary(events: DataFrame, order: Sequence[str] = ("ts_ns", "event_id
     )
 
 
+# Calls that carry intents, by direction and by how they name their length.
+INTENT_CALLS = {
+    "read": ("read", "plain"), "pread64": ("read", "plain"), "write": ("write", "plain"), "pwrite64": ("write", "plain"), "readv": ("read", "vector"), "preadv": ("read", "vector"),
+    "preadv2": ("read", "vector"), "writev": ("write", "vector"), "pwritev": ("write", "vector"), "pwritev2": ("write", "vector"), "mmap": ("map", "mapped"),
+}
+
+
+def intent_lengths(events: DataFrame) -> DataFrame:
+    """Calls and bytes by direction, kind of length (plain, vector, mapped) and log2 bucket; lengths below one have the bucket -1."""
+    known = F.create_map(*[F.lit(x) for name, (way, kind) in INTENT_CALLS.items() for x in (name, f"{way} {kind}")])
+    sort = F.split(F.element_at(known, F.col("syscall_name")), " ")
+    rows = events.select(sort.alias("sort"), "size").filter("sort IS NOT NULL")
+    bucket = F.when(F.col("size") >= 1, floor_log2(F.col("size"), 62)).otherwise(-1).cast("long")
+    rows = rows.groupBy(F.col("sort")[0].alias("direction"), F.col("sort")[1].alias("length"), bucket.alias("bucket"))
+    return rows.agg(F.count(F.lit(1)).alias("calls"), F.sum("size").alias("bytes"))
+
+
+def descriptor_bytes(events: DataFrame, order: Sequence[str] = ("ts_ns", "event_id")) -> DataFrame:
+    """Bytes read and written through every opening of a descriptor; they begin anew at an open or close."""
+    starts = F.col("syscall_name").isin("openat", "open", "close")
+    rows = Scan(events, ["pid", "fd"], order).add(RunningSum("opening", F.when(starts, 1).otherwise(0))).df
+    known = F.create_map(*[F.lit(x) for name, (way, _) in INTENT_CALLS.items() for x in (name, way)])
+    way = F.element_at(known, F.col("syscall_name"))
+    side = lambda w: F.coalesce(F.sum(F.when(way == w, F.col("size"))), F.lit(0))
+    return rows.groupBy("pid", "fd", "opening").agg(side("read").alias("read_bytes"), side("write").alias("written_bytes"))
+
+
+def call_latency(events: DataFrame, calls: Sequence[str], latency: str, by: Sequence[str] = ("pid",)) -> DataFrame:
+    """Number, mean and extremes of the positive latencies of some calls, such as fsync and fdatasync."""
+    used = events.filter(F.col("syscall_name").isin(*calls) & (F.col(latency) > 0))
+    return used.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(latency).alias("avg_us"), F.min(latency).alias("min_us"), F.max(latency).alias("max_us"))
+
+
 def fork_tree(edges: DataFrame) -> DataFrame:
     """Root and depth of every process from (parent_pid, child_pid, ts_ns) fork records.
 

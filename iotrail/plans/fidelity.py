@@ -285,9 +285,9 @@ def replay_common_sizes(t: Tables) -> DataFrame:
     "replay_log_lines",
     "K2",
     f"""r AS (SELECT *, (SELECT min(ts_ns) FROM cmd) t0, (SELECT max(ts_ns) FROM cmd) t1 FROM cmd)
-      SELECT (ts_ns - t0) // 1000000 || ' /dev/x ' || op_name || ' ' || slba * 512 || ' ' || bytes AS value FROM r
-      UNION ALL SELECT unnest(['fio version 3 iolog', '0 /dev/x add', '0 /dev/x open', (max(ts_ns) - min(ts_ns)) // 1000000 || ' /dev/x close']) FROM cmd""",
+      SELECT 1 part, ts_ns, op_name, slba, bytes, (ts_ns - t0) // 1000000 || ' /dev/x ' || op_name || ' ' || slba * 512 || ' ' || bytes AS value FROM r
+      UNION ALL SELECT unnest([0, 0, 0, 2]), unnest([0, 1, 2, 0]), NULL, NULL, NULL, unnest(['fio version 3 iolog', '0 /dev/x add', '0 /dev/x open', (max(ts_ns) - min(ts_ns)) // 1000000 || ' /dev/x close']) FROM cmd""",
     "cmd",
 )
 def replay_log_lines(t: Tables) -> DataFrame:
-    return replay_log(t.cmd, "/dev/x", ["op_name", "slba", "bytes"]).select("value")
+    return replay_log(t.cmd, "/dev/x", ["op_name", "slba", "bytes"])

@@ -269,13 +269,46 @@ def process_io_stats(t: Tables) -> DataFrame:
 )
 def sync_latency(t: Tables) -> DataFrame:
     """Positive latencies of one kind of call, here with the size as latency."""
-    used = t.sysev.filter("syscall_name = 'lseek' AND size > 0")
-    return used.groupBy("pid").agg(
-        F.count(F.lit(1)).alias("n"),
-        r6(F.avg("size")).alias("avg_us"),
-        F.min("size").alias("min_us"),
-        F.max("size").alias("max_us"),
-    )
+    return rounded(Y.call_latency(t.sysev, ["lseek"], "size"))
+
+
+INTENT_SQL = """
+iv AS (SELECT * REPLACE (CASE WHEN syscall_name = 'lseek' THEN 'mmap' WHEN syscall_name = 'read' AND event_id % 3 = 0 THEN 'readv' ELSE syscall_name END AS syscall_name, size - event_id % 5 * 300 AS size) FROM sysev)
+"""
+
+
+def _intents(t: Tables) -> DataFrame:
+    """Events with vector and mapped calls among them, some without a length."""
+    k, name = F.col("event_id"), F.col("syscall_name")
+    other = F.when(name == "lseek", "mmap").when((name == "read") & (k % 3 == 0), "readv").otherwise(name)
+    return t.sysev.withColumns({"syscall_name": other, "size": F.col("size") - k % 5 * 300})
+
+
+@query(
+    "intent_lengths",
+    "A63",
+    INTENT_SQL
+    + """, x AS (SELECT CASE WHEN syscall_name IN ('read', 'pread64', 'readv') THEN 'read' WHEN syscall_name = 'mmap' THEN 'map' WHEN syscall_name IN ('pwrite64', 'write') THEN 'write' END direction,
+              CASE syscall_name WHEN 'readv' THEN 'vector' WHEN 'mmap' THEN 'mapped' ELSE 'plain' END "length", size FROM iv)
+      SELECT direction, "length", CASE WHEN size >= 1 THEN CAST(floor(log2(size)) AS BIGINT) ELSE -1 END bucket, count(*) calls, CAST(sum(size) AS BIGINT) bytes
+      FROM x WHERE direction IS NOT NULL GROUP BY ALL""",
+    "sysev",
+)
+def intent_lengths(t: Tables) -> DataFrame:
+    return Y.intent_lengths(_intents(t))
+
+
+@query(
+    "intent_descriptor_bytes",
+    "A63",
+    INTENT_SQL
+    + """, x AS (SELECT *, CAST(sum(CASE WHEN syscall_name IN ('openat', 'close') THEN 1 ELSE 0 END) OVER (PARTITION BY pid, fd ORDER BY ts_ns, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) opening FROM iv)
+      SELECT pid, fd, opening, CAST(coalesce(sum(size) FILTER (syscall_name IN ('read', 'pread64', 'readv')), 0) AS BIGINT) read_bytes,
+             CAST(coalesce(sum(size) FILTER (syscall_name IN ('write', 'pwrite64')), 0) AS BIGINT) written_bytes FROM x GROUP BY ALL""",
+    "sysev",
+)
+def intent_descriptor_bytes(t: Tables) -> DataFrame:
+    return Y.descriptor_bytes(_intents(t))
 
 
 @query(

@@ -5,12 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app: str = "iotrail", **conf: str) -> SparkSession:
-    """A local session for tests and the benchmark; clusters bring their own."""
+    """A local session for tests and the benchmark; clusters bring their own, and this package with --py-files."""
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:  # Python workers import the package from here, whatever folder the session starts in
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
