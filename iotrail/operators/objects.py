@@ -408,22 +408,23 @@ def projection_score(obj: DataFrame, cmd: DataFrame, **geometry: int) -> DataFra
     )
 
 
-def size_variation(obj: DataFrame, cmd: DataFrame, **geometry: int) -> DataFrame:
-    """Per operation: projected and measured size ranges and log2 total variation."""
+def size_variation(obj: DataFrame, cmd: DataFrame, by: Sequence[str] = ("op",), **geometry: int) -> DataFrame:
+    """Per operation (or other columns of ``obj``): projected and measured size ranges and log2 total variation."""
     from iotrail.functions.scalar import floor_log2
 
-    sizes = projected_sizes(obj, **geometry).withColumn("side", F.lit("p"))
-    ops = obj.filter("op IN ('store', 'load') AND error IS NULL").select("trace_id", "op")
+    by = list(by)
+    ops = obj.filter("op IN ('store', 'load') AND error IS NULL").select("trace_id", *by)
+    sizes = projected_sizes(obj, **geometry).select("trace_id", "size", "n").join(ops, "trace_id").withColumn("side", F.lit("p"))
     seen = cmd.groupBy(F.col("tid").alias("trace_id"), F.col("bytes").alias("size")).agg(
         F.count(F.lit(1)).alias("n")
     )
     seen = seen.join(ops, "trace_id").withColumn("side", F.lit("m"))
     both = sizes.unionByName(seen)
     proj, meas = (F.when(F.col("side") == s, F.col("n")).otherwise(0) for s in ("p", "m"))
-    bins = both.groupBy("op", floor_log2(F.col("size")).alias("bin")).agg(
+    bins = both.groupBy(*by, floor_log2(F.col("size")).alias("bin")).agg(
         F.sum(proj).alias("p"), F.sum(meas).alias("m")
     )
-    totals = both.groupBy("op").agg(
+    totals = both.groupBy(*by).agg(
         F.sum(proj).alias("proj_n"),
         F.min(F.when(F.col("side") == "p", F.col("size"))).alias("proj_min"),
         F.max(F.when(F.col("side") == "p", F.col("size"))).alias("proj_max"),
@@ -432,5 +433,5 @@ def size_variation(obj: DataFrame, cmd: DataFrame, **geometry: int) -> DataFrame
         F.max(F.when(F.col("side") == "m", F.col("size"))).alias("meas_max"),
     )
     share = F.abs(F.try_divide("p", "proj_n") - F.try_divide("m", "meas_n"))
-    tv = bins.join(totals, "op").groupBy("op").agg((F.sum(share) / 2).alias("tv"))
-    return totals.join(tv, "op")
+    tv = bins.join(totals, by).groupBy(*by).agg((F.sum(share) / 2).alias("tv"))
+    return totals.join(tv, by)

@@ -71,6 +71,22 @@ def command_completion_pairs(t: Tables) -> DataFrame:
     return paired(t).select("tid", "op_name", "slba", "bytes", "ts_ns", "dur_ns")
 
 
+@query(
+    "replay_stream_latency",
+    "A54",
+    PAIR_SQL
+    + """SELECT CASE tid % 5 WHEN 0 THEN 'file' WHEN 1 THEN 'device' ELSE 'capture' END stream, count(*) n, round(quantile_cont(dur_ns / 1000, 0.5), 6) p50_us,
+         round(quantile_cont(dur_ns / 1000, 0.99), 6) p99_us FROM paired WHERE dur_ns IS NOT NULL GROUP BY stream""",
+    "cmd",
+)
+def replay_stream_latency(t: Tables) -> DataFrame:
+    """Latency quantiles of each replay stream."""
+    side = F.col("tid") % 5
+    name = F.when(side == 0, "file").when(side == 1, "device").otherwise("capture")
+    rows = paired(t).filter("dur_ns IS NOT NULL").select(name.alias("stream"), (F.col("dur_ns") / 1000).alias("us"))
+    return rounded(quantiles(rows, ["stream"], "us", {"p50_us": 0.5, "p99_us": 0.99}))
+
+
 @query(
     "command_shown_durations",
     "P33 P35 P36",
@@ -557,6 +573,20 @@ def load_path_summary(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "load_objects_by_rank",
+    "A55",
+    """o AS (SELECT tid, sum(bytes) b, count(*) c FROM cmd WHERE op_name = 'read' GROUP BY tid)
+      SELECT tid % 4 rank, count(*) objects, CAST(sum(c) AS BIGINT) cmds, CAST(sum(b) AS BIGINT) bytes, count(DISTINCT b) object_sizes FROM o GROUP BY rank""",
+    "cmd",
+)
+def load_objects_by_rank(t: Tables) -> DataFrame:
+    """Objects read by each rank; the tag tells the rank here."""
+    per_object = O.device_totals(t.cmd.filter("op_name = 'read'")).withColumn("rank", F.col("tid") % 4)
+    totals = (F.count(F.lit(1)).alias("objects"), F.sum("cmds").alias("cmds"), F.sum("bytes").alias("bytes"), F.count_distinct("bytes").alias("object_sizes"))
+    return per_object.groupBy("rank").agg(*totals)
+
+
 @query(
     "load_objects_by_size",
     "A55",

@@ -107,6 +107,22 @@ def projected_size_variation(t: Tables) -> DataFrame:
     return rounded(O.size_variation(_loads(t), t.cmd, **GEOMETRY), 9)
 
 
+@query(
+    "projected_variation_by_part",
+    "A53 D5 U4",
+    LOADS_SQL
+    + """, sd AS (SELECT op, trace_id % 3 part, size, n p, 0 m FROM psz UNION ALL SELECT op, trace_id % 3, size, 0, n FROM msz),
+      b AS (SELECT op, part, CAST(floor(log2(size)) AS BIGINT) bin, sum(p) p, sum(m) m FROM sd GROUP BY ALL),
+      tt AS (SELECT op, part, CAST(sum(p) AS BIGINT) proj_n, min(size) FILTER (p > 0) proj_min, max(size) FILTER (p > 0) proj_max,
+                    CAST(sum(m) AS BIGINT) meas_n, min(size) FILTER (m > 0) meas_min, max(size) FILTER (m > 0) meas_max FROM sd GROUP BY ALL)
+      SELECT tt.*, tv FROM tt JOIN (SELECT op, part, round(sum(abs(p / proj_n - m / meas_n)) / 2, 9) tv FROM b JOIN tt USING (op, part) GROUP BY ALL) USING (op, part)""",
+    "obj cmd",
+)
+def projected_variation_by_part(t: Tables) -> DataFrame:
+    loads = _loads(t).withColumn("part", F.col("trace_id") % 3)
+    return rounded(O.size_variation(loads, t.cmd, ["op", "part"], **GEOMETRY), 9)
+
+
 @query(
     "model_object_sizes",
     "P42 P45",
