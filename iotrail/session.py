@@ -56,8 +56,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     Folders of one application share a parent, so that they can be dropped together.
     """
-    base = f"{ensure_checkpoint_dir(spark)}/iotrail-{spark.sparkContext.applicationId}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _base(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/iotrail-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has pinned. Call it when the results that build on them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_base(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pin(df: DataFrame) -> DataFrame:

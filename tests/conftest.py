@@ -7,7 +7,7 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tools"))
 
-from iotrail.session import local_session  # noqa: E402
+from iotrail.session import local_session, release  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,6 +24,7 @@ def spark():
         },
     )
     yield session
+    release(session)
     session.stop()
 
 
