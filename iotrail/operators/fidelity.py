@@ -13,6 +13,7 @@ from iotrail.operators import series
 from iotrail.operators.blocks import count_if
 from iotrail.operators.pairing import latency_long, lifecycles
 from iotrail.operators.scan import RunningSum, Scan
+from iotrail.session import pin
 
 ARMS = (0, 1)
 NAMES = ("cap", "rep")
@@ -124,7 +125,7 @@ def size_distances(arms: DataFrame, block_bytes: int) -> DataFrame:
     classes = F.array_compact(
         F.array(F.lit("all"), F.when(reads, "reads"), F.when(~reads & writes, "writes"))
     )
-    rows = arms.filter("action = 'Q' AND nblocks > 0").select("arm", size, F.explode(classes).alias("class"))
+    rows = pin(arms.filter("action = 'Q' AND nblocks > 0").select("arm", size, F.explode(classes).alias("class")))
     ks = ks_distance(rows, ["class"], "arm", "size", ARMS)
     return ks.join(js_divergence(rows, ["class"], "arm", "size", ARMS), "class")
 
@@ -132,19 +133,12 @@ def size_distances(arms: DataFrame, block_bytes: int) -> DataFrame:
 def latency_distances(arms: DataFrame) -> DataFrame:
     """The same for total and device latency, by direction."""
     life = lifecycles(arms, keys=("arm", "major", "minor", "sector", "nblocks"))
-    rows = _latencies(life).filter("kind IN ('q2c', 'd2c')")
+    rows = pin(latency_long(life, ["arm"]).filter("kind IN ('q2c', 'd2c')"))  # read by both distances
     by = ["kind", "is_read"]
     ks = ks_distance(rows, by, "arm", "us", ARMS)
     return ks.join(js_divergence(rows, by, "arm", "us", ARMS), by)
 
 
-def _latencies(life: DataFrame) -> DataFrame:
-    parts = [
-        latency_long(life.filter(F.col("arm") == a)).withColumn("arm", F.lit(a)) for a in ARMS
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def address_cells(arms: DataFrame, width: int, bins: int, max_time_bins: int = 200) -> DataFrame:
     """Sparse address x time counts of both arms over a shared address range, and their difference."""
     common = min(arm_spans(arms))
@@ -167,6 +161,7 @@ def address_profile(cells: DataFrame, bins: int) -> DataFrame:
 
 def metrics(arms: DataFrame, width: int, block_bytes: int, bins: int) -> DataFrame:
     """The whole family as (metric, value) rows; one small row set per part."""
+    arms = pin(arms)  # every part reads it
     profile = address_profile(address_cells(arms, width, bins), bins)
     flat = [
         rate_scores(rate_series(arms, width)),

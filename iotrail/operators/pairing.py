@@ -70,12 +70,12 @@ def lifecycles(
     )
 
 
-def latency_long(life: DataFrame) -> DataFrame:
-    """One row per positive latency: kind (q2c, d2c, q2d), direction and value."""
+def latency_long(life: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per positive latency: the columns to keep, kind (q2c, d2c, q2d), direction and value."""
     pairs = F.array(
         *[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_us").alias("us")) for k in ("q2c", "d2c", "q2d")]
     )
-    rows = life.select("is_read", F.explode(pairs).alias("p")).select("is_read", "p.*")
+    rows = life.select(*keep, "is_read", F.explode(pairs).alias("p")).select(*keep, "is_read", "p.*")
     return rows.filter("us > 0")
 
 

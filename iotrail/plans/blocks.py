@@ -17,6 +17,7 @@ from iotrail.operators.pairing import (
 )
 from iotrail.operators.scan import Clamped, RunningSum, Scan
 from iotrail.plans.registry import Tables, query
+from iotrail.session import pin
 
 LBS = 512
 BUCKET_NS = 21_600_000_000_000
@@ -156,7 +157,7 @@ def block_latency_cdf(t: Tables) -> DataFrame:
     "blk",
 )
 def block_latency_density(t: Tables) -> DataFrame:
-    rows = latency_long(lifecycles(t.blk)).filter("kind = 'q2c'")
+    rows = pin(latency_long(lifecycles(t.blk)).filter("kind = 'q2c'"))
     low, high = quantiles(rows, [], "us", {"lo": 0.0, "hi": 0.995}).select("lo", "hi").first()
     inside = rows.filter(F.col("us") <= high)
     n = inside.count()
@@ -231,7 +232,7 @@ def block_trace_summary(t: Tables) -> DataFrame:
     )
     sizes = blk.filter(action == "Q").select(size.cast("double").alias("size"))
     sizes = quantiles(sizes, [], "size", {"min_size": 0.0, "median_size": 0.5, "max_size": 1.0})
-    life = lifecycles(t.blk)
+    life = pin(lifecycles(t.blk))
     lat = quantiles(latency_long(life), ["kind"], "us", {"p50": 0.5, "p99": 0.99})
     wide = lat.agg(
         *[
@@ -353,8 +354,6 @@ def block_queue_depth(t: Tables) -> DataFrame:
 )
 def block_depth_summary(t: Tables) -> DataFrame:
     """Queue depth after every event: mean, largest and quantiles."""
-    from iotrail.session import pin
-
     depth = pin(series.queue_depth(t.blk).select("qd"))
     points = quantiles(depth.select(F.col("qd").cast("double").alias("qd")), [], "qd", {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}).drop("n")
     head = depth.agg(F.max("qd").alias("max_qd"), r6(F.avg("qd"), 9).alias("mean_qd"))
