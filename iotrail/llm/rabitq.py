@@ -2,8 +2,8 @@
 
 A vector o is rotated, and the signs of its components are kept, packed into bytes. Read as a unit vector s, they estimate the inner
 product with any q: <o, q> is about |o| * <s, q> / a, where a = <s, o> / |o| is stored with the code. The rotation is random, so the
-error of <s, q> / a is close to normal with deviation |q| * sqrt((1 - a * a) / (a * a) / (D - 1)). A vector is reranked on its original
-components if its estimate plus ``SURE`` deviations reaches the k-th best of the estimates minus their deviations.
+error of <s, q> / a is close to normal with deviation |q| * sqrt((1 - a * a) / (a * a) / (D - 1)). The best estimates are
+reranked on their original components first; then every vector is whose estimate plus ``SURE`` deviations reaches their k-th best score.
 
 Queries meet all rows block by block: rows and queries go into blocks of bounded size, every pair of blocks is one group, and a group
 returns the k best per query. Nothing is collected, and no group grows with the tables.
@@ -76,20 +76,24 @@ def _best(rows: pa.Table, queries: pa.Table, k: int, turn: np.ndarray, sure: flo
         norm, a = rows.column("norm").to_numpy(), rows.column("a").to_numpy()
         packed = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(n, -1)
         signs = np.unpackbits(packed, axis=1, count=dimension).astype(np.float32) * 2 - 1
-        scale = (norm / a / np.sqrt(dimension)).astype(np.float32)[:, None]
-        spread = (norm * np.sqrt(np.maximum(1 - a * a, 0)) / a / np.sqrt(max(dimension - 1, 1)) * sure).astype(np.float32)[:, None]
+        scale = (norm / a / np.sqrt(dimension)).astype(np.float32)
+        spread = (norm * np.sqrt(np.maximum(1 - a * a, 0)) / a / np.sqrt(max(dimension - 1, 1)) * sure).astype(np.float32)
+        first = min(n, 2 * k + 1)
         for start in range(0, queries.num_rows, AT_ONCE):
             part = queries.slice(start, AT_ONCE)
             own, q = part.column("query_id").to_numpy(), matrix(part, "query")
-            guess = (signs @ (q @ turn.T).T.astype(np.float32)) * scale
-            room = spread * np.linalg.norm(q, axis=1).astype(np.float32)[None, :]
-            if n > k + 1:  # one more for the query's own row
-                floor = np.partition(guess - room, n - k - 1, axis=0)[n - k - 1]
-                near = guess + room >= floor
+            guess = ((q @ turn.T).astype(np.float32) @ signs.T) * scale
+            if n > first:
+                best = np.argpartition(guess, n - first, axis=1)[:, n - first :]
+                exact = np.einsum("qmd,qd->qm", x[best], q)
+                exact[ids[best] == own[:, None]] = -np.inf
+                floor = np.partition(exact, first - k, axis=1)[:, first - k]
+                slack = 1e-5 * (np.abs(floor) + 1e-30)  # estimates have single precision
+                near = guess + spread * np.linalg.norm(q, axis=1).astype(np.float32)[:, None] >= (floor - slack).astype(np.float32)[:, None]
             else:
-                near = np.ones((n, part.num_rows), bool)
-            near &= ids[:, None] != own[None, :]
-            which, row = np.nonzero(near.T)
+                near = np.ones((part.num_rows, n), bool)
+            near &= ids[None, :] != own[:, None]
+            which, row = np.nonzero(near)
             scores = np.concatenate([(x[row[i : i + 50_000]] * q[which[i : i + 50_000]]).sum(axis=1) for i in range(0, len(row), 50_000)] or [np.empty(0)])
             order = np.lexsort((ids[row], -scores, which))
             which, row, scores = which[order], row[order], scores[order]
