@@ -61,24 +61,28 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         .agg(F.collect_list(F.struct("code", "least", "n")).alias("members"))
     )
     bins = pin(bins)
-    active = pin(queries.select(F.col("code").alias("q")).distinct())
+    active = pin(queries.select(F.col("code").alias("q"), F.lit(None).cast("int").alias("bound")).distinct())
     found = None
     for radius in range(WIDTH + 1):
         flips = F.filter(F.sequence(F.lit(0), F.lit((1 << WIDTH) - 1)), lambda x: F.bit_count(x) == radius)
-        probes = active.select("q", segment).select("q", "s", F.expr(_segment("q", "s")).alias("own"), F.explode(flips).alias("flip"))
-        probes = probes.select("q", "s", F.col("own").bitwiseXOR(F.col("flip").cast("long")).alias("value"))
+        probes = active.select("q", "bound", segment).select("q", "bound", "s", F.expr(_segment("q", "s")).alias("own"), F.explode(flips).alias("flip"))
+        probes = probes.select("q", "bound", "s", F.col("own").bitwiseXOR(F.col("flip").cast("long")).alias("value"))
         # A code belongs to this radius and segment if no segment is nearer, and none before it is as near.
         away = [f"bit_count(({_segment('m.code', str(j))}) ^ ({_segment('q', str(j))}))" for j in range(SEGMENTS)]
         here = " and ".join(f"({away[j]} > {radius} or ({away[j]} = {radius} and {j} >= s))" for j in range(SEGMENTS))
+        # What lies farther than k + 1 ids already found is not among the nearest.
+        here += " and (bound is null or bit_count(m.code ^ q) <= bound)"
         met = f"transform(filter(members, m -> {here}), m -> struct(bit_count(m.code ^ q) as distance, m.least as least, m.code as code, m.n as n))"
         # Of one bin no more than k + 1 codes can be among the nearest; they lead the sorted list.
         near = F.expr(f"slice(array_sort({met}), 1, {k + 1})")
-        new = probes.join(bins, ["s", "value"]).select("q", F.inline(near))
+        # Spark sees the few queries, not their many probes: without the hint it would broadcast these.
+        new = probes.join(bins.hint("shuffle_hash"), ["s", "value"]).select("q", F.inline(near))
         best = new if found is None else found.unionByName(new)
         found = pin(_smallest(best, "q", ["distance", "least"], k + 1))
         covered = SEGMENTS * (radius + 1) - 1
         sure = found.where(F.col("distance") <= covered).groupBy("q").agg(F.sum("n").alias("ids")).where(F.col("ids") > k)
-        active = pin(active.join(sure, "q", "left_anti"))
+        bounds = found.groupBy("q").agg(F.when(F.sum("n") > k, F.max("distance")).alias("bound"))
+        active = pin(active.select("q").join(sure, "q", "left_anti").join(bounds, "q", "left"))
         if radius == WIDTH or active.isEmpty():
             break
     wide = queries.select(F.col("vec_id").alias("query_id"), F.col("code").alias("q")).join(found.select("q", "distance", "code"), "q").join(first, "code")
