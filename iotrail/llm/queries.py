@@ -76,7 +76,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm.scores(table(spark, sf_dir, "documents"))
+    scored = lm.scores(table(spark, sf_dir, "documents"), shared=True)  # as in OP5_SQL
     return scored.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 

@@ -286,3 +286,32 @@ def test_backoff_odd(odd, none):
     assert lm.scores(none).count() == 0
     one, four = ({r["doc_id"]: r["log_score"] for r in lm.scores(odd, passes=p).collect()} for p in (1, 4))
     assert one == pytest.approx(four)
+
+
+@pytest.mark.parametrize(("order", "shared"), [(1, False), (2, False), (2, True), (3, False), (4, True)])
+def test_backoff_by_force(spark, order, shared):
+    """Scores by the rule itself: a gram of one document is known too unless only shared ones are."""
+    rng = random.Random(12)
+    texts = {k: " ".join(rng.choices("abcde", k=rng.randint(1, 30))) for k in range(12)} | {20: "x y x y x y z", 21: ""}
+    padded = {k: ["<s>"] * (order - 1) + t.split() for k, t in texts.items() if t}
+    count, holders = {}, {}
+    for k, w in padded.items():
+        for size in range(1, order + 1):
+            for i in range(len(w) - size + 1):
+                gram = tuple(w[i : i + size])
+                count[gram] = count.get(gram, 0) + 1
+                holders.setdefault(gram, set()).add(k)
+    total = sum(c for g, c in count.items() if len(g) == 1 and g != ("<s>",))
+
+    def score(gram):
+        if len(gram) == 1:
+            return np.log(count[gram] / total)
+        if len(holders.get(gram, ())) >= 1 + shared:
+            context = count[gram[:-1]] if gram[:-1] != ("<s>",) * (len(gram) - 1) else len(padded)
+            return np.log(count[gram] / context)
+        return np.log(0.4) + score(gram[1:])
+
+    want = {k: sum(score(tuple(w[i - order + 1 : i + 1])) for i in range(order - 1, len(w))) for k, w in padded.items()} | {21: 0}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["log_score"] for r in lm.scores(frame, order=order, shared=shared).collect()}
+    assert got == pytest.approx(want)
