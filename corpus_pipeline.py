@@ -29,10 +29,9 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the token ids of their texts and the digests of ids and decoded text."""
+    """The documents, texts included, with the token ids of their texts (``ids``), and the digests of ids and decoded text."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    digests = bpe.round_trip(docs, path, carry=[c for c in docs.columns if c != "text"])
-    return digests
+    return bpe.round_trip(docs, path, ids="ids")
 
 
 STAGES = [

@@ -17,6 +17,7 @@ import json
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -85,7 +86,6 @@ class Encoder:
         self.split = regex.compile(WORDS).findall
         self.cut = regex.compile(r"\S(?= \S)")
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True))) if vocabulary.special else None
-        self.strings = {i: str(i) for i in vocabulary.bytes_of}
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}  # word -> its ids, four bytes each
@@ -273,6 +273,20 @@ def _rows(docs: DataFrame, work: Callable[[Encoder, list], list[pa.Array]], fiel
     return source.mapInArrow(run, schema)
 
 
+def _ids_of(encoder: Encoder, texts: list) -> pa.ListArray:
+    """What ``encode`` returns for some texts."""
+    values, counts = array("i"), np.zeros(len(texts), np.int64)
+    for row, ids in encoder.encode(texts):
+        values.extend(ids)
+        counts[row] += len(ids)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(np.array(values, np.int32)))
+
+
+def _text_of(encoder: Encoder, ids: list[int] | None) -> str:
+    """What ``decode`` returns for a row."""
+    return encoder.decode(ids or []).decode("utf-8", "replace")
+
+
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", carry: list[str] | None = None) -> DataFrame:
     """``docs`` with the token ids of every whole text.
 
@@ -281,10 +295,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
     """
 
     def work(encoder: Encoder, texts: list) -> list[pa.Array]:
-        out: list[list[int]] = [[] for _ in texts]
-        for row, ids in encoder.encode(texts):
-            out[row] += ids
-        return [pa.array(out, pa.list_(pa.int32()))]
+        return [_ids_of(encoder, texts)]
 
     return _rows(docs, work, [T.StructField(ids, T.ArrayType(T.IntegerType()))], vocabulary, docs.columns if carry is None else carry, text)
 
@@ -293,26 +304,29 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", text: str = "de
     """``tokens`` with the text that the ids stand for; broken UTF-8 turns into U+FFFD, null ids into an empty text."""
 
     def work(encoder: Encoder, rows: list) -> list[pa.Array]:
-        return [pa.array([encoder.decode(r or []).decode("utf-8", "replace") for r in rows], pa.string())]
+        return [pa.array([_text_of(encoder, r) for r in rows], pa.string())]
 
     return _rows(tokens, work, [T.StructField(text, T.StringType())], vocabulary, tokens.columns if carry is None else carry, ids)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Encodes every whole text, decodes the ids again, and returns the digests of both beside the carried columns.
+def round_trip(docs: DataFrame, vocabulary: str, text: str = "text", carry: list[str] | None = None, ids: str | None = None) -> DataFrame:
+    """Encodes every whole text as ``encode`` does, decodes these ids as ``decode`` does, and returns the digests of both beside the
+    carried columns, and the ids themselves if ``ids`` names a column for them.
 
     ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas) and ``decoded_sha256`` (of the decoded text in UTF-8); a null
-    text counts as empty. Ids never leave the worker, and a long text is encoded, decoded and digested piece by piece.
+    text counts as empty. Both happen in one worker, so that there is one vocabulary for a task.
     """
 
     def work(encoder: Encoder, texts: list) -> list[pa.Array]:
-        counts, of_ids, of_text = [0] * len(texts), [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
-        string_of = encoder.strings.__getitem__
-        for row, ids in encoder.encode(texts):
-            of_ids[row].update((("," if counts[row] else "") + ",".join(map(string_of, ids))).encode())
-            counts[row] += len(ids)
-            of_text[row].update(encoder.decode(ids))  # parts end between characters
-        return [pa.array(counts, pa.int64()), pa.array([h.hexdigest() for h in of_ids], pa.string()), pa.array([h.hexdigest() for h in of_text], pa.string())]
+        tokens = _ids_of(encoder, texts)
+        counts, of_ids, of_text = [], [], []
+        for row in tokens:
+            found = row.as_py()
+            counts.append(len(found))
+            of_ids.append(hashlib.sha256(",".join(map(str, found)).encode()).hexdigest())
+            of_text.append(hashlib.sha256(_text_of(encoder, found).encode()).hexdigest())
+        return [*([tokens] if ids else []), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    fields = [*([T.StructField(ids, T.ArrayType(T.IntegerType()))] if ids else []), *fields]
     return _rows(docs, work, fields, vocabulary, docs.columns if carry is None else carry, text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import corpus_pipeline
 from iotrail.llm import quality
 from .test_queries import components_by_force
@@ -30,3 +32,20 @@ def test_stages(spark):
     assert tokens.count() == mixed.count() and tokens.where("n_tokens > 0").count() == mixed.where("text <> ''").count()
     whole = corpus_pipeline.run(spark, SF)
     assert sorted(r["doc_id"] for r in whole.collect()) == sorted(r["doc_id"] for r in mixed.collect())
+
+
+def test_tokens_come_out(spark):
+    """The product is the encoding: ids of every text, equal to the library's, beside the text."""
+    from tokenizers import Tokenizer
+
+    from iotrail.llm.queries import VOCABULARY
+
+    library = Tokenizer.from_file(VOCABULARY)
+    out = corpus_pipeline.run(spark, SF)
+    assert set(spark.read.parquet(f"{SF}/documents.parquet").columns) < set(out.columns)
+    rows = out.collect()
+    assert rows
+    for r in rows:
+        assert r["ids"] == library.encode(r["text"] or "", add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
