@@ -2,7 +2,7 @@
 
 A text is brought into a canonical form: lower case, no copyright lines, spellings made alike, everything but letters and digits turned
 into single blanks. Its SHA-256 is joined to the digests of the known licence texts and notices, a table of fixed size. Besides whole
-texts, every line that speaks of a licence is looked up by itself, as notices stand among other text.
+texts, lines are looked up by themselves, as notices stand among other text: all that begin like something known, which no spelling hides.
 """
 
 from __future__ import annotations
@@ -76,6 +76,7 @@ SPELLINGS = (
 )
 #: A line that only says whose the rights are.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{])|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
+#: What OP1_SQL asks of a line; the operator looks up others as well.
 LICENSE_LINE = "licen[cs]e"
 
 
@@ -97,6 +98,16 @@ def known_digests(spark: SparkSession) -> DataFrame:
     return table.select("license_id", F.sha2(canonical(F.col("body")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
+def beginnings(spark: SparkSession) -> str:
+    """A pattern for the lower-case lines, in a text or alone, that begin like a known one.
+
+    It has the first three characters of first words. Replacing spellings keeps them: both of a pair begin alike that far.
+    """
+    table = spark.createDataFrame(known_texts(), "license_id string, body string")
+    first = {r[0] for r in table.select(F.substring(F.substring_index(canonical(F.col("body")), " ", 1), 1, 3)).collect()}
+    return rf"(?:^|[\r\n])[^a-z0-9\r\n]*(?:{'|'.join(sorted(first - {''}))})"
+
+
 def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``line`` 0 for every row of ``docs``, with ``license_id`` if its whole text is a known licence, else null; further rows for lines
     (counted from 1) that are known notices.
@@ -109,9 +120,10 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
     kept = drop_named(docs.select(*map(quoted, carry)), new).columns
     whole = F.coalesce(quoted(text), F.lit(""))
     lines = F.transform(F.split(F.replace(whole, F.lit("\r"), F.lit("\n")), "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("body")))
-    notices = F.filter(lines, lambda u: F.lower(u["body"]).rlike(LICENSE_LINE))
+    known_line = beginnings(docs.sparkSession)
+    notices = F.filter(lines, lambda u: F.lower(u["body"]).rlike(known_line))
     units = F.array(F.struct(F.lit(0).alias("line"), whole.alias("body")))
-    units = F.when(F.lower(whole).rlike(LICENSE_LINE), F.concat(units, notices)).otherwise(units)
+    units = F.when(F.lower(whole).rlike(known_line), F.concat(units, notices)).otherwise(units)
     rows = docs.select(*map(quoted, kept), F.explode(units).alias("unit of the scan"))
     rows = rows.select(*map(quoted, kept), F.col("unit of the scan.line").alias("line"), F.sha2(canonical(F.col("unit of the scan.body")), 256).alias("digest"))
     known = F.broadcast(known_digests(docs.sparkSession))  # of fixed size

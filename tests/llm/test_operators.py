@@ -315,3 +315,13 @@ def test_backoff_by_force(spark, order, shared):
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["log_score"] for r in lm.scores(frame, order=order, shared=shared).collect()}
     assert got == pytest.approx(want)
+
+
+def test_every_known_notice_in_a_text(spark):
+    """Each notice is found as a line among others, whether it has the word licence or not, in any spelling."""
+    known = dict.fromkeys(t for _, t in licenses.known_texts() if "\n" not in t)
+    forms = [f for t in known for f in (t, f" * {t.upper()}.", t.replace("icense", "icence"))]
+    frame = spark.createDataFrame([(k, f"x\r\n{f}\nthe end of it") for k, f in enumerate(forms)], "doc_id long, text string")
+    got = {r["doc_id"]: r["line"] for r in licenses.scan(frame).collect() if r["license_id"]}
+    assert got == {k: 3 for k in range(len(forms))}
+    assert all(a[:3] == b[:3] for a, b in licenses.SPELLINGS)
