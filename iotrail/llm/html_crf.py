@@ -6,7 +6,7 @@ labels; Viterbi finds the best labelling, and the article blocks make the text.
 
 The chain is trained on labelled pages: at most ``TRAINING_PAGES`` pages of the table (of up to ``TRAINING_BYTES`` bytes) whose own
 markup says what is article (``article`` or ``main`` elements without the usual asides), and for each of them a page that lays out the
-same blocks anew in other markup with known labels, so that the model doesn't depend on one template.
+same blocks anew in other markup with known labels, so that the model doesn't depend on one template. Chosen pages are used whole.
 """
 
 from __future__ import annotations
@@ -29,10 +29,13 @@ TRAINING_PAGES = 300
 TRAINING_BYTES = 64_000
 SEED = 6
 #: Elements whose content is no text of the page.
-RAW = frozenset(("script", "style", "template", "noscript", "title", "svg", "iframe", "textarea", "object", "math", "canvas", "head"))
+RAW = frozenset(("script", "style", "template", "noscript", "title", "svg", "iframe", "textarea", "object", "canvas", "head", "annotation", "annotation-xml"))
+#: Those that hold text up to their end tag, or the end of the page; the others are passed over only if they end.
+RAW_TEXT = frozenset(("script", "style", "title", "iframe", "textarea"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mo mn ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction menclose semantics".split()
 )
 #: What an opening tag closes if it is still open, up to the nearest of the second set.
 ENDS = {
@@ -117,8 +120,10 @@ def read_blocks(page: str | None) -> list[Block]:
                 pop((name,))
             continue
         if name in RAW and name != "head":
+            if name not in RAW_TEXT and found[3].rstrip().endswith("/"):
+                continue
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = end.end() if end else len(page) if name in RAW_TEXT else at
             continue
         if name == "br":
             run.append(" ")
@@ -330,7 +335,7 @@ def training_set(pages: list[str], seed: int = SEED) -> list[tuple[list[list[str
     rng = random.Random(seed)
     out, article, other = [], [], []
     for page in pages:
-        blocks = read_blocks(page)[:80]
+        blocks = read_blocks(page)
         labels = own_labels(blocks)
         if labels is None:
             continue
@@ -342,7 +347,7 @@ def training_set(pages: list[str], seed: int = SEED) -> list[tuple[list[list[str
     sources = [a for a in article if a] or [[" ".join(rng.choices(words, k=rng.randint(5, 60))) + "." for _ in range(rng.randint(1, 8))] for _ in range(200)]
     for texts in sources:
         # Other boxes hold sentences like the article's as well, so that text alone doesn't decide.
-        page, labels = laid_out([t for t in texts[:40] if t.strip()], (other or filler) + filler + texts[:3], rng)
+        page, labels = laid_out([t for t in texts if t.strip()], (other or filler) + filler + texts[:3], rng)
         blocks = read_blocks(page)
         if len(blocks) == len(labels):
             out.append((features(blocks), labels))

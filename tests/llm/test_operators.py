@@ -325,3 +325,20 @@ def test_every_known_notice_in_a_text(spark):
     got = {r["doc_id"]: r["line"] for r in licenses.scan(frame).collect() if r["license_id"]}
     assert got == {k: 3 for k in range(len(forms))}
     assert all(a[:3] == b[:3] for a, b in licenses.SPELLINGS)
+
+
+def test_main_text_of_pages_with_drawings(spark):
+    """Drawings without an end tag hide nothing, formulas stay, and short articles come out to the letter."""
+    chain = html_crf.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    one, two = "The first paragraph of the article, which is long enough.", "The second one, with some more words in it."
+    icons = ["<svg class='icon'/>", "<svg class='icon' />", "<svg viewBox=\"0 0 1 1\"><title>no</title><path d='M0'/></svg>", "<svg class='icon'>", "<math/>", "<canvas>", "<object data='x'/>"]
+    pages = [f"<html><body><nav><a href='/'>{i}Home</a></nav><article>{i}<p>{one}</p><p>{i}{two}</p></article></body></html>" for i in icons]
+    pages.append(f"<article><p>{one}</p><p>Here <math><mi>x</mi><mo>=</mo><semantics><mn>2</mn><annotation encoding='tex'>x=2</annotation></semantics></math> holds, as {two}</p></article>")
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    got = {r["page_id"]: r["text"] for r in html_crf.extract(frame, chain).collect()}
+    assert got == {k: f"{one}\n\n{two}" for k in range(len(icons))} | {len(icons): f"{one}\n\nHere x=2 holds, as {two}"}
+
+
+def test_training_takes_whole_pages():
+    page = f"<body><article>{''.join(f'<p>Sentence {k} of the article.</p>' for k in range(200))}</article></body>"
+    assert [len(labels) for _, labels in html_crf.training_set([page])][0] == 200 and sum(html_crf.training_set([page])[1][1]) == 200
