@@ -15,7 +15,8 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,9 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
         for text, i in self.special.items():
             self.bytes_of[i] = text.encode()
+        size = max(self.bytes_of, default=-1) + 1
+        self.raw: list[bytes | None] = [self.bytes_of.get(i) for i in range(size)]  # bytes and decimal text by id
+        self.decimal = [str(i) for i in range(size)]
 
     def merged(self, word: bytes) -> list[int]:
         """The encoding by the rule itself: the earliest merge first, from the left."""
@@ -185,9 +189,10 @@ class Encoder:
         if len(self.words) > MAX_WORDS:
             self.words, self.older = {}, self.words
         new = words.difference(self.words)
-        for word in new.intersection(self.older):
-            self.words[word] = self.older[word]
-        new.difference_update(self.older)
+        if self.older:  # a dict is walked whole by the set operations, so its keys are asked one by one
+            old = [word for word in new if word in self.older]
+            self.words.update((word, self.older[word]) for word in old)
+            new.difference_update(old)
         if new:
             self.learn(new)
 
@@ -210,7 +215,7 @@ class Encoder:
             at = found.end()
         yield from self.pieces(text[at:] if at else text)
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, list[int]]]:
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, array]]:
         """Rows and ids of their texts, in order; long texts come in several parts. Distinct words are looked at for all texts at once."""
         waiting: list[tuple[int, list[str] | int]] = []
         seen: set[str] = set()
@@ -227,18 +232,18 @@ class Encoder:
                     waiting, seen, size = [], set(), 0
         yield from self.flush(waiting, seen)
 
-    def flush(self, waiting: list[tuple[int, list[str] | int]], seen: set[str]) -> Iterator[tuple[int, list[int]]]:
+    def flush(self, waiting: list[tuple[int, list[str] | int]], seen: set[str]) -> Iterator[tuple[int, array]]:
         self.know(seen)
         for row, words in waiting:
             if isinstance(words, int):
-                yield row, [words]
+                yield row, array("i", [words])
             elif words:
                 ids = array("i")
                 ids.frombytes(b"".join(map(self.words.__getitem__, words)))
-                yield row, ids.tolist()
+                yield row, ids
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.v.bytes_of.__getitem__, ids))
+    def decode(self, ids: Sequence[int]) -> bytes:
+        return b"".join(map(self.v.raw.__getitem__, ids))
 
 
 _ready: dict[str, Encoder] = {}
@@ -273,18 +278,32 @@ def _rows(docs: DataFrame, work: Callable[[Encoder, list], list[pa.Array]], fiel
     return source.mapInArrow(run, schema)
 
 
-def _ids_of(encoder: Encoder, texts: list) -> pa.ListArray:
-    """What ``encode`` returns for some texts."""
+def _flat_ids(encoder: Encoder, texts: list) -> tuple[array, list[int]]:
+    """The ids of some texts one behind the other, and where the ids of each text begin and end."""
     values, counts = array("i"), np.zeros(len(texts), np.int64)
     for row, ids in encoder.encode(texts):
         values.extend(ids)
         counts[row] += len(ids)
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(np.array(values, np.int32)))
+    return values, np.append(0, np.cumsum(counts)).tolist()
 
 
-def _text_of(encoder: Encoder, ids: list[int] | None) -> str:
+def _lists(values: array, ends: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(values, np.int32)))
+
+
+def _text_of(encoder: Encoder, ids: Sequence[int] | None) -> str:
     """What ``decode`` returns for a row."""
-    return encoder.decode(ids or []).decode("utf-8", "replace")
+    return encoder.decode(ids or ()).decode("utf-8", "replace")
+
+
+def _utf8_of(encoder: Encoder, ids: Sequence[int]) -> bytes:
+    """The same in UTF-8; bytes that are valid already stay as they are."""
+    raw = encoder.decode(ids)
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace").encode()
+    return raw
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", carry: list[str] | None = None) -> DataFrame:
@@ -295,7 +314,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
     """
 
     def work(encoder: Encoder, texts: list) -> list[pa.Array]:
-        return [_ids_of(encoder, texts)]
+        return [_lists(*_flat_ids(encoder, texts))]
 
     return _rows(docs, work, [T.StructField(ids, T.ArrayType(T.IntegerType()))], vocabulary, docs.columns if carry is None else carry, text)
 
@@ -318,14 +337,15 @@ def round_trip(docs: DataFrame, vocabulary: str, text: str = "text", carry: list
     """
 
     def work(encoder: Encoder, texts: list) -> list[pa.Array]:
-        tokens = _ids_of(encoder, texts)
+        values, ends = _flat_ids(encoder, texts)
+        decimal = encoder.v.decimal.__getitem__
         counts, of_ids, of_text = [], [], []
-        for row in tokens:
-            found = row.as_py()
-            counts.append(len(found))
-            of_ids.append(hashlib.sha256(",".join(map(str, found)).encode()).hexdigest())
-            of_text.append(hashlib.sha256(_text_of(encoder, found).encode()).hexdigest())
-        return [*([tokens] if ids else []), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+        for start, end in pairwise(ends):
+            found = values[start:end].tolist()
+            counts.append(end - start)
+            of_ids.append(hashlib.sha256(",".join(map(decimal, found)).encode()).hexdigest())
+            of_text.append(hashlib.sha256(_utf8_of(encoder, found)).hexdigest())
+        return [*([_lists(values, ends)] if ids else []), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     fields = [*([T.StructField(ids, T.ArrayType(T.IntegerType()))] if ids else []), *fields]
