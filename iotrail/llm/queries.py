@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotrail.llm import bpe, html_crf, hyperminhash, licenses, lm, mih, mixing, quality, rabitq, shards
+from iotrail.llm import alignment, bpe, html_crf, hyperminhash, licenses, lm, mih, mixing, quality, rabitq, rules, shards, whitening
 from iotrail.llm.common import word_count
 from iotrail.session import pin
 
@@ -174,5 +174,75 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, trees, ["doc_id"]).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_hamming_top_k, op3_near_duplicates, op4_bpe, op5_backoff_scores, op6_main_text, op7_mixture, op8_nearest, op9_shards, op10_quality)}
-ORACLE_SQL = {"op1_licenses": OP1_SQL, "op2_hamming_top_k": OP2_SQL, "op5_backoff_scores": OP5_SQL, "op7_mixture": OP7_SQL}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, model = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")  # the ranks of byte_bpe_50k.json
+    aligned = alignment.groups(table(spark, sf_dir, "documents"), ranks, model, carry=["doc_id"])
+    return alignment.scored(aligned).select("doc_id", *alignment.OUTPUT)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judged(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _value_sql(m: rules.Measure) -> str:
+    return f"{m.top}::double / greatest({m.bottom}, 1)"
+
+
+def _limits_sql(keys: str) -> str:
+    """The limits of every group and measure from sketches, as in ``rules.limits``."""
+    by, first = ("group by " + keys + ", measure", keys + ", ") if keys else ("group by measure", "")
+    part = f"partition by {first}measure"
+    worth = f"case when bucket is null then 0 else pow({rules.FACTOR}, bucket) * {2 / (rules.FACTOR + 1)!r} end"
+    at = lambda q: f"min(v) filter (seen >= ceil(size * {q}))"
+    return f"""
+  select {first}measure, max(size) size, q2 - reach low, q2 + reach high from (
+    select *, {12.0} * greatest(least(q2 - q1, q3 - q2), least_of) reach from (
+      select {first}measure, max(size) size, max(least_of) least_of, {at(0.25)} q1, {at(0.5)} q2, {at(0.75)} q3 from (
+        select *, sum(n) over ({part} order by v) seen, sum(n) over ({part}) size from (
+          select {first}measure, max(least_of) least_of, {worth} v, sum(n) n from cells group by {first}measure, bucket)) {by})) {by}, q2, reach"""
+
+
+OP12_SQL = f"""
+with d as (
+  select row_number() over () rid, doc_id, lang, source, coalesce(text, '') t from documents
+), w as (
+  select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) ls from d
+), windows as (
+  select rid, i, [ws[i], ws[i + 1], ws[i + 2], ws[i + 3], ws[i + 4]] g from (select rid, ws, unnest(range(1, len(ws) - 3)) i from w)
+), again as (
+  select rid, unnest(range(i, i + 5)) p from windows qualify count(*) over (partition by rid, g) > 1
+), repeats as (
+  select rid, count(distinct p) n from again group by rid
+), counts as (
+  select rid, doc_id, lang, source, len(ws) n_words, length(array_to_string(ws, '')) word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols,
+         len(ls) n_lines, len(ls) - len(list_distinct(ls)) n_dup_lines, coalesce(n, 0) n_repeat_words from w left join repeats using (rid)
+), cells as (
+  {" union all ".join(f"select lang, source, '{m.name}' measure, {m.least} least_of, case when {m.top} > 0 then ceil(ln({_value_sql(m)}) / ln({rules.FACTOR}))::int end bucket, count(*) n from counts where n_words > 0 group by all" for m in rules.MEASURES)}
+), own as ({_limits_sql("lang, source")}
+), tongue as ({_limits_sql("lang")}
+), whole as ({_limits_sql("")}
+), picked as (
+  select own.lang, own.source, own.measure, case when own.size >= 100 then own.low when tongue.size >= 100 then tongue.low else whole.low end low,
+         case when own.size >= 100 then own.high when tongue.size >= 100 then tongue.high else whole.high end high
+  from own join tongue on own.lang is not distinct from tongue.lang and own.measure = tongue.measure join whole on own.measure = whole.measure
+), valued as (
+  {" union all ".join(f"select rid, lang, source, '{m.name}' measure, {_value_sql(m)} v, {'true' if m.low else 'false'} has_low from counts where n_words > 0" for m in rules.MEASURES)}
+), beyond as (
+  select distinct rid from valued v join picked p on v.lang is not distinct from p.lang and v.source is not distinct from p.source and v.measure = p.measure
+  where v.v > high or (has_low and v.v < low)
+)
+select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines, n_repeat_words::bigint n_repeat_words,
+       base_failed, not base_failed and rid not in (select rid from beyond) kept
+from (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from counts)
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    white = whitening.whiten(vectors, whitening.fit(vectors), carry=["vec_id"])
+    return white.withColumn("deviation", F.col("deviation").try_cast("long")).select("vec_id", *whitening.OUTPUT)  # null beyond 64 bits
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_hamming_top_k, op3_near_duplicates, op4_bpe, op5_backoff_scores, op6_main_text, op7_mixture, op8_nearest, op9_shards, op10_quality, op11_alignment, op12_quality_rules, op13_whitening)}
+ORACLE_SQL = {"op1_licenses": OP1_SQL, "op2_hamming_top_k": OP2_SQL, "op5_backoff_scores": OP5_SQL, "op7_mixture": OP7_SQL, "op12_quality_rules": OP12_SQL}
