@@ -38,6 +38,8 @@ from iotrail.session import pin
 
 #: How byte-level vocabularies of this family split text before merging (fixed value).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space in a row that the pattern is spared, as its look-ahead goes back one by one.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 PIECE = 100_000
 #: Characters of texts that are aligned together, at least.
 TOGETHER = 400_000
@@ -79,13 +81,23 @@ class Sides:
             start = found.end()
         return [*out, text[start:]]
 
+    def a_ids(self, text: str) -> list[int]:
+        """A's ids. White space in a row is a word but for its last character, which goes with what follows."""
+        out, at = [], 0
+        for run in LONG_BLANK.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += self.a.encode_ordinary(text[at : run.start()])
+            out += self.a._encode_single_piece(text[run.start() : end])
+            at = end
+        return out + self.a.encode_ordinary(text[at:] if at else text)
+
     def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
         """The ids of both sides; none if either does not give the text back."""
         if not text:
             return [], []
         a, b = [], []
         for k, piece in enumerate(self.pieces(text)):
-            a += self.a.encode_ordinary(piece if k else " " + piece)
+            a += self.a_ids(piece if k else " " + piece)
             b += self.b.encode(piece[1:] if k else piece)
         raw = b" " + text.encode()
         if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:

@@ -107,6 +107,16 @@ def test_alignment_in_pieces(monkeypatch):
     assert [sides.tokens(t) for t in texts] == whole
 
 
+def test_long_white_space():
+    """Runs of white space that the pattern of the ranks can't take come out as the tokenizers library has them."""
+    with open(RANKS, "rb") as a, open(MODEL, "rb") as b:
+        sides = alignment.Sides(a.read(), b.read())
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ("a" + " " * 200_000 + "b", " " * 1500, "x\n" + " \n" * 60_000, "　" * 2000 + "y", " " * 999 + "\x1c" + " " * 1000 + "\x1d z"):
+        assert sides.a_ids(" " + t) == library.encode(" " + t, add_special_tokens=False).ids
+        assert all(sides.tokens(t))
+
+
 def test_gallop():
     rng = np.random.default_rng(5)
     for _ in range(50):
