@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,11 +172,11 @@ def group_limits(measured: DataFrame, lang: str = "lang", source: str = "source"
     rows = measured.where("n_words > 0").select(quoted(lang).alias("lang"), quoted(source).alias("source"), *COUNTS)
     fine = pin(sketches(rows, ["lang", "source"], measures))
     by_lang = merged(fine, ["lang"])
-    own, tongue, whole = limits(fine, ["lang", "source"], measures, reach), limits(by_lang, ["lang"], measures, reach), limits(merged(by_lang, []), [], measures, reach)
-    tongue = tongue.select(F.col("lang").alias("lang_of"), F.col("size").alias("size_of"), F.lit(1).alias("all"), *(F.col(c).alias(f"{c}_of") for c in names))
-    whole = whole.select(F.lit(1).alias("all"), *(F.col(c).alias(f"{c}_all") for c in names))  # one row
-    both = own.join(tongue.join(F.broadcast(whole), "all"), F.col("lang").eqNullSafe(F.col("lang_of")))
-    pick = lambda c: F.when(F.col("size") >= few, F.col(c)).when(F.col("size_of") >= few, F.col(f"{c}_of")).otherwise(F.col(f"{c}_all"))
+    own, tongue = limits(fine, ["lang", "source"], measures, reach), limits(by_lang, ["lang"], measures, reach)
+    tongue = tongue.select(F.col("lang").alias("lang_of"), F.col("size").alias("size_of"), *(F.col(c).alias(f"{c}_of") for c in names))
+    whole = (limits(merged(by_lang, []), [], measures, reach).first() or Row()).asDict()  # one row
+    both = own.join(tongue, F.col("lang").eqNullSafe(F.col("lang_of")))
+    pick = lambda c: F.when(F.col("size") >= few, F.col(c)).when(F.col("size_of") >= few, F.col(f"{c}_of")).otherwise(F.lit(whole.get(c)).cast("double"))
     return both.select("lang", "source", *(pick(c).alias(c) for c in names))
 
 
