@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from iotrail.functions.scalar import command_role, int_div, project_object, round_up
 from iotrail.functions.stats import quantiles
-from iotrail.operators.asof import asof_join, range_join
+from iotrail.operators.asof import asof_join
 from iotrail.operators.blocks import count_if
-from iotrail.operators.scan import Following, Previous, RunningSum, Scan
+from iotrail.operators.scan import Following, LastSeen, NextSeen, Previous, RunningSum, Scan
+from iotrail.operators.sweep import best_open
+from iotrail.session import pin
 
 SLACK_NS = 5_000_000
 
@@ -40,10 +42,10 @@ def by_extent(
     cmd: DataFrame,
     record: Sequence[str],
     block_bytes: int,
-    cell_ns: int,
     header_bytes: int = 4096,
     align: int = 4096,
     slack_ns: int = SLACK_NS,
+    chunked: bool | None = None,
 ) -> DataFrame:
     """Commands attributed by byte range and time window.
 
@@ -51,42 +53,40 @@ def by_extent(
     or below its offset. It must lie fully inside the slot; then the operations
     of the slot whose window holds its time are candidates, one whose direction
     matches wins, and the first in record order among equals. ``match`` tells
-    unique, cross_object, gap_spill and unmatched commands apart. Commands need
-    a unique ``cmd_id``.
+    unique, cross_object, gap_spill and unmatched commands apart. Repeated
+    commands stay; every command comes out once.
+
+    Slots and commands go by offset, then windows and commands of a slot by time, each in one stream.
     """
     ops = obj.filter("slot_offset IS NOT NULL").select(
         F.col("slot_offset").alias("lo"),
         (F.col("slot_offset") + header_bytes + round_up(F.col("bytes"), align)).alias("hi"),
         (F.col("ts_start_ns") - slack_ns).alias("t0"),
         (F.col("ts_ns") + slack_ns + 1).alias("t1"),
-        F.struct(*record).alias("rec"),
-        F.col("op").alias("obj_op"),
+        *[F.col(c).alias(f"rec_{i}") for i, c in enumerate(record)],
+        F.when(F.col("op") == "store", "write").when(F.col("op") == "load", "read").alias("way"),
         F.col("trace_id").alias("obj_id"),
     )
-    slots = ops.groupBy("lo").agg(F.min_by("hi", "rec").alias("hi"))
-    slots = Scan(slots, [], ["lo"]).add(Following("next_lo", F.col("lo"))).df
-    placed = cmd.withColumn("off", F.col("slba") * block_bytes)
-    take = {"lo": "lo", "hi": "hi", "next_lo": "next_lo"}
-    at = asof_join(placed, slots, [], "off", "lo", take)
-    end = F.col("off") + F.col("bytes")
+    order = [f"rec_{i}" for i in range(len(record))]
+    slots = ops.groupBy("lo").agg(F.min_by("hi", F.struct(*order)).alias("hi"))
+    base = slots.select(F.col("lo").alias("off"), F.lit(0).alias("_side"), F.struct("lo", "hi").alias("_slot"))
+    placed = cmd.select(
+        (F.col("slba") * block_bytes).alias("off"), F.lit(1).alias("_side"), F.struct(*cmd.columns).alias("_row")
+    ).withColumn("_mix", F.xxhash64("_row"))
+    both = base.unionByName(placed, allowMissingColumns=True)
+    scan = Scan(both, [], ["off", "_side", "_mix"])
+    scan.add(LastSeen("_at", F.col("_slot")), NextSeen("_next", F.col("_slot.lo")))
+    end = F.col("off") + F.col("_row.bytes")
     place = (
-        F.when(F.col("lo").isNull() | (F.col("off") >= F.col("hi")), "unmatched")
-        .when((end > F.col("hi")) & (F.col("next_lo") < end), "cross_object")
-        .when(end > F.col("hi"), "gap_spill")
+        F.when(F.col("_at.lo").isNull() | (F.col("off") >= F.col("_at.hi")), "unmatched")
+        .when((end > F.col("_at.hi")) & (F.col("_next") < end), "cross_object")
+        .when(end > F.col("_at.hi"), "gap_spill")
         .otherwise("inside")
     )
-    at = at.withColumn("place", place)
-    inside = at.filter("place = 'inside'").select("cmd_id", "lo", "ts_ns", "op_name")
-    windows = ops.select("lo", "t0", "t1", "rec", "obj_op", "obj_id")
-    hits = range_join(inside, windows, ["lo"], "ts_ns", "t0", "t1", cell_ns)
-    wants = F.when(F.col("obj_op") == "store", "write").when(F.col("obj_op") == "load", "read")
-    other_way = F.when(wants == F.col("op_name"), 0).otherwise(1)
-    best = hits.groupBy("cmd_id").agg(F.min_by("obj_id", F.struct(other_way, "rec")).alias("obj_id"))
-    out = at.drop("hi", "next_lo").join(best, "cmd_id", "left")
-    match = F.when(F.col("place") != "inside", F.col("place")).otherwise(
-        F.when(F.col("obj_id").isNotNull(), "unique").otherwise("unmatched")
-    )
-    return out.withColumn("match", match).drop("place")
+    at = pin(scan.df.filter("_side = 1").select("_row.*", "off", F.col("_at.lo").alias("lo"), place.alias("match")))
+    inside = best_open(at.filter("match = 'inside'"), ops, "lo", "ts_ns", "op_name", "t0", "t1", order, "way", "obj_id", chunked)
+    found = F.when(F.col("obj_id").isNotNull(), "unique").otherwise("unmatched")
+    return inside.withColumn("match", found).unionByName(at.filter("match <> 'inside'"), allowMissingColumns=True)
 
 
 def parity(attributed: DataFrame) -> DataFrame:

@@ -59,6 +59,8 @@ class Measure:
 
     #: Whether ``total`` reads columns of ``first`` or ``second``.
     total_needs_rows = False
+    #: Whether rows and chunks are gone through from the last to the first.
+    backward = False
 
     def _c(self, suffix: str) -> str:
         return f"_{self.name}_{suffix}"
@@ -130,6 +132,18 @@ class LastSeen(Measure):
         return F.coalesce(inner, F.col(self._c("k"))) if carried else inner
 
 
+@dataclass
+class NextSeen(LastSeen):
+    """The earliest non-null value behind this row."""
+
+    exclusive: bool = True
+    backward = True
+
+    def total(self, order):
+        at = F.when(self.value.isNotNull(), F.struct(*order))
+        return {self._c("t"): F.min_by(self.value, at)}
+
+
 @dataclass
 class Previous(Measure):
     """The value of the row before; null on the first row of a key."""
@@ -240,7 +254,7 @@ class Scan:
         self.keys, self.order = list(keys), list(order)
         if chunked is None:
             limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
-            chunked = not self.keys or largest_group(df, self.keys) > limit
+            chunked = not self.keys or exceeds(df, self.keys, limit)
         self.chunked = chunked
         # Whether the rows so far are written, so that reading them twice is cheap.
         self._written = chunked
@@ -253,6 +267,7 @@ class Scan:
         """Append one column per measure; later calls may use earlier columns."""
         parts = ([CHUNK] if self.chunked else []) + self.keys
         rows = Window.partitionBy(*parts).orderBy(*self.order)
+        down = Window.partitionBy(*parts).orderBy(*map(F.desc, self.order))
         if self.chunked and not self._written:
             self._df = pin(self._df)
         kept = self._df.columns
@@ -264,7 +279,7 @@ class Scan:
         for step in ("first", "second"):
             columns: dict[str, Column] = {}
             for measure in measures:
-                columns.update(getattr(measure, step)(rows))
+                columns.update(getattr(measure, step)(down if measure.backward else rows))
             if columns:
                 local = local.withColumns(columns)
         if self.chunked:
@@ -291,13 +306,14 @@ class Scan:
         for measure in measures:
             totals.update(measure.total(self.order))
         carry = edge_rows.groupBy(*by).agg(*[c.alias(n) for n, c in totals.items()])
-        chunks = Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(CHUNK)
+        by_keys = Window.partitionBy(*(self.keys or [F.lit(0)]))
+        chunks, down = by_keys.orderBy(CHUNK), by_keys.orderBy(F.desc(CHUNK))
         names: list[str] = []
         depth = max(len(m.carries(chunks)) for m in measures)
         for step in range(depth):
             columns: dict[str, Column] = {}
             for measure in measures:
-                steps = measure.carries(chunks)
+                steps = measure.carries(down if measure.backward else chunks)
                 if step < len(steps):
                     columns.update(steps[step])
             names += columns
@@ -323,6 +339,11 @@ def _null_safe_join(rows: DataFrame, small: DataFrame, by: Sequence[str], how: s
     return out.drop(*[f"_by_{c}" for c in by])
 
 
+def exceeds(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
+    """Whether a key has more than ``limit`` rows. Keys are counted only if there are that many rows at all."""
+    return df.count() > limit and largest_group(df, keys) > limit
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the most frequent key: one small number to the driver."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

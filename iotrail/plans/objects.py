@@ -213,19 +213,17 @@ att AS (SELECT pl.*, oid obj_id, CASE WHEN place <> 'inside' THEN place WHEN oid
 def _extent(t: Tables) -> DataFrame:
     """Two operations share a slot, so both space and time decide."""
     obj = t.obj.withColumn("slot_offset", S.int_div(F.col("trace_id") - 1, 2) * 2097152)
-    cmd = t.cmd.withColumn("cmd_id", F.struct("user_data", "ts_ns", "slba", "bytes", "op_name"))
-    return O.by_extent(obj, cmd, ["ts_start_ns", "trace_id"], LBA, 30 * DAY)
+    return O.by_extent(obj, t.cmd.drop("user_data"), ["ts_start_ns", "trace_id"], LBA)
 
 
 @query(
     "commands_by_extent",
     "J10",
-    EXTENT_SQL + "SELECT DISTINCT tid, slba, bytes, op_name, ts_ns, obj_id, match FROM att",
+    EXTENT_SQL + "SELECT tid, slba, bytes, op_name, ts_ns, obj_id, match FROM att",
     "obj cmd",
 )
 def commands_by_extent(t: Tables) -> DataFrame:
-    rows = _extent(t).select("tid", "slba", "bytes", "op_name", "ts_ns", "obj_id", "match")
-    return rows.distinct()
+    return _extent(t).select("tid", "slba", "bytes", "op_name", "ts_ns", "obj_id", "match")
 
 
 @query(
