@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from iotrail.functions.scalar import floor_log2, int_div
 from iotrail.operators.asof import asof_join, range_join
+from iotrail.operators.automaton import lowest_holder
 from iotrail.operators.blocks import count_if
 from iotrail.operators.scan import LastSeen, Previous, RunningSum, Scan
 from iotrail.session import pin
@@ -204,7 +205,7 @@ def mapping_references(events: DataFrame, vma: DataFrame, cell: int = 1 << 20) -
 
     1 the address mmap returned, 2 the hint address, 3 the path or base name
     behind the descriptor, 4 a file name that is part of a mapped path. Among
-    equals the lowest mapping wins. Every step is an equi-join.
+    equals the lowest mapping wins. Steps 1 to 3 are equi-joins, step 4 is one automaton over all names.
     """
     maps = vma.select("pid", "start_addr", "end_addr", "pathname")
     in_file = maps.filter((F.col("pathname") != "") & ~F.col("pathname").startswith("["))
@@ -222,10 +223,7 @@ def mapping_references(events: DataFrame, vma: DataFrame, cell: int = 1 << 20) -
     named = ids.filter((F.col("path") != "") & ~F.col("path").startswith("<"))
     by_path = named.withColumn("_base", basename(F.col("path"))).join(first, ["pid", "_base"])
     by_path = by_path.select("event_id", F.lit(3).alias("priority"), "start_addr")
-    parts = substring_matches(
-        ids.filter("filename <> ''").select("pid", "filename").distinct(),
-        in_file.groupBy("pid", "pathname").agg(F.min("start_addr").alias("start_addr")),
-    )
+    parts = lowest_holder(ids, in_file, ["pid"], "filename", "pathname", "start_addr")
     by_name = ids.join(parts, ["pid", "filename"]).select(
         "event_id", F.lit(4).alias("priority"), "start_addr"
     )
@@ -235,33 +233,6 @@ def mapping_references(events: DataFrame, vma: DataFrame, cell: int = 1 << 20) -
     return best.select("event_id", "m.priority", "m.start_addr")
 
 
-def substring_matches(needles: DataFrame, paths: DataFrame, gram: int = 8) -> DataFrame:
-    """Lowest mapping per (pid, filename) whose path contains the file name.
-
-    The last ``gram`` characters of the name (all of a shorter one) must occur
-    in the path, so both sides meet on these characters and only true
-    candidates are compared in full.
-    """
-    key = F.when(F.length("filename") <= gram, F.col("filename")).otherwise(F.right(F.col("filename"), F.lit(gram)))
-    asked = needles.withColumn("_g", key)
-    lengths = asked.select(F.length("_g").alias("k")).distinct()
-    sizes = sorted(r["k"] for r in lengths.collect())
-    path = F.col("pathname")
-    grams = [_grams(path, k) for k in sizes]
-    if not grams:
-        return needles.withColumn("start_addr", F.lit(None).cast("long")).limit(0)
-    listed = paths.withColumn("_g", F.explode(F.array_distinct(F.concat(*grams))))
-    hits = asked.join(listed, ["pid", "_g"]).filter(F.contains(path, F.col("filename")))
-    return hits.groupBy("pid", "filename").agg(F.min("start_addr").alias("start_addr"))
-
-
-def _grams(text: Column, k: int) -> Column:
-    """All substrings of length k."""
-    starts = F.sequence(F.lit(1), F.length(text) - (k - 1))
-    each = F.transform(starts, lambda i: text.substr(i, F.lit(k)))
-    return F.when(F.length(text) >= k, each).otherwise(F.array().cast("array<string>"))
-
-
 def best_shared_mapping(vma: DataFrame) -> DataFrame:
     """Per process the largest shared mapping: of a plain file if there is one,
     else of anything without brackets."""
