@@ -282,14 +282,19 @@ def block_heat_zoom(t: Tables) -> DataFrame:
     return H.zoom(H.heat(touches(t), decay=2, per_level=4, now=50), 4)
 
 
-@query(
-    "block_frequency",
-    "W16 P46",
+FREQUENCY_SQL = (
     TOUCH_SQL
     + """, fs AS (SELECT block, list_reduce(list_prepend({'f': CAST(0 AS BIGINT), 's': CAST(0 AS BIGINT)}, list({'f': CAST(0 AS BIGINT), 's': sample} ORDER BY sample, event_id)),
         lambda a, x: {'f': least(500 + CASE WHEN x.s - a.s >= 20 THEN 0 ELSE list_reduce(list_prepend(a.f, range(x.s - a.s)), lambda v, i: greatest(v - (v // 20 + v % 20 // 20), 0)) END, 10000), 's': x.s}) st FROM tc GROUP BY block),
- fd AS (SELECT block, st.f points, CASE WHEN 50 - st.s >= 20 THEN 0 ELSE list_reduce(list_prepend(st.f, range(50 - st.s)), lambda v, i: greatest(v - (v // 20 + v % 20 // 20), 0)) END lf FROM fs)
- SELECT block, points, CASE WHEN lf = 0 THEN 0 ELSE least(lf * 8 // 10000 + 1, 9) END digit FROM fd""",
+ hd AS (SELECT block, st.f points, st.s last_sample, CASE WHEN 50 - st.s >= 20 THEN 0 ELSE list_reduce(list_prepend(st.f, range(50 - st.s)), lambda v, i: greatest(v - (v // 20 + v % 20 // 20), 0)) END lf FROM fs)
+"""
+)
+
+
+@query(
+    "block_frequency",
+    "W16 P46",
+    FREQUENCY_SQL + "SELECT block, points, CASE WHEN lf = 0 THEN 0 ELSE least(lf * 8 // 10000 + 1, 9) END digit FROM hd",
     "touch",
 )
 def block_frequency(t: Tables) -> DataFrame:

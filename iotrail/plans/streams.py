@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from iotrail.functions.scalar import int_div
-from iotrail.plans.pages import HEAT_SQL
+from iotrail.plans.pages import FREQUENCY_SQL, HEAT_SQL
 from iotrail.plans.registry import Tables, micros, query
 from iotrail.streaming import jobs
 
@@ -119,6 +121,49 @@ def stream_pairs(t: Tables) -> DataFrame:
     return emitted.select("tid", "outcome", "start_ns", "end_ns")
 
 
+CAP = 6
+
+CAP_SQL = f"""
+e AS (SELECT user_id tid, user_id % 4 queue, epoch_us(ts) * 1000 ns, event_type = 'view' st FROM events WHERE event_type IN ('view', 'purchase')),
+o AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY ns, st, tid) k FROM e),
+l AS (SELECT *, lead(ns) OVER w nns, lead(st) OVER w nst, lead(k) OVER w nk, max(ns) OVER (PARTITION BY queue) top FROM o WINDOW w AS (PARTITION BY tid ORDER BY k)),
+x AS (SELECT (max(ns) // 1000000) - 3600000 mark FROM e),
+z AS (SELECT r.queue, r.k, row_number() OVER (PARTITION BY r.queue, s.k ORDER BY r.k DESC) age FROM l r JOIN l s ON r.queue = s.queue AND r.st AND s.st
+      AND r.k <= s.k AND (r.nk IS NULL OR r.nk > s.k) AND s.ns - r.ns <= {TIMEOUT}),
+v AS (SELECT DISTINCT queue, k FROM z WHERE age > {CAP}),
+c AS (SELECT l.queue, tid, CASE WHEN v.k IS NOT NULL THEN 'evicted' WHEN nns - ns <= {TIMEOUT} AND NOT nst THEN 'paired' WHEN nns - ns <= {TIMEOUT} THEN 'replaced'
+             WHEN nns IS NULL AND ns + {TIMEOUT} >= top AND (ns + {TIMEOUT}) // 1000000 >= mark THEN 'open' ELSE 'expired' END outcome,
+             ns start_ns, nns FROM l LEFT JOIN v ON l.queue = v.queue AND l.k = v.k, x WHERE st),
+r AS (SELECT queue, tid, outcome, start_ns, CASE WHEN outcome = 'paired' THEN nns END end_ns FROM c WHERE outcome <> 'replaced')
+"""
+
+
+def _bounded(t: Tables) -> DataFrame:
+    rows = sized_events(t).filter("event_type IN ('view', 'purchase')").withColumn("queue", F.col("tid") % 4)
+    rows, close = jobs.closable(rows.withColumn("is_start", F.col("event_type") == "view"), "time")
+    pairs = jobs.bounded_pairs(rows, "queue", "tid", "time", "1 hour", TIMEOUT, CAP)
+    return jobs.run_available(pairs, name="bounded", close=close, conf=jobs.ROCKSDB).drop("batch")
+
+
+@query("stream_bounded_pairs", "R6", CAP_SQL + "SELECT queue, tid, outcome, start_ns, end_ns FROM r")
+def stream_bounded_pairs(t: Tables) -> DataFrame:
+    """Pairs of four queues that may each have six open starts; the oldest ones beyond that are evicted."""
+    return _bounded(t)
+
+
+@query("stream_pair_counters", "R6 R11", CAP_SQL + "SELECT queue, outcome, count(*) n FROM r GROUP BY queue, outcome")
+def stream_pair_counters(t: Tables) -> DataFrame:
+    """How many starts were paired, expired, evicted or left open, by queue."""
+    return _bounded(t).groupBy("queue", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _touches(t: Tables) -> tuple[DataFrame, Callable[[], None]]:
+    rows = stream(t, "events", EVENTS)
+    addr = F.col("event_id") * 104729 % 209715200
+    touches = rows.select(int_div(addr, 1048576).alias("block"), (F.col("event_id") % 50).alias("sample"))
+    return jobs.closable(jobs.with_sample_time(touches), jobs.SAMPLE_TIME)
+
+
 @query(
     "stream_block_heat",
     "R7 W15",
@@ -126,12 +171,21 @@ def stream_pairs(t: Tables) -> DataFrame:
     "touch",
 )
 def stream_block_heat(t: Tables) -> DataFrame:
-    rows = stream(t, "events", EVENTS)
-    addr = F.col("event_id") * 104729 % 209715200
-    touches = rows.select(
-        int_div(addr, 1048576).alias("block"), (F.col("event_id") % 50).alias("sample")
-    )
-    emitted = jobs.run_available(jobs.block_heat(touches, decay=2, cap=36), "update", "heat")
+    touches, close = _touches(t)
+    emitted = jobs.run_available(jobs.block_heat(touches, decay=2, cap=36, lateness=50), "update", "heat", close)
+    return jobs.latest(emitted, ["block"])
+
+
+@query(
+    "stream_block_frequency",
+    "R7 W16",
+    FREQUENCY_SQL + "SELECT block, points, last_sample FROM hd",
+    "touch",
+)
+def stream_block_frequency(t: Tables) -> DataFrame:
+    """The moving-sum frequency of the same touches as a stream."""
+    touches, close = _touches(t)
+    emitted = jobs.run_available(jobs.block_frequency(touches, window=20, lateness=50), "update", "frequency", close)
     return jobs.latest(emitted, ["block"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
@@ -10,10 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from iotrail.functions.scalar import floor_log2
 from iotrail.operators.asof import asof_join
 from iotrail.operators.blocks import count_if
+from iotrail.operators.heat import FULL, fade
 from iotrail.session import scratch
 from iotrail.sources.records import CORRUPT
 
@@ -87,6 +90,9 @@ def live_histogram(events: DataFrame, value: str, by: str) -> DataFrame:
     return events.groupBy(by, bucket).agg(F.count(F.lit(1)).alias("n"))
 
 
+CLOSING_MS = int(pd.Timestamp(CLOSING, tz="UTC").timestamp() * 1000) - 366 * 86_400_000
+
+
 def paired(
     events: DataFrame, keys: Sequence[str], time: str, delay: str, timeout_ns: int
 ) -> DataFrame:
@@ -97,10 +103,10 @@ def paired(
     is ``timeout_ns`` past it gives a row with outcome expired; one that is open
     when the stream is closed (see ``closable``), with outcome open.
 
-    Rows of a key are sorted and compared with their neighbours as arrays.
+    Events may come in any order within ``delay``: they are kept as state until the
+    watermark has passed them, and settled in the order of their times. Rows of a key
+    are sorted and compared with their neighbours as arrays.
     """
-    closing_ms = int(pd.Timestamp(CLOSING, tz="UTC").timestamp() * 1000) - 366 * 86_400_000
-
     fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     key_schema = ", ".join(f"{k} {fields[k]}" for k in keys)
     output = f"{key_schema}, outcome string, start_ns bigint, end_ns bigint"
@@ -108,30 +114,40 @@ def paired(
     def step(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            outcome = "open" if state.getCurrentWatermarkMs() > closing_ms else "expired"
-            found = pd.DataFrame({"outcome": [outcome], "start_ns": pd.array([state.get[0]], "Int64"), "end_ns": pd.array([None], "Int64")})
-            state.remove()
-        else:
-            rows = pd.concat([b[["ts_ns", "is_start"]] for b in batches]).dropna()
-            ts, starts = rows["ts_ns"].to_numpy("int64"), rows["is_start"].to_numpy(bool)
-            order = np.lexsort((starts, ts))
-            ts, starts = ts[order], starts[order]
+        mark = state.getCurrentWatermarkMs()
+        opened, times, kinds = state.get if state.exists else (None, [], [])
+        ts, starts = [np.array(times, "int64")], [np.array(kinds, bool)]
+        for batch in () if state.hasTimedOut else batches:
+            rows = batch[["ts_ns", "is_start"]].dropna()
+            ts.append(rows["ts_ns"].to_numpy("int64"))
+            starts.append(rows["is_start"].to_numpy(bool))
+        ts, starts = np.concatenate(ts), np.concatenate(starts)
+        order = np.lexsort((starts, ts))
+        ts, starts = ts[order], starts[order]
+        # What the watermark has passed is complete.
+        n = int(np.searchsorted(ts // 1_000_000, mark))
+        left, left_starts = ts[n:], starts[n:]
+        ts, starts = ts[:n], starts[:n]
+        if opened is not None:
+            ts, starts = np.append(np.int64(opened), ts), np.append(True, starts)
+        # A start is over at the next event of its key: too late for it, an end that pairs, or another start that replaces it.
+        late = ts[1:] - ts[:-1] > timeout_ns
+        over = starts[:-1] & (late | ~starts[1:])
+        end = pd.array(ts[1:][over], "Int64")
+        end[late[over]] = None
+        found = pd.DataFrame({"outcome": np.where(late[over], "expired", "paired"), "start_ns": pd.array(ts[:-1][over], "Int64"), "end_ns": end})
+        opened = int(ts[-1]) if len(ts) and starts[-1] else None
+        due = None if opened is None else (opened + timeout_ns) // 1_000_000
+        if due is not None and due < mark:
+            last = pd.DataFrame({"outcome": ["open" if mark > CLOSING_MS else "expired"], "start_ns": pd.array([opened], "Int64"), "end_ns": pd.array([None], "Int64")})
+            found, opened, due = pd.concat([found, last]) if len(found) else last, None, None
+        if opened is None and not len(left):
             if state.exists:
-                ts, starts = np.append(np.int64(state.get[0]), ts), np.append(True, starts)
-            # A start is over at the next event of its key: too late for it, an end that pairs, or another start that replaces it.
-            late = ts[1:] - ts[:-1] > timeout_ns
-            over = starts[:-1] & (late | ~starts[1:])
-            end = pd.array(ts[1:][over], "Int64")
-            end[late[over]] = None
-            found = pd.DataFrame({"outcome": np.where(late[over], "expired", "paired"), "start_ns": pd.array(ts[:-1][over], "Int64"), "end_ns": end})
-            if len(ts) and starts[-1]:
-                opened = int(ts[-1])
-                state.update((opened,))
-                due = (opened + timeout_ns) // 1_000_000
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
                 state.remove()
+        else:
+            state.update((opened, left.tolist(), left_starts.tolist()))
+            wake = [x for x in (due, int(left[0]) // 1_000_000 if len(left) else None) if x is not None]
+            state.setTimeoutTimestamp(max(min(wake), mark + 1))
         if len(found):
             for name, value in reversed(list(zip(keys, key, strict=True))):
                 found.insert(0, name, [value] * len(found))
@@ -139,34 +155,149 @@ def paired(
 
     slim = events.withWatermark(time, delay).select(*keys, time, "ts_ns", "is_start")
     return slim.groupBy(*keys).applyInPandasWithState(
-        step, output, "opened bigint", "append", GroupStateTimeout.EventTimeTimeout
+        step, output, "opened bigint, ts array<bigint>, starts array<boolean>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def block_heat(touches: DataFrame, decay: int, cap: int) -> DataFrame:
-    """Points and last sample of each touched block after every batch."""
+#: How many requests may be open at once.
+MAX_OPEN = 262_144
+
+
+class BoundedPairs(StatefulProcessor):
+    """Pairs of one group of keys with a bounded number of open starts.
+
+    Events wait until the watermark has passed them and are then taken in the order of their times (ends first at one time, then by
+    key). The open starts are kept in the order of their age, so the first ones expire, and the first one is evicted when one more
+    than ``cap`` is open.
+    """
+
+    def __init__(self, group: str, key: str, kinds: tuple[str, str], timeout_ns: int, cap: int):
+        self.group, self.key, self.kinds, self.timeout, self.cap = group, key, kinds, timeout_ns, cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", f"key {self.kinds[1]}, ts bigint")
+        self.waiting = handle.getListState("waiting", f"key {self.kinds[1]}, ts bigint, is_start boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: list[tuple] = []
+        for batch in rows:
+            full = batch[[self.key, "ts_ns", "is_start"]].dropna()
+            new += zip(full[self.key].tolist(), full["ts_ns"].astype("int64").tolist(), full["is_start"].astype(bool).tolist(), strict=True)
+        yield from self.settle(key, new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.settle(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def settle(self, group: tuple, new: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
+        rows = sorted([*map(tuple, self.waiting.get()), *new], key=lambda r: (r[1], r[2], r[0]))
+        n = bisect_left(rows, mark, key=lambda r: r[1] // 1_000_000)
+        begun = dict(map(tuple, self.open.get()))  # key -> time of its start, the oldest first
+        out: list[tuple] = []
+
+        def drop_first(outcome: str) -> None:
+            key = next(iter(begun))
+            out.append((key, outcome, begun.pop(key), None))
+
+        for key, ts, is_start in rows[:n]:
+            while begun and next(iter(begun.values())) + self.timeout < ts:
+                drop_first("expired")
+            before = begun.pop(key, None)
+            if is_start:
+                begun[key] = ts
+                while len(begun) > self.cap:
+                    drop_first("evicted")
+            elif before is not None:
+                out.append((key, "paired", before, ts))
+        due = lambda: (next(iter(begun.values())) + self.timeout) // 1_000_000
+        while begun and due() < mark:
+            drop_first("open" if mark > CLOSING_MS else "expired")
+        for state, kept in ((self.open, list(begun.items())), (self.waiting, rows[n:])):
+            state.put(kept) if kept else state.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        wake = [*([due()] if begun else []), *([rows[n][1] // 1_000_000] if n < len(rows) else [])]
+        if wake:
+            self.handle.registerTimer(max(min(wake), mark) + 1)
+        if out:
+            found = pd.DataFrame(out, columns=[self.key, "outcome", "start_ns", "end_ns"])
+            yield found.astype({"start_ns": "Int64", "end_ns": "Int64"}).assign(**{self.group: group[0]})[[self.group, self.key, "outcome", "start_ns", "end_ns"]]
+
+    def close(self) -> None:
+        pass
+
+
+def bounded_pairs(events: DataFrame, group: str, key: str, time: str, delay: str, timeout_ns: int, cap: int = MAX_OPEN) -> DataFrame:
+    """``paired`` with at most ``cap`` open starts in a group (such as a device or a hash of the key); the oldest ones beyond it are evicted.
+
+    Outcomes are paired, expired, evicted and open. Needs the state store of ``ROCKSDB``, see ``run_available``. A group of keys is one
+    task's work, and holds ``cap`` open starts and the events that the watermark hasn't passed; spread hot groups by a hash of the key.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    slim = events.withWatermark(time, delay).select(group, key, time, "ts_ns", "is_start")
+    return slim.groupBy(group).transformWithStateInPandas(
+        BoundedPairs(group, key, (fields[group], fields[key]), timeout_ns, cap),
+        f"{group} {fields[group]}, {key} {fields[key]}, outcome string, start_ns bigint, end_ns bigint", "append", "EventTime",
+    )
+
+
+#: The state store that lists and timers need.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+#: A sample as an event time: a second each, from the second day on, as a row at the watermark's first value, 0, counts as late.
+SAMPLE_TIME = "sample_time"
+SAMPLE_ZERO = 86_400
+
+
+def with_sample_time(touches: DataFrame) -> DataFrame:
+    return touches.withColumn(SAMPLE_TIME, F.timestamp_seconds(F.col("sample") + SAMPLE_ZERO))
+
+
+def _touched(touches: DataFrame, lateness: int, advance: Callable[[int, int, int], int]) -> DataFrame:
+    """Points and last sample of each touched block, as the watermark passes its samples.
+
+    ``advance(points, idle, n)`` gives the points after ``idle`` samples without and one with ``n`` touches. A touch may be ``lateness``
+    samples behind the latest one seen; it waits as state until no earlier one can come, so the order of arrival doesn't matter.
+    Touches that are later are dropped. Needs ``sample_time`` (see ``with_sample_time``).
+    """
     kind = touches.schema["block"].dataType.simpleString()
 
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        points, last = state.get if state.exists else (0, 0)
-        counts: Counter[int] = Counter()
-        for batch in batches:
-            counts.update(batch["sample"].tolist())
-        for sample, n in sorted(counts.items()):
-            points = min(max(points - decay * max(sample - last, 0), 0) + n, cap)
-            last = sample
-        state.update((points, last))
-        yield pd.DataFrame({"block": [key[0]], "points": [points], "last_sample": [last]})
-
-    return touches.select("block", "sample").groupBy("block").applyInPandasWithState(
-        step,
-        f"block {kind}, points bigint, last_sample bigint",
-        "points bigint, last bigint",
-        "update",
-        GroupStateTimeout.NoTimeout,
-    )
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        points, last, samples, counts = state.get if state.exists else (0, 0, [], [])
+        waiting = Counter(dict(zip(samples, counts, strict=True)))
+        for batch in () if state.hasTimedOut else batches:
+            waiting.update(batch["sample"].dropna().astype("int64").tolist())
+        ready = sorted(s for s in waiting if (s + SAMPLE_ZERO) * 1000 < mark)
+        for sample in ready:
+            points, last = advance(points, sample - last, waiting.pop(sample)), sample
+        samples = sorted(waiting)
+        state.update((points, last, samples, [waiting[s] for s in samples]))
+        if samples:
+            state.setTimeoutTimestamp(max((samples[0] + SAMPLE_ZERO) * 1000, mark + 1))
+        if ready:
+            yield pd.DataFrame({"block": [key[0]], "points": [points], "last_sample": [last]})
+
+    slim = touches.withWatermark(SAMPLE_TIME, f"{lateness} seconds").select("block", "sample", SAMPLE_TIME)
+    return slim.groupBy("block").applyInPandasWithState(
+        step, f"block {kind}, points bigint, last_sample bigint", "points bigint, last bigint, samples array<bigint>, counts array<bigint>",
+        "update", GroupStateTimeout.EventTimeTimeout,
+    )
+
+
+def block_heat(touches: DataFrame, decay: int, cap: int, lateness: int = 0) -> DataFrame:
+    """Heat of each block: every touch adds a point up to ``cap``, every sample takes ``decay`` points."""
+    return _touched(touches, lateness, lambda points, idle, n: min(max(points - decay * idle, 0) + n, cap))
+
+
+def block_frequency(touches: DataFrame, window: int, rate: int = 1, lateness: int = 0) -> DataFrame:
+    """Moving-sum frequency of each block in points of 10,000, see ``operators.heat.frequency``."""
+    gain = FULL // window
+
+    def advance(points: int, idle: int, n: int) -> int:
+        return min(int(fade(np.array([points], dtype=np.int64), idle, window, rate)[0]) + gain * n, FULL)
+
+    return _touched(touches, lateness, advance)
 
 
 def counted_losses(capture: DataFrame, name: str = "losses") -> DataFrame:
@@ -186,9 +317,13 @@ def wall_clock(records: DataFrame, anchors: DataFrame, keys: Sequence[str] = ())
     return rows.withColumn("wall_ns", F.col("ts_ns") + F.col("_r") - F.col("_m")).drop("_m", "_r")
 
 
-def run_available(stream: DataFrame, mode: str = "append", name: str = "stream", close: Callable[[], None] | None = None) -> DataFrame:
+def run_available(
+    stream: DataFrame, mode: str = "append", name: str = "stream", close: Callable[[], None] | None = None, conf: dict[str, str] | None = None
+) -> DataFrame:
     """Process what is there and return the emitted rows, written as Parquet.
 
+    ``conf`` holds while the stream runs.
+
     With ``close`` (see ``closable``) the stream then ends, and what was left open is emitted, too.
 
     In update mode a row may be emitted several times; ``batch`` tells in which
@@ -203,10 +338,17 @@ def run_available(stream: DataFrame, mode: str = "append", name: str = "stream",
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(append).trigger(availableNow=True)
-    writer.start().awaitTermination()
-    if close:
-        close()
+    before = {key: spark.conf.get(key, None) for key in conf or {}}
+    for key, value in (conf or {}).items():
+        spark.conf.set(key, value)
+    try:
         writer.start().awaitTermination()
+        if close:
+            close()
+            writer.start().awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     return spark.read.schema(f"{fields}, batch bigint").parquet(out)
 

@@ -1,6 +1,7 @@
 """Streams over several files give what the batch forms give."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -73,13 +74,78 @@ def test_a_closed_stream_is_complete(spark, tmp_path):
     assert got == sorted(want) and any(o == "open" for _, o, _ in want)
 
 
-def test_heat_equals_batch(spark, tmp_path):
+def write_shuffled(spark, folder, rows, parts=4, seed=5):
+    """Files whose rows are in no order of time, neither within a file nor between them."""
+    rows = random.Random(seed).sample(rows, len(rows))
+    size = -(-len(rows) // parts)
+    for i in range(parts):
+        spark.createDataFrame(rows[i * size : (i + 1) * size], SCHEMA).coalesce(1).write.parquet(f"{folder}/p{i}")
+
+
+def test_late_rows_are_paired_in_order(spark, tmp_path):
+    """Files in any order give what the batch pairing gives; a start is no later than its end, and none is lost."""
+    rows = [(k, (t + 1) * S, is_start, 0, 0) for k, t, is_start in [(1, 99, True), (1, 89, False), (2, 79, True), (2, 99, True), (2, 89, False), (1, 150, False)]]
+    rows += [(3 + i % 5, (i + 1) * S, (i * i) % 3 != 0, 0, 0) for i in range(160)]
+    write_shuffled(spark, str(tmp_path), rows)
+    closed, close = jobs.closable(source(spark, str(tmp_path)), "time")
+    emitted = jobs.run_available(jobs.paired(closed, ["k"], "time", "1000 seconds", 10**15), close=close)
+    got = sorted((r["k"], r["start_ns"], r["end_ns"]) for r in emitted.filter("outcome = 'paired'").collect())
+    batch = spark.createDataFrame(rows, SCHEMA)
+    pairs = consuming_pairs(batch, ["k"], ["ts_ns"], F.col("is_start"), ["ts_ns"])
+    assert got == sorted((r["k"], r["start_ts_ns"], r["ts_ns"]) for r in pairs.collect())
+    assert {(1, 100 * S, 151 * S), (2, 80 * S, 90 * S)} <= set(got)
+    assert {(r["k"], r["start_ns"]) for r in emitted.filter("outcome = 'open'").collect()} >= {(2, 100 * S)}
+
+
+def bounded_by_force(rows, cap, timeout):
+    """One group, event by event."""
+    begun, out = {}, []
+    for k, ts, is_start in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        while begun and min(begun.values()) + timeout < ts:
+            first = min(begun, key=begun.get)
+            out.append((first, "expired", begun.pop(first), None))
+        before = begun.pop(k, None)
+        if is_start:
+            begun[k] = ts
+            if len(begun) > cap:
+                first = min(begun, key=begun.get)
+                out.append((first, "evicted", begun.pop(first), None))
+        elif before is not None:
+            out.append((k, "paired", before, ts))
+    return sorted([*out, *((k, "open", ts, None) for k, ts in begun.items())], key=str)
+
+
+def test_a_full_table_evicts_the_oldest(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(rng.randrange(12), (i + 1) * S, rng.random() < 0.7, 0, 0) for i in range(200)]
+    write_shuffled(spark, str(tmp_path), rows)
+    closed, close = jobs.closable(source(spark, str(tmp_path)).withColumn("device", F.lit(0)), "time")
+    pairs = jobs.bounded_pairs(closed, "device", "k", "time", "1000 seconds", 15 * S, cap=4)
+    emitted = jobs.run_available(pairs, name="bounded", close=close, conf=jobs.ROCKSDB)
+    got = sorted(((r["k"], r["outcome"], r["start_ns"], r["end_ns"]) for r in emitted.collect()), key=str)
+    assert got == bounded_by_force([r[:3] for r in rows], 4, 15 * S)
+    assert {o for _, o, _, _ in got} >= {"evicted", "expired", "paired"}
+
+
+def test_timers_expire_starts_without_further_rows(spark, tmp_path):
+    rows = [(1, 10 * S, True, 0, 0), (2, 11 * S, True, 0, 0), (2, 13 * S, False, 0, 0), (3, 100 * S, True, 0, 0), (4, 200 * S, True, 0, 0)]
+    write_parts(spark, str(tmp_path), rows, 5)
+    stream = source(spark, str(tmp_path)).withColumn("device", F.col("k"))
+    emitted = jobs.run_available(jobs.bounded_pairs(stream, "device", "k", "time", "1 second", 30 * S), name="timers", conf=jobs.ROCKSDB)
+    assert {(r["k"], r["outcome"]) for r in emitted.collect()} == {(1, "expired"), (2, "paired"), (3, "expired")}
+
+
+def test_heat_and_frequency_equal_batch(spark, tmp_path):
+    """Also if the files come in any order."""
     rows = [(0, i * S, True, i % 5, i // 3) for i in range(240)]
-    write_parts(spark, str(tmp_path), rows)
-    emitted = jobs.run_available(jobs.block_heat(source(spark, str(tmp_path)), 1, 45), "update")
-    got = {r["block"]: (r["points"], r["last_sample"]) for r in jobs.latest(emitted, ["block"]).collect()}
-    batch = H.heat(spark.createDataFrame(rows, SCHEMA), 1, 5, 80)
-    assert got == {r["block"]: (r["points"], r["last_sample"]) for r in batch.collect()}
+    write_shuffled(spark, str(tmp_path), rows)
+    batch = spark.createDataFrame(rows, SCHEMA)
+    forms = [(lambda d: jobs.block_heat(d, 1, 45, lateness=100), H.heat(batch, 1, 5, 80)), (lambda d: jobs.block_frequency(d, 20, lateness=100), H.frequency(batch, 20, 80))]
+    for stream, want in forms:
+        touches, close = jobs.closable(jobs.with_sample_time(source(spark, str(tmp_path))), jobs.SAMPLE_TIME)
+        got = jobs.latest(jobs.run_available(stream(touches), "update", close=close), ["block"]).collect()
+        assert {r["block"]: r["points"] for r in got} == {r["block"]: r["points"] for r in want.collect()}
+        assert {r["last_sample"] for r in got} == {79, 78} or {r["last_sample"] for r in got} == {79}
 
 
 def test_losses_are_counted(spark, tmp_path):
