@@ -167,23 +167,30 @@ def call_latency(events: DataFrame, calls: Sequence[str], latency: str, by: Sequ
     return used.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(latency).alias("avg_us"), F.min(latency).alias("min_us"), F.max(latency).alias("max_us"))
 
 
-def fork_tree(edges: DataFrame) -> DataFrame:
+def fork_tree(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Root and depth of every process from (parent_pid, child_pid, ts_ns) fork records.
 
     Process ids are used again, so a process is a pid and its birth: the parent of a fork is the latest process of the parent's pid that
     was born before it, or one that was running before the trace (``birth_ns`` -1, a root) if there is none. Parents are older than their
     children, so there are no cycles. Records that repeat a birth count once (the smallest parent). Every open process points at an
     ancestor; each round replaces it by what that ancestor points at, so a tree of depth d takes about log2(d) joins.
+
+    ``known`` are processes of earlier records (pid, birth_ns, root, depth), all born before these; only what is new is returned.
     """
     born = edges.groupBy(F.col("child_pid").alias("pid"), F.col("ts_ns").alias("birth_ns")).agg(F.min("parent_pid").alias("up"))
     born = pin(born.withColumn("before_ns", F.col("birth_ns") - 1))
     births = born.select(F.col("pid").alias("up"), F.col("birth_ns").alias("up_birth"))
+    if known is not None:
+        births = births.unionByName(known.filter("birth_ns >= 0").select(F.col("pid").alias("up"), F.col("birth_ns").alias("up_birth")))
     placed = asof_join(born, births, ["up"], "before_ns", "up_birth", {"up_birth": "up_birth"})
     todo = pin(placed.select("pid", "birth_ns", "up", F.coalesce("up_birth", F.lit(-1)).cast("long").alias("up_birth"), F.lit(1).cast("long").alias("depth")))
-    done = todo.filter("up_birth = -1").select(F.col("up").alias("pid"), F.lit(-1).cast("long").alias("birth_ns")).distinct()
-    done = pin(done.select("pid", "birth_ns", F.col("pid").alias("root"), F.lit(0).cast("long").alias("depth")))
+    roots = todo.filter("up_birth = -1").select(F.col("up").alias("pid"), F.lit(-1).cast("long").alias("birth_ns")).distinct()
+    if known is not None:
+        roots = roots.join(known, ["pid", "birth_ns"], "left_anti")
+    done = pin(roots.select("pid", "birth_ns", F.col("pid").alias("root"), F.lit(0).cast("long").alias("depth")))
     while not todo.isEmpty():
-        ends = done.select(
+        ended = done if known is None else done.unionByName(known.select(*done.columns))
+        ends = ended.select(
             F.col("pid").alias("up"), F.col("birth_ns").alias("up_birth"), F.col("root").alias("_up"), F.lit(None).cast("long").alias("_birth"), F.col("depth").alias("_d"), F.lit(True).alias("_end")
         )
         ways = todo.select(

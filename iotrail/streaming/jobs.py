@@ -360,31 +360,59 @@ def latest(emitted: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.select(*keys, "v.*")
 
 
-def tracked_processes(
-    edges: DataFrame, roots: Sequence[int], finish: Callable[[DataFrame], DataFrame] | None = None
-) -> DataFrame:
-    """Processes (pid and birth) that descend from the roots, kept up to date as fork events (with ts_ns) come in.
+FOREST = "pid bigint, birth_ns bigint, root bigint, depth bigint"
+
 
-    Each batch adds its edges to a table of all edges and writes the closure
-    anew; the closure of the last batch is returned.
+def growing_forest(edges: DataFrame, lateness_ns: int = 60_000_000_000) -> DataFrame:
+    """Root and depth of every process (pid and birth) as fork events (with ts_ns) come in, and the ``batch`` that settled it.
+
+    A fork may come ``lateness_ns`` after the latest one seen: it waits until no earlier birth can turn up, so that its parent is
+    certain, and what was written stays. Forks that are later still are dropped, repeated ones count once. A batch writes the
+    processes that it settles, and those that wait; from the table of earlier ones it reads the pids that are parents now.
     """
     from iotrail.operators.syscalls import fork_tree
 
     spark = edges.sparkSession
-    base = scratch(spark, "tracked")
-    first = spark.createDataFrame([(int(r),) for r in roots], "root bigint")
-
-    def merge(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/edges/batch={number}")
-        known = spark.read.parquet(f"{base}/edges").select("parent_pid", "child_pid", "ts_ns").distinct()
-        if known.isEmpty():
-            return
-        tree = fork_tree(known).join(F.broadcast(first), "root", "left_semi")
-        tree.write.mode("overwrite").parquet(f"{base}/tree/batch={number}")
+    base = scratch(spark, "forest")
+    kind = "parent_pid bigint, child_pid bigint, ts_ns bigint"
+
+    def table(name: str, schema: str, before: int) -> DataFrame:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.createDataFrame([], f"{schema}, batch bigint")
+        return spark.read.schema(f"{schema}, batch bigint").parquet(f"{base}/{name}").filter(F.col("batch") < before)
+
+    def settle(new: DataFrame, number: int, last: bool = False) -> None:
+        marks = table("marks", "high bigint, settled bigint", number).agg(F.max("high"), F.max("settled")).first()
+        waiting = table("waiting", kind, number).filter(F.col("batch") == number - 1).drop("batch")
+        rows = new.select("parent_pid", "child_pid", F.col("ts_ns").cast("long").alias("ts_ns")).dropna()
+        rows = rows.filter(F.col("ts_ns") > marks[1]) if marks[1] is not None else rows
+        high = max((x for x in (rows.agg(F.max("ts_ns")).first()[0], marks[0]) if x is not None), default=None)
+        settled = high if last or high is None else high - lateness_ns
+        rows = rows.unionByName(waiting)
+        if settled is not None:
+            ready = rows.filter(F.col("ts_ns") <= settled)
+            parents = ready.select(F.col("parent_pid").alias("pid")).distinct()
+            known = table("forest", FOREST, number).drop("batch").join(parents, "pid", "left_semi").select("pid", "birth_ns", "root", "depth")
+            fork_tree(ready, known).write.mode("overwrite").parquet(f"{base}/forest/batch={number}")
+            rows = rows.filter(F.col("ts_ns") > settled)
+        rows.write.mode("overwrite").parquet(f"{base}/waiting/batch={number}")
+        mark = max((x for x in (settled, marks[1]) if x is not None), default=None)
+        spark.createDataFrame([(high, mark)], "high bigint, settled bigint").coalesce(1).write.mode("overwrite").parquet(f"{base}/marks/batch={number}")
 
     writer = edges.writeStream.option("checkpointLocation", f"{base}/state")
-    writer.foreachBatch(merge).trigger(availableNow=True).start().awaitTermination()
-    trees = spark.read.parquet(f"{base}/tree")
-    newest = trees.agg(F.max("batch")).first()[0]
-    rows = trees.filter(F.col("batch") == newest).drop("batch")
+    writer.foreachBatch(settle).trigger(availableNow=True).start().awaitTermination()
+    newest = table("marks", "high bigint, settled bigint", 1 << 62).agg(F.max("batch")).first()[0]
+    end = 0 if newest is None else newest + 1
+    settle(spark.createDataFrame([], kind), end, last=True)
+    return table("forest", FOREST, end + 1)
+
+
+def tracked_processes(
+    edges: DataFrame, roots: Sequence[int], finish: Callable[[DataFrame], DataFrame] | None = None, lateness_ns: int = 60_000_000_000
+) -> DataFrame:
+    """Processes (pid and birth) that descend from the roots, kept up to date as fork events (with ts_ns) come in, see ``growing_forest``."""
+    forest = growing_forest(edges, lateness_ns).drop("batch")
+    first = edges.sparkSession.createDataFrame([(int(r),) for r in roots], "root bigint")
+    rows = forest.join(F.broadcast(first), "root", "left_semi").select("pid", "birth_ns", "root", "depth")
     return finish(rows) if finish else rows

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from iotrail import schemas
 from iotrail.operators import heat as H
 from iotrail.operators.pairing import consuming_pairs
+from iotrail.operators.syscalls import fork_tree
 from iotrail.session import scratch
 from iotrail.streaming import jobs
 
@@ -168,3 +169,29 @@ def test_fork_edges_arrive_in_parts(spark, tmp_path):
     stream = jobs.tail(spark, f"{tmp_path}/*", schema, "parquet", files_per_batch=1)
     got = sorted((r["pid"], r["birth_ns"], r["depth"]) for r in jobs.tracked_processes(stream, [1]).collect())
     assert got == [(1, -1, 0), (2, 10, 1), (3, 20, 2), (4, 30, 3), (5, 50, 4)]
+
+
+def test_a_forest_grows_by_its_batches(spark, tmp_path):
+    """Forks in shuffled files give the tree of all of them, and a batch writes what it settles."""
+    rng = random.Random(6)
+    edges = [(rng.randrange(30), rng.randrange(30), 10 * (i + 1)) for i in range(240)]
+    edges += edges[:15]
+    late = 300
+    dealt = [[e for e in edges if (e[2] + rng.randrange(late)) // 500 == i] for i in range(6)]
+    schema = "parent_pid long, child_pid long, ts_ns long"
+    for i, part in enumerate(dealt):
+        spark.createDataFrame(rng.sample(part, len(part)), schema).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+    seen = [e for part in dealt for e in part]
+    stream = jobs.tail(spark, f"{tmp_path}/*", schema, "parquet", files_per_batch=1)
+    forest = jobs.growing_forest(stream, lateness_ns=2 * late + 500)
+    got = sorted((r["pid"], r["birth_ns"], r["root"], r["depth"]) for r in forest.collect())
+    want = sorted((r["pid"], r["birth_ns"], r["root"], r["depth"]) for r in fork_tree(spark.createDataFrame(seen, schema)).collect())
+    assert got == want and len(got) == len(set(got))
+    sizes = {r["batch"]: r["count"] for r in forest.groupBy("batch").count().collect()}
+    assert len(sizes) >= 4 and max(sizes.values()) < 0.6 * len(got)
+
+
+def test_an_empty_forest(spark, tmp_path):
+    schema = "parent_pid long, child_pid long, ts_ns long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/0")
+    assert jobs.tracked_processes(jobs.tail(spark, f"{tmp_path}/*", schema, "parquet"), [1]).count() == 0
