@@ -76,8 +76,6 @@ SPELLINGS = (
 )
 #: A line that only says whose the rights are.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[{])|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
-#: What OP1_SQL asks of a line; the operator looks up others as well.
-LICENSE_LINE = "licen[cs]e"
 
 
 def canonical(text: Column) -> Column:

@@ -43,7 +43,7 @@ with known as (
 ), units as (
   select doc_id, 0 line, coalesce(text, '') body from documents
   union all
-  select doc_id, line, body from lines where regexp_matches(lower(body), '{licenses.LICENSE_LINE}')
+  select doc_id, line, body from lines
 ), digests as (
   select doc_id, line, sha256({_canonical_sql("body")}) digest from units
 )
@@ -76,7 +76,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm.scores(table(spark, sf_dir, "documents"), shared=True)  # as in OP5_SQL
+    scored = lm.scores(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
@@ -93,7 +93,7 @@ with texts as (
 ), pairs as (
   select doc_id, coalesce(lag(w) over (partition by doc_id order by i), '') v, w from w
 ), known as (
-  select v, w, count(*) c from pairs group by v, w having count(distinct doc_id) >= 2
+  select v, w, count(*) c from pairs group by v, w
 ), contexts as (
   select w v, c from words union all select '', count(distinct doc_id) from w
 ), gains as (
