@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from iotrail.llm.components import components
+from iotrail.llm.common import fresh, quoted
 from iotrail.session import pin
 
 MANTISSA = 10
@@ -287,11 +288,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the one with the smallest doc_id.
+    """``docs`` with one document of each group of near duplicates: the one with the smallest doc_id, and of unlike texts with this id
+    the one with the smallest hash.
 
-    Rows that repeat a doc_id are copies of one document, and one of them stays, too. Rows without doc_id stay.
+    A document is an id with a text, so unlike texts that share an id are documents of their own and stay. Of rows that repeat both, the
+    one with the smallest hash of all columns stays. Texts without words are like nothing. Rows without doc_id stay.
     """
-    keep = near_duplicates(docs, width, percent, doc_id, text).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept id")).distinct()
-    named = docs.where(F.col(doc_id).isNotNull())
-    once = named.dropDuplicates([doc_id]).join(keep, F.col(doc_id) == F.col("kept id"), "left_semi")
+    key = fresh(docs, "document key")
+    named = docs.where(F.col(doc_id).isNotNull()).withColumn(key, F.xxhash64(doc_id, F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    places = near_duplicates(named.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), width, percent)
+    ids = named.select(F.col(key).alias("doc_id"), F.col(doc_id).alias("id")).distinct()
+    first = places.select("doc_id", "component_id").distinct().join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct("id", "doc_id")).alias("kept"))
+    kept = named.join(first.select(F.col("kept.doc_id").alias("kept key")), F.col(key) == F.col("kept key"), "left_semi")
+    columns = [quoted(c) for c in docs.columns]
+    once = kept.groupBy(key).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
     return once.unionByName(docs.where(F.col(doc_id).isNull()))

@@ -63,7 +63,16 @@ def test_near_duplicates_odd(odd, none):
     assert sum(r["doc_id"] == 1 and r["component_id"] == 1 for r in got) == 2
     assert hyperminhash.near_duplicates(none).count() == 0
     kept = hyperminhash.one_of_each(odd, 2, 80)
-    assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
+    assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 5, 6, 7]
+    assert {r["text"] for r in kept.where("doc_id = 5").collect()} == {"one", words(10, 5)}  # unlike texts of one id both stay
+
+
+def test_one_of_unlike_texts(spark):
+    """Of two texts with one id, only the one that is like a kept document goes; which row of many stays is settled."""
+    rows = [(5, words(50, 1), "a"), (5, words(50, 2), "b"), (3, words(50, 2) + " more", "c"), (9, words(50, 3), "d"), (9, words(50, 3), "e"), (9, words(50, 3), "d")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `document key` string")
+    kept = [sorted(map(tuple, hyperminhash.one_of_each(frame.repartition(n)).collect())) for n in (1, 4)]
+    assert kept[0] == kept[1] and [r[:2] for r in kept[0]] == sorted([(3, rows[2][1]), (5, rows[0][1]), (9, rows[3][1])])
 
 
 @pytest.mark.parametrize("block", [4, 256])

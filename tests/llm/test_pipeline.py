@@ -49,3 +49,19 @@ def test_tokens_come_out(spark):
         assert r["ids"] == library.encode(r["text"] or "", add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty texts, repeated rows, ids with two texts, columns that clash with the operators' own, and no rows at all."""
+    text = " ".join(f"word{k} stands here" for k in range(60)) + ". "
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, None, None, None, None), (None, text + "x", "en", "a", 2), (3, "", "de", "b", 0), (4, " ".join(f"other{k}" for k in range(5000)), "de", "a", 9)]
+    rows += [(5, "one two", "en", None, 3), (5, text.upper()[::-1], "en", "b", 3), (6, " \t\n", "en", "b", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    for name in ("score", "predicted", "copies", "component_id", "kept", "N_TOKENS", "row", "key", "size", "target"):
+        docs = docs.selectExpr("*", f"doc_id as {name}")
+    for given in (docs, docs.where("1 = 0")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, given, SF)
+            assert out.count() <= 3 * given.count() and (name == "bpe_encoding" or out.columns == docs.columns)
+            if name == "minhash_near_dedup" and not given.isEmpty():
+                assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted({(r[0] or 0, r[1] or "") for r in rows})
