@@ -220,8 +220,10 @@ class BoundedPairs(StatefulProcessor):
         if wake:
             self.handle.registerTimer(max(min(wake), mark) + 1)
         if out:
-            found = pd.DataFrame(out, columns=[self.key, "outcome", "start_ns", "end_ns"])
-            yield found.astype({"start_ns": "Int64", "end_ns": "Int64"}).assign(**{self.group: group[0]})[[self.group, self.key, "outcome", "start_ns", "end_ns"]]
+            keys, outcomes, begins, ends = map(list, zip(*out, strict=True))
+            # Integers all the way: nanoseconds don't fit the floats that a list with nulls would turn into.
+            times = {"start_ns": pd.array(begins, "Int64"), "end_ns": pd.array(ends, "Int64")}
+            yield pd.DataFrame({self.group: [group[0]] * len(out), self.key: keys, "outcome": outcomes, **times})
 
     def close(self) -> None:
         pass
