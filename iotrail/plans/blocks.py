@@ -184,16 +184,15 @@ def block_latency_summary(t: Tables) -> DataFrame:
     "block_latency_log2_histogram",
     "A9 M7",
     LIFE_SQL
-    + """, h AS (SELECT is_read, CAST(floor(log2(CAST(floor(us) AS BIGINT))) AS BIGINT) bucket, count(*) n FROM latp WHERE kind = 'q2c' AND us >= 1 GROUP BY ALL)
-      SELECT is_read, bucket, n, CAST(n * (1 << bucket) AS BIGINT) approx_us,
+    + """, h AS (SELECT is_read, CAST(length(bin(complete_ns - queue_ns)) - 1 AS BIGINT) bucket, count(*) n FROM life WHERE complete_ns > queue_ns GROUP BY ALL)
+      SELECT is_read, bucket, n, CAST(n * (1 << bucket) AS BIGINT) approx_ns,
              round(sum(n) OVER (PARTITION BY is_read ORDER BY bucket) * 100 / sum(n) OVER (PARTITION BY is_read), 6) cumulative_pct FROM h""",
     "blk",
 )
 def block_latency_log2_histogram(t: Tables) -> DataFrame:
-    """Latencies in whole microseconds; those below one have no bucket."""
-    rows = latency_long(lifecycles(t.blk)).filter("kind = 'q2c' AND us >= 1")
-    rows = B.log2_histogram(rows.withColumn("whole_us", F.floor("us")), "whole_us", "is_read", cap=62)
-    return rounded(rows.withColumnRenamed("approx_bytes", "approx_us"))
+    """Latencies in nanoseconds; every request with a latency is in a bucket."""
+    rows = lifecycles(t.blk).withColumn("ns", F.col("complete_ns") - F.col("queue_ns")).filter("ns > 0")
+    return rounded(B.log2_histogram(rows, "ns", "is_read", cap=62).withColumnRenamed("approx_bytes", "approx_ns"))
 
 
 @query(
