@@ -42,8 +42,16 @@ ENDS = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
     "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
 }
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>|<[!?][^>]*>""", re.S)
+OPENING = re.compile(r"<(?=[!?]|/?[a-zA-Z])")
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]|=\s*+"[^"]*"|=\s*+'[^']*'|["'=])*+)>|<[!?][^>]*+>""", re.S)
+#: The same with quotation marks that mean nothing.
+BARE_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>""", re.S)
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*+>", re.I) for name in RAW}
+#: Elements deeper than this are read, but aren't held as ancestors (browsers flatten such trees at the same depth).
+DEEPEST = 512
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+LEADING_ZEROS = re.compile(r"&#0+(?=[0-9])")
+NO_CHARACTER = re.compile(r"&#[1-9][0-9]{7,};?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SENTENCE_END = (".", "!", "?", "…", ":", "”", '"')
 NOISE_TAGS = frozenset(("nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog"))
@@ -57,49 +65,106 @@ NOISE_PARTS = frozenset(w for group in NOISE_NAMES.values() for w in group.split
 MAIN_PARTS = ("article", "content", "post", "entry", "story", "main", "body", "text")
 
 
+class Place:
+    """An open element under those around it, with what the features need to know of all of them; blocks at one place share it."""
+
+    __slots__ = ("depth", "marks", "noisy", "open", "own", "parent", "plain", "quiet", "tag")
+
+    def __init__(self, tag: str, parts: frozenset[str], parent: Place | None) -> None:
+        self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 1
+        holds = tag in ("article", "main")
+        # What an article's own element is called says nothing against it.
+        noisy = tag in NOISE_TAGS or (not holds and not parts.isdisjoint(NOISE_PARTS))
+        outer = tag in ("html", "body")
+        marks = {f"name={w}" for w in parts if w in MAIN_PARTS or (not holds and w in NOISE_PARTS)} | (set() if outer else {f"in={tag}"})
+        around = parent.marks if parent else frozenset()
+        self.marks: frozenset[str] = around if marks <= around else around | marks
+        above = parent.open if parent else frozenset()
+        self.open: frozenset[str] = above if tag in above else above | {tag}
+        self.own: str = tag if not outer else parent.own if parent else "none"
+        self.quiet: bool = not noisy
+        self.noisy: bool = noisy or (parent is not None and parent.noisy)
+        #: Whether an article or main element is around it, and nothing else from there on in.
+        self.plain: bool = holds or (not noisy and parent is not None and parent.plain)
+
+    def in_article(self) -> tuple[bool, bool]:
+        """Whether an article or main element is around, and whether nothing from the outermost one on in is noise."""
+        found, clean, quiet, at = False, True, True, self
+        while at is not None:
+            if at.tag in ("article", "main"):
+                found, clean = True, quiet
+            quiet = quiet and at.quiet
+            at = at.parent
+        return found, clean
+
+
 @dataclass
 class Block:
-    """A leaf block: its text, the open elements around it from outside in as (tag, name parts), and how much of it is link text."""
+    """A leaf block: its text, the open element it stands in, and how much of it is link text."""
 
     text: str
-    around: tuple[tuple[str, frozenset[str]], ...]
+    place: Place | None
     linked: int = 0
 
 
+def decoded(piece: str) -> str:
+    """Character references as characters; numbers of any length that stand for none are U+FFFD."""
+    return entities.unescape(NO_CHARACTER.sub("\ufffd", LEADING_ZEROS.sub("&#", piece)))
+
+
 def read_blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order; a null or empty page has none. Broken markup is read as far as it goes."""
+    """The leaf blocks of a page in order; a null or empty page has none. Broken markup is read as far as it goes, in linear time.
+
+    A tag that has no end outside of quotation marks ends at the next ``>``, and so do all behind it; ``<`` behind the last ``>`` is text.
+    """
     page = page or ""
     blocks: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    place: Place | None = None
+    deeper: dict[str, int] = {}
     run: list[str] = []
     linked, in_link, at = 0, 0, 0
+    pattern, last, endless = TAG, page.rfind(">"), set()
 
     def close() -> None:
         nonlocal linked
         text = " ".join("".join(run).split())
         if text:
-            blocks.append(Block(text, tuple(x for x in stack if x[0] not in INLINE), linked))
+            blocks.append(Block(text, place, linked))
         run.clear()
         linked = 0
 
     def add(piece: str) -> None:
         nonlocal linked
-        piece = entities.unescape(piece) if "&" in piece else piece
+        piece = decoded(piece) if "&" in piece else piece
         run.append(piece)
         if in_link:
             linked += len(piece.strip())
 
-    def pop(names: tuple[str, ...], until: tuple[str, ...] = ()) -> bool:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return True
-            if stack[k][0] in until:
-                return False
-        return False
+    def pop(names: tuple[str, ...], until: tuple[str, ...] = ()) -> None:
+        nonlocal place
+        if place is None or place.open.isdisjoint(names):
+            return
+        inner = place
+        while inner is not None and inner.tag not in until:
+            if inner.tag in names:
+                place = inner.parent
+                return
+            inner = inner.parent
+
+    def next_tag() -> re.Match[str] | None:
+        nonlocal pattern
+        start = OPENING.search(page, at)
+        if start is not None and start.start() > last:
+            where = page.find("<!--", start.start())
+            return TAG.match(page, where) if where >= 0 else None
+        found = start and pattern.match(page, start.start())
+        if start is not None and found is None:
+            pattern = BARE_TAG
+            found = pattern.match(page, start.start())
+        return found
 
     while True:
-        found = TAG.search(page, at)
+        found = next_tag()
         if found is None:
             add(page[at:])
             break
@@ -113,16 +178,22 @@ def read_blocks(page: str | None) -> list[Block]:
             if name in INLINE:
                 if name == "a":
                     in_link = 0
-                pop((name,), tuple({t for t, _ in stack if t not in INLINE}))
             else:
                 close()
                 in_link = 0
-                pop((name,))
+                if deeper.get(name):
+                    deeper[name] -= 1
+                else:
+                    pop((name,))
+                    if place is None or place.depth < DEEPEST:
+                        deeper.clear()
             continue
         if name in RAW and name != "head":
             if name not in RAW_TEXT and found[3].rstrip().endswith("/"):
                 continue
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            end = None if name in endless else RAW_END[name].search(page, at, last + 1)
+            if end is None:
+                endless.add(name)
             at = end.end() if end else len(page) if name in RAW_TEXT else at
             continue
         if name == "br":
@@ -132,17 +203,22 @@ def read_blocks(page: str | None) -> list[Block]:
             if name == "hr":
                 close()
             continue
-        if name not in INLINE:
-            close()
-            in_link = 0
-            pop(("p",), ("table", "button", "td", "li"))
-            if name in ENDS:
-                pop(*ENDS[name])
-        elif name == "a":
-            in_link = 1
-        if not found[3].rstrip().endswith("/"):
+        if name in INLINE:
+            if name == "a":
+                in_link = 1
+            continue
+        close()
+        in_link = 0
+        pop(("p",), ("table", "button", "td", "li"))
+        if name in ENDS:
+            pop(*ENDS[name])
+        if found[3].rstrip().endswith("/"):
+            continue
+        if place is not None and place.depth >= DEEPEST:
+            deeper[name] = deeper.get(name, 0) + 1
+        else:
             parts = frozenset(w.lower() for a in ATTRIBUTE.finditer(found[3]) for w in NAME_PART.findall(a[2] or a[3] or a[4] or ""))
-            stack.append((name, parts))
+            place = Place(name, parts, place)
     close()
     return blocks
 
@@ -157,17 +233,16 @@ def features(blocks: list[Block]) -> list[list[str]]:
     last = len(blocks) - 1
     for k, b in enumerate(blocks):
         n, words = len(b.text), b.text.count(" ") + 1
-        tags = [t for t, _ in b.around if t not in ("html", "body")]
-        own = tags[-1] if tags else "none"
+        place = b.place
+        own = place.own if place else "none"
         link = step(b.linked / n, (0.01, 0.3, 0.7))
         f = [f"own={own}", f"link={link}", f"words={step(words, (2, 4, 8, 15, 30, 60))}", f"end={b.text.endswith(SENTENCE_END)}", f"link={link} own={own}"]
-        f += {f"in={t}" for t in tags}
-        f += {f"name={w}" for _, parts in b.around for w in parts if w in NOISE_PARTS or w in MAIN_PARTS}
-        if any(w in NOISE_PARTS for _, parts in b.around for w in parts) or NOISE_TAGS.intersection(tags):
-            f.append("noise around")
-        main = max((i for i, (t, _) in enumerate(b.around) if t in ("article", "main")), default=-1)
-        if main >= 0 and not any(t in NOISE_TAGS or parts & NOISE_PARTS for t, parts in b.around[main:]):
-            f.append("plain part of main")
+        if place:
+            f += place.marks
+            if place.noisy:
+                f.append("noise around")
+            if place.plain:
+                f.append("plain part of main")
         f.append(f"sign={'©' in b.text or '(c)' in b.text.lower()}")
         f.append(f"stops={step(sum(map(b.text.count, '.,;')) / words, (0.01, 0.05, 0.15))}")
         if k == 0:
@@ -257,12 +332,9 @@ def own_labels(blocks: list[Block]) -> list[int] | None:
     """Labels that a page's own markup gives; None if it has no article or main element."""
     labels, seen = [], False
     for b in blocks:
-        tags = [t for t, _ in b.around]
-        inside = "article" in tags or "main" in tags
+        inside, clean = b.place.in_article() if b.place else (False, False)
         seen |= inside
-        start = next((k for k, t in enumerate(tags) if t in ("article", "main")), 0)
-        noise = any(t in NOISE_TAGS or parts & NOISE_PARTS for t, parts in b.around[start:])
-        labels.append(int(inside and not noise))
+        labels.append(int(inside and clean))
     return labels if seen else None
 
 
@@ -309,6 +381,8 @@ def laid_out(article: list[str], other: list[str], rng: random.Random) -> tuple[
         rng.choice(after[1:3])()
     tag = rng.choice(("article", "main", "div", "div", "section"))
     name = "" if tag in ("article", "main") and rng.random() < 0.6 else f' class="{rng.choice(MAIN_PARTS)}{rng.choice(("", "-content", "-body"))}"' if rng.random() < 0.8 else ""
+    if tag in ("article", "main") and rng.random() < 0.2:
+        name = f' class="{rng.choice(MAIN_PARTS)} {rng.choice(sorted(NOISE_PARTS))}"'
     out.append(f"<{tag}{name}>")
     for k, piece in enumerate(article):
         kind = "h1" if k == 0 and rng.random() < 0.7 else rng.choice(("p", "p", "p", "p", "h2", "li", "blockquote", "div", "td", "pre"))

@@ -351,3 +351,29 @@ def test_main_text_of_pages_with_drawings(spark):
 def test_training_takes_whole_pages():
     page = f"<body><article>{''.join(f'<p>Sentence {k} of the article.</p>' for k in range(200))}</article></body>"
     assert [len(labels) for _, labels in html_crf.training_set([page])][0] == 200 and sum(html_crf.training_set([page])[1][1]) == 200
+
+
+def test_main_text_broken_markup():
+    """Tags without end, and very deep trees, are read in linear time; no text behind them is lost."""
+    import time
+
+    for unit in ("<a", "<b ", "<svg>", "</svg", "<div>x", '<a =">"', "<!--", "<li>x<ul>", "<p>x<table>"):
+        begin = time.monotonic()
+        page = unit * (1_000_000 // len(unit))
+        html_crf.features(html_crf.read_blocks(page))
+        assert time.monotonic() - begin < 30, unit
+        if unit not in ("<!--", "</svg", "<a", "<b ", '<a =">"'):
+            assert html_crf.read_blocks(page + "<p>the end</p>")[-1].text == "the end"
+    deep = html_crf.read_blocks("<main>" + "<div>" * 600 + "in" + "</div>" * 600 + "<p>out</p></main><p>behind</p>")
+    assert [(b.text, b.place.tag if b.place else None) for b in deep] == [("in", "div"), ("out", "p"), ("behind", "p")]
+    assert [html_crf.own_labels(deep)] == [[1, 1, 0]]
+
+
+def test_main_text_numbers_and_names(spark):
+    text = html_crf.read_blocks("<p>&#" + "9" * 6000 + "; &#" + "0" * 6000 + "65; &amp x &lt;</p>")[0].text
+    assert text == "\ufffd A & x <"
+    chain = html_crf.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    body = "<p>The harbour was quiet in the morning, and nobody had yet come to the boats. So we waited for the tide.</p>" * 4
+    for tag, name in (("article", "story side"), ("main", "sidebar content"), ("div", "content")):
+        blocks = html_crf.read_blocks(f"<html><body><nav><a href=x>Home</a></nav><{tag} class='{name}'>{body}</{tag}><footer>Imprint</footer></body></html>")
+        assert chain.decode(html_crf.features(blocks)) == [0, 1, 1, 1, 1, 0]
