@@ -36,9 +36,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(seed: int, *keys: Column) -> Column:
+def uniform(seed: int | Column, *keys: Column) -> Column:
     """A number in [0, 1) that the seed and the keys decide alone; SQL engines with md5 agree on it."""
-    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(k.cast("string"), F.lit("")) for k in keys))
+    text = F.concat_ws("|", seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), *(F.coalesce(k.cast("string"), F.lit("")) for k in keys))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 

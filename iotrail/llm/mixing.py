@@ -1,8 +1,9 @@
 """Mixing sources to target weights.
 
 Words are added up per source; a source's target divided by its size is its repetition rate. Every document then comes floor(rate)
-times, and once more if a number drawn from a hash of its id is below the fraction. The draw needs nothing but the row and the
-rate of its source, so emission is one pass over the documents, and reruns agree.
+times, and once more if a number drawn from a hash of a seed and its id is below the fraction. Of ``SEEDS`` seeds each source has the one
+whose copies come nearest to its target, which one aggregate over ids and sizes tells: a source of few documents would be far off
+with a fixed seed. The draw needs nothing but the row and the line of its source, so emission is one pass, and reruns agree.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from iotrail.session import pin
 WEIGHTS = (5, 2, 1)
 CEILING = 3
 SEED = 17
+SEEDS = 64
 
 
 def source_rates(docs: DataFrame, weights: Sequence[int] = WEIGHTS, ceiling: int = CEILING, source: str = "source", size: str = "size") -> DataFrame:
@@ -56,24 +58,39 @@ def source_rates(docs: DataFrame, weights: Sequence[int] = WEIGHTS, ceiling: int
     return table.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "weight", "target", "rate")
 
 
+def nearest_seeds(sized: DataFrame, rates: DataFrame, source: str = "source", size: str = "size", doc_id: str = "doc_id", seed: int = SEED, seeds: int = SEEDS) -> DataFrame:
+    """``rates`` with the ``seed`` of every source, the first of ``seeds`` ones from ``seed`` on that brings its words nearest to the target."""
+    rows = sized.select(quoted(source).alias("s"), quoted(size).alias("n"), quoted(doc_id).alias("id"))
+    joined = rows.join(rates.select(F.col("source").alias("of"), "rate"), F.col("s").eqNullSafe(F.col("of")))
+    fraction = F.col("rate") - F.floor("rate")
+    extra = [F.sum(F.when(uniform(seed + k, F.col("id")) < fraction, F.col("n")).otherwise(0)) for k in range(seeds)]
+    sums = joined.groupBy(F.col("s").alias("of")).agg(F.array(*extra).alias("extra"))
+    off = F.transform("extra", lambda x, k: F.struct(F.abs((F.floor("rate") * F.col("source_size") + x).cast("double") - F.col("target")).alias("off"), k.alias("k")))
+    found = rates.join(sums, F.col("source").eqNullSafe(F.col("of")))
+    return found.select(*rates.columns, (F.array_min(off)["k"] + seed).alias("seed"))
+
+
 def with_copies(docs: DataFrame, rates: DataFrame, source: str = "source", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
     """``docs`` with ``source_size`` and ``target`` of the row's source and ``copies``, how often the mix takes the row.
 
-    Rows with the same id draw alike; a null id draws like an empty one. Columns that are called like the new ones are replaced.
+    A row draws by the ``seed`` of its source if ``rates`` has one, else by the one given. Rows with the same id draw alike; a null id draws
+    like an empty one. Columns that are called like the new ones are replaced.
     """
     new = ("source_size", "target", "copies")
-    key = fresh(docs, "source of the rate")
     docs = drop_named(docs, new)
-    joined = docs.join(rates.withColumnRenamed("source", key).select(key, "source_size", "target", "rate"), quoted(source).eqNullSafe(F.col(key)))
-    whole = F.floor("rate")
-    copies = whole + (uniform(seed, quoted(doc_id)) < F.col("rate") - whole).cast("long")
+    key, rate, own = (fresh(docs, f"{n} of the source") for n in ("name", "rate", "seed"))
+    seeds = F.col("seed") if "seed" in rates.columns else F.lit(seed)
+    lines = rates.select(F.col("source").alias(key), "source_size", "target", F.col("rate").alias(rate), seeds.alias(own))
+    joined = docs.join(lines, quoted(source).eqNullSafe(quoted(key)))
+    whole = F.floor(quoted(rate))
+    copies = whole + (uniform(quoted(own), quoted(doc_id)) < quoted(rate) - whole).cast("long")
     return joined.select(*map(quoted, docs.columns), "source_size", "target", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, ceiling: int = CEILING, source: str = "source", text: str = "text", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
     """The mixed documents: every row of ``docs`` as often as the mix takes it, with its columns as they were. An empty table stays empty."""
-    sizes = docs.select(quoted(source).alias("source"), word_count(quoted(text)).alias("size"))
-    rates = source_rates(sizes, weights, ceiling)
+    sized = pin(docs.select(quoted(doc_id).alias("doc_id"), quoted(source).alias("source"), word_count(quoted(text)).alias("size")))
+    rates = pin(nearest_seeds(sized, source_rates(sized, weights, ceiling), seed=seed))
     row = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), quoted(source).alias("source"), quoted(doc_id).alias("doc_id"))
-    taken = with_copies(row, rates, seed=seed).where("copies > 0")
+    taken = with_copies(row, rates).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

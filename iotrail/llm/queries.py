@@ -116,7 +116,8 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     sized = pin(docs)  # texts are read once
-    taken = mixing.with_copies(sized, mixing.source_rates(sized))
+    rates = pin(mixing.nearest_seeds(sized, mixing.source_rates(sized)))
+    taken = mixing.with_copies(sized, rates)
     return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -143,11 +144,19 @@ with sized as (
   from weighed, level
 ), rated as (
   select *, case when source_size > 0 then target / source_size::double else 0 end rate from rates
+), tried as (
+  -- what 64 seeds would take of every source
+  select s.source, k seed, abs((floor(any_value(r.rate))::bigint * any_value(r.source_size) + sum(case when
+    ('0x' || substr(md5(k || '|' || coalesce(s.doc_id::varchar, '')), 1, 8))::bigint::double / 4294967296.0 < r.rate - floor(r.rate) then s.size else 0 end)::bigint)::double
+    - any_value(r.target)) off
+  from sized s join rated r on s.source is not distinct from r.source, range(17, 81) t(k) group by s.source, k
+), seeded as (
+  select r.*, b.seed from rated r join (select source, arg_min(seed, (off, seed)) seed from tried group by source) b on r.source is not distinct from b.source
 )
 select s.doc_id, s.source, s.size, r.source_size, r.target, c.copies, s.size * c.copies taken
-from sized s join rated r on s.source is not distinct from r.source,
+from sized s join seeded r on s.source is not distinct from r.source,
 lateral (select floor(r.rate)::bigint
-  + (('0x' || substr(md5('17|' || coalesce(s.doc_id::varchar, '')), 1, 8))::bigint::double / 4294967296.0 < r.rate - floor(r.rate))::bigint copies) c
+  + (('0x' || substr(md5(r.seed || '|' || coalesce(s.doc_id::varchar, '')), 1, 8))::bigint::double / 4294967296.0 < r.rate - floor(r.rate))::bigint copies) c
 """
 
 

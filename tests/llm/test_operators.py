@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from iotrail.llm import bpe, html_crf, hyperminhash, licenses, lm, mih, mixing, quality, rabitq, shards
 from iotrail.llm.components import components
@@ -145,6 +147,10 @@ def test_mixing(spark, odd, none):
     assert (taken["copies"] <= 3).all()
     for s, group in taken.groupby("source", dropna=False):
         assert (group["size"] * group["copies"]).sum() == pytest.approx(group["target"].iloc[0], rel=0.15)
+    near = mixing.nearest_seeds(sized, mixing.source_rates(sized))
+    taken = mixing.with_copies(sized.withColumn("rate", F.lit(0)).withColumn("seed", F.lit(1)), near).toPandas()
+    for s, group in taken.groupby("source", dropna=False):
+        assert (group["size"] * group["copies"]).sum() == pytest.approx(group["target"].iloc[0], rel=0.01)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == taken["copies"].sum()
     assert mixing.mix(odd).columns == odd.columns and mixing.mix(odd).count() > 0
@@ -377,3 +383,22 @@ def test_main_text_numbers_and_names(spark):
     for tag, name in (("article", "story side"), ("main", "sidebar content"), ("div", "content")):
         blocks = html_crf.read_blocks(f"<html><body><nav><a href=x>Home</a></nav><{tag} class='{name}'>{body}</{tag}><footer>Imprint</footer></body></html>")
         assert chain.decode(html_crf.features(blocks)) == [0, 1, 1, 1, 1, 0]
+
+
+def test_mixing_small_sources(spark):
+    """Ten documents a source still come near their targets, and every draw is the one that its source's seed gives."""
+    rows = [(k, words(1 + (k * 37) % 90, k), "en", "abcde"[k % 5], 0) for k in range(50)]
+    sized = spark.createDataFrame(rows, DOCS).select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    rates = mixing.nearest_seeds(sized, mixing.source_rates(sized))
+    best = {r["source"]: r for r in rates.collect()}
+    taken = mixing.with_copies(sized, rates).toPandas()
+    for s, group in taken.groupby("source"):
+        r, off = best[s], {}
+        for seed in range(17, 17 + 64):
+            draws = [int(hashlib.md5(f"{seed}|{d}".encode()).hexdigest()[:8], 16) / 2**32 for d in group["doc_id"]]
+            copies = [int(r["rate"]) + (u < r["rate"] - int(r["rate"])) for u in draws]
+            off[seed] = abs(float(sum(c * n for c, n in zip(copies, group["size"]))) - r["target"])
+            if seed == r["seed"]:
+                assert list(group["copies"]) == copies
+        assert off[r["seed"]] == min(off.values()) and r["seed"] == min(k for k in off if off[k] == min(off.values()))
+        assert (group["size"] * group["copies"]).sum() == pytest.approx(r["target"], rel=0.05)
