@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from iotrail.functions.scalar import celsius, units_gib
-from iotrail.operators.scan import Following, Previous, RunningSum, Scan
+from iotrail.functions.scalar import celsius, int_div, units_gib
+from iotrail.operators.scan import Following, Previous, RunningMax, RunningSum, Scan
+from iotrail.session import pin
 
 COUNTERS = ("rd_ios", "rd_sect", "rd_ms", "wr_ios", "wr_sect", "wr_ms", "io_ticks")
 
@@ -70,12 +71,99 @@ def rolling(
     return out.filter(F.col("_at") == F.col("_home")).drop("_rn", "_home", "_at")
 
 
+def rolling_share(series: DataFrame, key: str, order: Sequence[str], value: str, share: int = 20) -> DataFrame:
+    """Mean, maximum and minimum over the last ``max(1, n // share)`` samples of a device with ``n`` samples.
+
+    The window is known only after counting, and may be long, so no row carries a
+    frame: a device's samples are cut into blocks of the window's length, and a
+    window is the end of one block and the beginning of the next. Running values
+    from both sides of every block therefore give each window by one join. Null
+    values count for nothing; sums never span more than one window.
+    """
+    counted = Scan(series, [key], order).add(RunningSum("_rn", F.lit(1))).df
+    sizes = counted.groupBy(F.col(key).alias("_key")).agg(F.max("_rn").alias("_n"))
+    rows = counted.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    window, at = F.greatest(int_div(F.col("_n"), share), F.lit(1)), F.col("_rn") - 1
+    rows = rows.withColumns({"_w": window, "_at": at}).withColumns({"_block": int_div(F.col("_at"), F.col("_w")), "_back": -F.col("_at")})
+    rows = pin(rows.drop("_rn", "_n"))
+
+    def running(side: str, along: str) -> DataFrame:
+        held = F.col(value)
+        return (
+            Scan(rows, [key, "_block"], [along])
+            .add(
+                RunningSum(f"{side}_sum", held),
+                RunningSum(f"{side}_n", held.isNotNull().cast("long")),
+                RunningMax(f"{side}_max", held),
+                RunningMax(f"{side}_min", -held),
+            )
+            .df
+        )
+
+    parts = ("sum", "n", "max", "min")
+    # A window that is a whole block needs nothing of the one before.
+    tails = running("_t", "_back").filter("_at % _w <> 0")
+    tails = tails.select(F.col(key).alias("_key"), (F.col("_at") + F.col("_w") - 1).alias("_for"), *[f"_t_{p}" for p in parts])
+    out = running("_h", "_at").join(tails, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_for")), "left")
+    total, n = [F.col(f"_h_{p}") + F.coalesce(F.col(f"_t_{p}"), F.lit(0)) for p in ("sum", "n")]
+    results = {
+        "window": F.col("_w"),
+        "roll_mean": F.try_divide(total, n),
+        "roll_max": F.greatest("_h_max", "_t_max"),
+        "roll_min": -F.greatest("_h_min", "_t_min"),
+    }
+    return out.select(*series.columns, *[c.alias(name) for name, c in results.items()])
+
+
 def decimated(series: DataFrame, keys: Sequence[str], order: Sequence[str], step: int) -> DataFrame:
     """Every ``step``-th point of each series, and its last one."""
     scan = Scan(series, keys, order).add(RunningSum("_n", F.lit(1)), Following("_more", F.lit(True)))
     return scan.df.filter(((F.col("_n") - 1) % step == 0) | F.col("_more").isNull()).drop("_n", "_more")
 
 
+def halved_runs(count: int, most: int) -> tuple[int, list[tuple[int, int, int]]]:
+    """What is left of points 1 to ``count`` if a list that fills up to ``most`` drops every other point and takes half as many from then on.
+
+    Returns the last stride and the points as (first, step, how many) runs in
+    order, at most one per halving: the runs follow from the count alone.
+    """
+    stride, last, held, runs = 1, 0, 0, []
+    while True:
+        first = (last // stride + 1) * stride
+        more = min(most - held, (count - first) // stride + 1) if first <= count else 0
+        if more > 0:
+            runs.append((first, stride, more))
+            held, last = held + more, first + (more - 1) * stride
+        if held < most:
+            return stride, runs
+        halved, place = [], 0
+        for begin, step, n in runs:
+            skip = place % 2
+            if n > skip:
+                halved.append((begin + skip * step, 2 * step, (n - skip + 1) // 2))
+            place += n
+        runs, held, stride = halved, (most + 1) // 2, 2 * stride
+
+
+def thinned(series: DataFrame, order: Sequence[str], most: int) -> DataFrame:
+    """At most ``most`` points of a series of any length, and its last one, with the ``stride`` that was reached.
+
+    The points are those that a list of bounded size keeps which halves itself and
+    doubles its stride when full. Which ones they are follows from the number of
+    points, so the result is the same for any partitioning, and the series is
+    numbered, not replayed.
+    """
+    if most < 2:
+        raise ValueError("a list that halves itself holds at least two points")
+    numbered = Scan(series, [], order).add(RunningSum("_n", F.lit(1))).df
+    count = series.count()
+    stride, runs = halved_runs(count, most)
+    kept = F.col("_n") == count
+    for first, step, n in runs:
+        kept = kept | (F.col("_n").between(first, first + (n - 1) * step) & ((F.col("_n") - first) % step == 0))
+    return numbered.filter(kept).select(*series.columns, F.col("_n").alias("point"), F.lit(stride).cast("long").alias("stride"))
+
+
 def job_summary(jobs: DataFrame) -> DataFrame:
     """Benchmark jobs by direction: rates and latencies; directions without I/O are dropped."""
     sides = F.array(

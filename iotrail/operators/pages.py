@@ -6,12 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from iotrail.functions.scalar import int_div, page_letter, page_state
 from iotrail.operators.blocks import count_if
-from iotrail.operators.scan import RunningSum, Scan, split_on_gap
+from iotrail.operators.scan import Previous, RunningSum, Scan, split_on_gap
 
 PAGE = 4096
 
@@ -209,3 +211,31 @@ def page_changes(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, offset, old, new) of every byte that differs between ``before`` and ``after``."""
     every = page_diff(pages, keys, PAGE, detail_up_to=PAGE)
     return every.select(*keys, F.explode("details").alias("d")).select(*keys, "d.*")
+
+
+def rolling_changes(samples: DataFrame, keys: Sequence[str], order: Sequence[str], content: str = "content") -> DataFrame:
+    """(keys, order, offset, old, new) of every byte of a page that differs from what the page held when it was last sampled.
+
+    ``samples`` has the pages that were dirty, each with its content. The baseline
+    rolls forward: a page is compared with its own latest sample, however long ago,
+    and its first one is compared with nothing. A byte that one side lacks is 0.
+    """
+    chained = Scan(samples.select(*keys, *order, F.col(content).alias("after")), keys, order)
+    pairs = chained.add(Previous("before", F.col("after"))).df.filter("before IS NOT NULL AND after IS NOT NULL AND before <> after")
+    names = [*keys, *order]
+    fields = [samples.schema[n] for n in names] + [T.StructField(n, T.IntegerType()) for n in ("offset", "old", "new")]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                sides = [part.column(part.schema.get_field_index(n)).to_pylist() for n in ("before", "after")]
+                width = max(len(p) for side in sides for p in side)
+                old, new = (np.frombuffer(b"".join(p.ljust(width, b"\0") for p in side), np.uint8).reshape(-1, width) for side in sides)
+                row, offset = np.nonzero(old != new)
+                taken = pa.array(row)
+                columns = [part.column(part.schema.get_field_index(n)).take(taken) for n in names]
+                numbers = [pa.array(x.astype(np.int32)) for x in (offset, old[row, offset], new[row, offset])]
+                yield pa.RecordBatch.from_arrays([*columns, *numbers], names=[f.name for f in fields])
+
+    return pairs.select(*names, "before", "after").mapInArrow(compare, T.StructType(fields))

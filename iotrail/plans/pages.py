@@ -339,3 +339,26 @@ def page_word_diff(t: Tables) -> DataFrame:
     return diff.select(
         "doc_id", "page_idx", "changed_bytes", (F.col("changed_words") * 8).alias("word_bytes"), busiest
     )
+
+
+@query(
+    "page_rolling_diff",
+    "A71",
+    """b AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') h FROM documents),
+      x AS (SELECT doc_id, unnest(h) c, generate_subscripts(h, 1) - 1 i FROM b),
+      y AS (SELECT doc_id, i // 4096 page_idx, i % 4096 AS "offset", c FROM x WHERE c IN ('6B', '7A', '4B')),
+      s AS (SELECT *, unnest([0, 1, 2, 3]) sample FROM y),
+      v AS (SELECT *, CASE WHEN sample IN (1, 2) AND c = '6B' THEN 75 WHEN sample >= 2 AND c = '7A' THEN 90 WHEN sample = 3 AND c = '4B' THEN 107
+                           WHEN c = '6B' THEN 107 WHEN c = '7A' THEN 122 ELSE 75 END b FROM s WHERE sample = 0 OR (page_idx + doc_id + sample) % 3 <> 0),
+      l AS (SELECT *, lag(b) OVER (PARTITION BY doc_id, page_idx, "offset" ORDER BY sample) o FROM v)
+      SELECT doc_id, CAST(page_idx AS INTEGER) page_idx, sample, CAST("offset" AS INTEGER) AS "offset", CAST(o AS INTEGER) "old", CAST(b AS INTEGER) "new" FROM l WHERE o <> b""",
+)
+def page_rolling_diff(t: Tables) -> DataFrame:
+    """Every changed byte of texts sampled four times; of the later samples only the pages that are dirty in them come."""
+    text = F.col("text")
+    states = [text, F.translate(text, "k", "K"), F.translate(text, "kz", "KZ"), F.translate(text, "Kz", "kZ")]
+    rows = t.documents.select("doc_id", F.posexplode(F.array(*states)).alias("sample", "text"))
+    pages_of = G.binary_pages(rows.select(F.struct("doc_id", "sample").alias("k"), "text"), "k", "text")
+    shown = pages_of.select("k.doc_id", "k.sample", "page_idx", "content")
+    dirty = shown.filter((F.col("sample") == 0) | ((F.col("page_idx") + F.col("doc_id") + F.col("sample")) % 3 != 0))
+    return G.rolling_changes(dirty, ["doc_id", "page_idx"], ["sample"])

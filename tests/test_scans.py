@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from iotrail.operators import heat as H
 from iotrail.operators import scan as scans
 from iotrail.operators.asof import asof_join, range_join
+from iotrail.operators.counters import halved_runs, rolling_share
 from iotrail.operators.fold import assign_lanes
+from iotrail.operators.pages import rolling_changes
 from iotrail.operators.pairing import latest_pairs, lifecycles, sequence_then_address
 from iotrail.operators.scan import (
     Clamped,
@@ -289,3 +291,47 @@ def test_published_decay_table(spark):
     freq = H.frequency(df, 20, 180, 0).orderBy("block").collect()
     assert [r["digit"] for r in heat] == [0, 0, 1, 2, 5, 9]
     assert [r["digit"] for r in freq] == [1, 5, 9, 9, 9, 9]
+
+
+@pytest.mark.parametrize("most", [2, 3, 5, 8, 50])
+def test_halved_runs(most):
+    """The runs are what a list holds that drops every other point and doubles its stride when full."""
+    for count in (0, 1, most - 1, most, most + 1, 3 * most, 1000):
+        held, stride = [], 1
+        for k in range(1, count + 1):
+            if k % stride == 0:
+                held.append(k)
+                if len(held) >= most:
+                    held, stride = held[::2], stride * 2
+        got_stride, runs = halved_runs(count, most)
+        assert got_stride == stride
+        assert [first + i * step for first, step, n in runs for i in range(n)] == held
+
+
+@pytest.mark.parametrize("chunked", [True, False])
+def test_rolling_share(spark, chunked, monkeypatch):
+    if chunked:
+        monkeypatch.setattr(scans, "ROWS_PER_TASK", 0)
+    rng = random.Random(11)
+    rows = [(d, k, None if rng.random() < 0.1 else rng.randint(-50, 50)) for d, n in (("a", 1), ("b", 19), ("c", 40), ("d", 163), (None, 61)) for k in range(n)]
+    frame = spark.createDataFrame(rows, "device string, ts long, v long")
+    got = {(r["device"], r["ts"]): r for r in rolling_share(frame, "device", ["ts"], "v", 20).collect()}
+    assert len(got) == len(rows)
+    for device in ("a", "b", "c", "d", None):
+        values = [v for d, _, v in rows if d == device]
+        w = max(1, len(values) // 20)
+        for k in range(len(values)):
+            seen = [v for v in values[max(0, k - w + 1) : k + 1] if v is not None]
+            r = got[device, k]
+            assert (r["window"], r["roll_max"], r["roll_min"]) == (w, max(seen, default=None), min(seen, default=None))
+            assert r["roll_mean"] == (pytest.approx(sum(seen) / len(seen)) if seen else None)
+    assert rolling_share(frame.limit(0), "device", ["ts"], "v").count() == 0
+
+
+def test_rolling_changes(spark):
+    """A page is compared with its own last sample; unlike lengths are filled with zeros; nulls and equal pages change nothing."""
+    rows = [(1, 0, 0, b"abc"), (1, 0, 2, b"aXc"), (1, 0, 5, b"abc"), (1, 1, 1, b"q"), (2, 0, 0, b"xy"), (2, 0, 1, b"xyz"), (2, 0, 3, b"xyz"), (3, 0, 0, None), (3, 0, 1, b"n")]
+    frame = spark.createDataFrame(rows, "pid long, page_idx int, sample int, content binary")
+    got = sorted(tuple(r) for r in rolling_changes(frame, ["pid", "page_idx"], ["sample"]).collect())
+    assert got == [(1, 0, 2, 1, ord("b"), ord("X")), (1, 0, 5, 1, ord("X"), ord("b")), (2, 0, 1, 2, 0, ord("z"))]
+    assert rolling_changes(frame.limit(0), ["pid", "page_idx"], ["sample"]).count() == 0
