@@ -145,6 +145,57 @@ def object_spans(occ: DataFrame, cmd: DataFrame, key: str, cmd_order: Sequence[s
     )
 
 
+def issuers(cmd: DataFrame, by: str, pid: str = "pid", thread: str = "thread", label: str = "tid") -> DataFrame:
+    """Who issues commands: distinct processes, threads and objects for each value of ``by``, and in all.
+
+    Distinct (process, thread, object) triples come first, which is where the rows shrink.
+    """
+    seen = cmd.groupBy(F.col(by).alias("by"), F.col(pid).alias("pid"), F.col(thread).alias("thread"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    sets = seen.rollup("by").agg(
+        F.grouping("by").alias("whole"),
+        F.sum("n").alias("cmds"),
+        F.count_distinct("pid").alias("pids"),
+        F.count_distinct("thread").alias("threads"),
+        F.count_distinct("label").alias("objects"),
+    )
+    return sets.select(F.when(F.col("whole") == 1, "all").otherwise(F.col("by").cast("string")).alias(by), "cmds", "pids", "threads", "objects")
+
+
+def timeline(spans: DataFrame, counters: DataFrame, key: str = "obj_key", label: str = "trace_id") -> DataFrame:
+    """One table of all that happens, in the order in which it is to be drawn: (position, ts_ns, ord, kind, name, id, value).
+
+    Of ``object_spans`` come ``begin`` and ``end`` of every span (value: its bytes
+    and its commands), ``instant`` for operations that are none, ``late`` marks
+    where an operation ends before its commands, and ``flow_out`` and ``flow_in``
+    at the first and last command (value: their addresses). ``counters`` has
+    (ts_ns, name, value). At one time counters come first, then begins, flows and
+    instants, and ends last; ids settle the rest, so that the order is the same in
+    every run. Positions start at 1 without gaps.
+    """
+
+    def mark(when: Column, ts: str, order: int, kind: str, value: str) -> Column:
+        return F.when(
+            when,
+            F.struct(F.col(ts).alias("ts_ns"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), F.col(value).cast("long").alias("value")),
+        )
+
+    span = F.col("is_span")
+    linked = F.col("n_cmds").isNotNull()
+    marks = F.array(
+        mark(span, "begin_ns", 2, "begin", "cmd_bytes"),
+        mark(~span, "begin_ns", 3, "instant", "bytes"),
+        mark(linked, "first_cmd_ns", 3, "flow_out", "first_slba"),
+        mark(linked, "last_cmd_ns", 3, "flow_in", "last_slba"),
+        mark(F.col("late"), "ts_ns", 3, "late", "n_cmds"),
+        mark(span, "end_ns", 4, "end", "n_cmds"),
+    )
+    events = spans.select(F.col(key).cast("string").alias("name"), F.col(label).cast("long").alias("id"), F.explode(F.array_compact(marks)).alias("e"))
+    drawn = counters.select("ts_ns", F.lit(1).alias("ord"), F.lit("counter").alias("kind"), "name", F.lit(None).cast("long").alias("id"), F.col("value").cast("long").alias("value"))
+    rows = drawn.unionByName(events.select("e.ts_ns", "e.ord", "e.kind", "name", "id", "e.value"))
+    order = ["ts_ns", "ord", "kind", "id", "name", "value"]
+    return Scan(rows, [], order).add(RunningSum("position", F.lit(1))).df.select("position", "ts_ns", "ord", "kind", "name", "id", "value")
+
+
 def durations(
     cmd: DataFrame, order: Sequence[str], nominal_ns: int, gap_share: float = 0.9
 ) -> DataFrame:

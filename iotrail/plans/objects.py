@@ -15,6 +15,7 @@ from iotrail.operators.pairing import latest_pairs
 from iotrail.operators.scan import RunningSum, Scan
 from iotrail.plans.blocks import r6, rounded
 from iotrail.plans.registry import Tables, micros, query
+from iotrail.session import pin
 
 DAY = 86_400_000_000_000
 TIE = ("user_data", "slba", "bytes", "op_name")
@@ -585,6 +586,21 @@ def load_objects_by_rank(t: Tables) -> DataFrame:
     return per_object.groupBy("rank").agg(*totals)
 
 
+@query(
+    "load_issuers",
+    "A55",
+    """r AS (SELECT *, slba // 32 % 8 pid, slba // 32 % 8 * 100 + tid % 7 thread FROM cmd WHERE op_name = 'read')
+      SELECT coalesce(CAST(tid % 4 AS VARCHAR), 'all') rank, count(*) cmds, count(DISTINCT pid) pids, count(DISTINCT thread) threads,
+             count(DISTINCT tid) objects FROM r GROUP BY GROUPING SETS ((tid % 4), ())""",
+    "cmd",
+)
+def load_issuers(t: Tables) -> DataFrame:
+    """Processes and threads that read, by rank and in all; the address tells the process here, the tag the thread."""
+    pid = (S.int_div(F.col("slba"), 32) % 8).alias("pid")
+    reads = t.cmd.filter("op_name = 'read'").select("tid", (F.col("tid") % 4).cast("string").alias("rank"), pid)
+    return O.issuers(reads.withColumn("thread", F.col("pid") * 100 + F.col("tid") % 7), "rank")
+
+
 @query(
     "load_objects_by_size",
     "A55",
@@ -718,3 +734,28 @@ def cumulative_device_bytes(t: Tables) -> DataFrame:
     step = max(1, n // 100)
     shown = ((F.col("rn") - 1) % step == 0) | (F.col("rn") == n)
     return scan.df.filter(shown).select("rn", "ts_ns", "cum_bytes")
+
+
+@query(
+    "object_timeline",
+    "K7",
+    OCC_SQL
+    + """, ev AS (SELECT begin_ns ts, 1 d FROM sp UNION ALL SELECT end_ns, -1 FROM sp),
+      g AS (SELECT ts, d, sum(d) delta FROM ev GROUP BY ALL),
+      fl AS (SELECT ts, CAST(sum(delta) OVER (ORDER BY ts, d ROWS UNBOUNDED PRECEDING) AS BIGINT) v FROM g),
+      tl AS (SELECT ts ts_ns, 1 ord, 'counter' kind, 'objects in flight' "name", CAST(NULL AS BIGINT) id, v "value" FROM fl
+        UNION ALL SELECT begin_ns, 2, 'begin', obj_key, trace_id, cmd_bytes FROM sp WHERE n_cmds IS NOT NULL OR end_ns > begin_ns
+        UNION ALL SELECT begin_ns, 3, 'instant', obj_key, trace_id, bytes FROM sp WHERE NOT (n_cmds IS NOT NULL OR end_ns > begin_ns)
+        UNION ALL SELECT first_cmd_ns, 3, 'flow_out', obj_key, trace_id, first_slba FROM sp JOIN (SELECT obj_key, occ, first_cmd_ns FROM po) USING (obj_key, occ)
+        UNION ALL SELECT last_cmd_ns, 3, 'flow_in', obj_key, trace_id, last_slba FROM sp JOIN (SELECT obj_key, occ, last_cmd_ns FROM po) USING (obj_key, occ)
+        UNION ALL SELECT ts_ns, 3, 'late', obj_key, trace_id, n_cmds FROM sp JOIN (SELECT obj_key, occ, ts_ns FROM oc) USING (obj_key, occ) WHERE late
+        UNION ALL SELECT end_ns, 4, 'end', obj_key, trace_id, n_cmds FROM sp WHERE n_cmds IS NOT NULL OR end_ns > begin_ns)
+      SELECT row_number() OVER (ORDER BY ts_ns, ord, kind, id NULLS FIRST, "name" NULLS FIRST, "value" NULLS FIRST) AS "position", ts_ns, ord, kind, CAST("name" AS VARCHAR) AS "name", id,
+             CAST("value" AS BIGINT) AS "value" FROM tl""",
+    "obj cmd",
+)
+def object_timeline(t: Tables) -> DataFrame:
+    """Spans, instants, late marks, flows and the count of objects in flight in one drawing order."""
+    spans = pin(_spans(t))
+    counters = series.inflight(spans, "begin_ns", "end_ns").select(F.col("ts").alias("ts_ns"), F.lit("objects in flight").alias("name"), F.col("open").alias("value"))
+    return O.timeline(spans, counters)
