@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from iotrail.llm.common import quoted
+from iotrail.llm.common import kept, quoted
 
 #: How this family of vocabularies splits text before merging (fixed value); runs of letters come first as they are most frequent.
 WORDS = r""" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -246,16 +246,9 @@ class Encoder:
         return b"".join(map(self.v.raw.__getitem__, ids))
 
 
-_ready: dict[str, Encoder] = {}
-
-
 def _encoder(raw: bytes) -> Encoder:
     """One encoder for a vocabulary in each Python worker."""
-    key = hashlib.md5(raw).hexdigest()
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = Encoder(Vocabulary(raw))
-    return _ready[key]
+    return kept(f"bpe {hashlib.md5(raw).hexdigest()}", lambda: Encoder(Vocabulary(raw)))
 
 
 def _rows(docs: DataFrame, work: Callable[[Encoder, list], list[pa.Array]], fields: list[T.StructField], vocabulary: str, carry: list[str], column: str) -> DataFrame:

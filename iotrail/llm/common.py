@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import gc
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,27 @@ def uniform(seed: int | Column, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+#: What tasks leave in a Python worker for later tasks of the same operator, by key.
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """The object that this Python worker keeps under ``key``; it is made, and what was kept before goes, if there is none."""
+    if key not in _kept:
+        forget()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Gives back what tasks of other operators have left in this Python worker. Spark goes on using its workers, so operators without
+    anything to keep call it when a task begins."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def pin_and_free(df: DataFrame) -> DataFrame:
     """Like ``pin``, and the shuffle files of the rows go as soon as they are written, not when the driver collects its garbage."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

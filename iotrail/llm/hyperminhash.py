@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from iotrail.llm.components import components
-from iotrail.llm.common import fresh, quoted
+from iotrail.llm.common import forget, fresh, quoted
 from iotrail.session import pin
 
 MANTISSA = 10
@@ -114,6 +114,7 @@ def sketch(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "tex
     """``doc_id``, ``n_shingles``, ``set_key`` (equal exactly for equal sets; null for empty ones) and ``registers`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -137,6 +138,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -166,6 +168,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, width: int, doc_id: str, text: str
     rows = rows.select("node", "text", F.bitmap_bucket_number(hit).alias("k"), F.bitmap_bit_position(hit).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         found = shared.value
         for batch in batches:
             k, p = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
@@ -250,6 +253,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     )
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from iotrail.llm.common import drop_named, quoted
+from iotrail.llm.common import drop_named, forget, quoted
 
 #: The largest number of labelled documents that a classifier is fitted on.
 MAX_ROWS = 20_000
@@ -139,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **how) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             rows = np.array([statistics(t.as_py()) for t in batch.column(2)]).reshape(batch.num_rows, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in rows.T)], names=["doc_id", "y", *STATISTICS])
@@ -160,6 +161,7 @@ def score(docs: DataFrame, trees: Trees, carry: list[str] | None = None, text: s
     names = [*carry, "score", "predicted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
