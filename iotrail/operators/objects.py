@@ -253,6 +253,24 @@ def device_totals(cmd: DataFrame) -> DataFrame:
     )
 
 
+def command_report(paired: DataFrame, by: Sequence[str] = ("op_name",)) -> DataFrame:
+    """Commands per group: number, how many have a completion, bytes, wall time, share of real latencies, quantiles and bytes a ns."""
+    by = list(by)
+    wall = F.max(F.col("ts_ns") + F.coalesce("dur_ns", F.lit(0))) - F.min("ts_ns")
+    n = F.count(F.lit(1))
+    head = paired.groupBy(*by).agg(
+        n.alias("n"),
+        F.count("dur_ns").alias("n_real"),
+        F.sum("bytes").alias("bytes"),
+        wall.alias("wall_ns"),
+        (F.count("dur_ns") / n).alias("real_cover"),
+        F.max("dur_ns").alias("max_ns"),
+        (F.sum("bytes") / wall).alias("gbs"),
+    )
+    lat = quantiles(paired, by, "dur_ns", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, nearest=True)
+    return head.join(lat.drop("n"), by, "left")
+
+
 def object_report(obj: DataFrame, cmd: DataFrame, by: Sequence[str] = ("op",)) -> DataFrame:
     """Span, efficiency and pre-submission quantiles of the successful operations."""
     by = list(by)

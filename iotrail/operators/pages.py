@@ -77,6 +77,20 @@ def dirty_rate(pages: DataFrame, by: Sequence[str], interval_ms: int) -> DataFra
     )
 
 
+def method_comparison(costs: DataFrame) -> DataFrame:
+    """Mean and peak cost of each method of page monitoring, and what it found; null costs don't count."""
+    return costs.groupBy("method").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("wall_ms").alias("avg_wall_ms"),
+        F.max("wall_ms").alias("peak_wall_ms"),
+        F.avg("cpu_pct").alias("avg_cpu_pct"),
+        F.max("peak_rss_kb").alias("peak_rss_kb"),
+        F.avg("bytes_read").alias("avg_bytes_read"),
+        F.sum("changed_bytes").alias("changed_bytes"),
+        F.sum("changed_pages").alias("changed_pages"),
+    )
+
+
 def file_groups(vma: DataFrame) -> DataFrame:
     size = F.col("end_addr") - F.col("start_addr")
     return vma.groupBy("pathname").agg(

@@ -11,10 +11,14 @@ from iotrail.functions.scalar import floor_log2, int_div
 from iotrail.operators.asof import asof_join, range_join
 from iotrail.operators.automaton import lowest_holder
 from iotrail.operators.blocks import count_if
+from iotrail.operators.series import top_ranked
 from iotrail.operators.scan import LastSeen, Previous, RunningSum, Scan
 from iotrail.session import pin
 
 NO_FD = 4294967295
+# Calls that transfer bytes, and calls that work on files.
+IO_CALLS = ("read", "write", "pread64", "pwrite64")
+FILE_CALLS = ("openat", "close", "lseek")
 
 
 def enter_exit_pairs(events: DataFrame, order: Sequence[str] = ("ts_ns", "event_id")) -> DataFrame:
@@ -69,6 +73,56 @@ def process_breakdown(events: DataFrame) -> DataFrame:
     return rows.withColumn("pct_of_process", F.col("count") * 100 / F.col("_all")).drop("_all")
 
 
+def run_summary(events: DataFrame) -> DataFrame:
+    """One row: calls, bytes, calls on files, calls a second and the busiest process (ties: the smallest pid)."""
+    name, n = F.col("syscall_name"), F.count(F.lit(1))
+    per_pid = events.groupBy("pid").agg(
+        n.alias("n"),
+        F.sum(F.when(name.isin(*IO_CALLS), F.col("size"))).alias("b"),
+        count_if(name.isin(*FILE_CALLS)).alias("f"),
+        F.max("ts_ns").alias("t"),
+    )
+    return per_pid.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        F.sum("b").alias("io_bytes"),
+        F.coalesce(F.sum("f"), F.lit(0)).alias("file_ops"),
+        (F.sum("n") / (F.max("t") / 1e9)).alias("per_second"),
+        F.max_by("pid", F.struct(F.col("n"), -F.col("pid"))).alias("busiest_pid"),
+    )
+
+
+def process_io(events: DataFrame, children: DataFrame, calls: Sequence[str]) -> DataFrame:
+    """Per process: events, bytes read and written, the number of each of ``calls``, and whether it is one of ``children`` (pid)."""
+    name, size = F.col("syscall_name"), F.col("size")
+    stats = events.groupBy("pid").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.when(name.isin("read", "pread64"), size)), F.lit(0)).alias("bytes_read"),
+        F.coalesce(F.sum(F.when(name.isin("write", "pwrite64"), size)), F.lit(0)).alias("bytes_written"),
+        *[count_if(name == c).alias(f"n_{c}") for c in calls],
+    )
+    known = children.select("pid").distinct().withColumn("role", F.lit("child"))
+    return stats.join(known, "pid", "left").withColumn("role", F.coalesce("role", F.lit("parent")))
+
+
+def file_access(events: DataFrame, marker: str, top: int) -> DataFrame:
+    """The ``top`` files by accesses among those whose path holds ``marker``, with bytes, processes and calls; ``events`` have paths."""
+    table = events.filter(F.col("path").contains(marker)).groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("size").alias("bytes"),
+        F.count_distinct("pid").alias("pids"),
+        F.array_sort(F.collect_set("syscall_name")).alias("syscalls"),
+    )
+    return top_ranked(table, [F.desc("n"), F.asc("path")], top)
+
+
+def process_sets(live: DataFrame, active: DataFrame) -> DataFrame:
+    """(``kind``, ``pid``): processes in both tables, only in ``live``, or only in ``active``; each pid once."""
+    seen = live.select("pid", F.lit(1).alias("l"), F.lit(0).alias("a")).unionByName(active.select("pid", F.lit(0).alias("l"), F.lit(1).alias("a")))
+    sides = seen.groupBy("pid").agg(F.max("l").alias("l"), F.max("a").alias("a"))
+    kind = F.when((F.col("l") == 1) & (F.col("a") == 1), "both").when(F.col("l") == 1, "live_only").otherwise("active_only")
+    return sides.select(kind.alias("kind"), "pid")
+
+
 def fd_usage(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Operations, bytes and the set of calls per descriptor."""
     valid = events.filter(F.col("fd").isNotNull() & (F.col("fd") != NO_FD))

@@ -3,6 +3,7 @@
 from iotrail.plans import (
     blocks,
     counters,
+    documents,
     fidelity,
     objects,
     pages,
@@ -16,4 +17,4 @@ from iotrail.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
 
-_ = (blocks, counters, fidelity, objects, pages, parsing, projection, readamp, streams, syscalls)
+_ = (blocks, counters, documents, fidelity, objects, pages, parsing, projection, readamp, streams, syscalls)

@@ -123,20 +123,7 @@ def command_shown_durations(t: Tables) -> DataFrame:
     "cmd",
 )
 def command_report(t: Tables) -> DataFrame:
-    rows = paired(t)
-    wall = F.max(F.col("ts_ns") + F.coalesce("dur_ns", F.lit(0))) - F.min("ts_ns")
-    n = F.count(F.lit(1))
-    head = rows.groupBy("op_name").agg(
-        n.alias("n"),
-        F.count("dur_ns").alias("n_real"),
-        F.sum("bytes").alias("bytes"),
-        wall.alias("wall_ns"),
-        r6(F.count("dur_ns") / n, 9).alias("real_cover"),
-        F.max("dur_ns").alias("max_ns"),
-        r6(F.sum("bytes") / wall, 12).alias("gbs"),
-    )
-    lat = quantiles(rows, ["op_name"], "dur_ns", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, nearest=True)
-    return head.join(lat.drop("n"), "op_name", "left")
+    return O.command_report(paired(t)).withColumns({"real_cover": r6(F.col("real_cover"), 9), "gbs": r6(F.col("gbs"), 12)})
 
 
 @query(

@@ -9,7 +9,6 @@ from iotrail.functions import scalar as S
 
 from iotrail.operators import syscalls as Y
 from iotrail.operators.blocks import count_if
-from iotrail.operators.series import top_ranked
 from iotrail.plans.blocks import r6, rounded
 from iotrail.plans.registry import Tables, query
 from iotrail.sinks import process_documents
@@ -76,15 +75,8 @@ def descriptor_paths(t: Tables) -> DataFrame:
     "sysev",
 )
 def file_access_table(t: Tables) -> DataFrame:
-    rows = Y.with_paths(t.sysev, _opens(t)).filter(F.col("path").contains("/data/"))
-    table = rows.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("size").alias("bytes"),
-        F.count_distinct("pid").alias("pids"),
-        F.array_join(F.array_sort(F.collect_set("syscall_name")), ",").alias("syscalls"),
-    )
-    best = top_ranked(table, [F.desc("n"), F.asc("path")], 15)
-    return best.withColumn("rank", F.col("rank").cast("long"))
+    best = Y.file_access(Y.with_paths(t.sysev, _opens(t)), "/data/", 15)
+    return best.withColumns({"rank": F.col("rank").cast("long"), "syscalls": F.array_join("syscalls", ",")})
 
 
 @query(
@@ -208,17 +200,7 @@ def syscall_timeline(t: Tables) -> DataFrame:
     "sysev",
 )
 def syscall_run_summary(t: Tables) -> DataFrame:
-    name = F.col("syscall_name")
-    per_pid = t.sysev.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
-    busiest = per_pid.agg(F.max_by("pid", F.struct(F.col("n"), -F.col("pid")))).first()[0]
-    n = F.count(F.lit(1))
-    return t.sysev.agg(
-        n.alias("total"),
-        F.sum(F.when(name.isin("read", "write", "pread64", "pwrite64"), F.col("size"))).alias("io_bytes"),
-        count_if(name.isin("openat", "close", "lseek")).alias("file_ops"),
-        r6(n / (F.max("ts_ns") / 1e9), 9).alias("per_second"),
-        F.lit(busiest).alias("busiest_pid"),
-    )
+    return Y.run_summary(t.sysev).withColumn("per_second", r6(F.col("per_second"), 9))
 
 
 @query(
@@ -249,15 +231,7 @@ def offset_series(t: Tables) -> DataFrame:
     "sysev",
 )
 def process_io_stats(t: Tables) -> DataFrame:
-    name, size = F.col("syscall_name"), F.col("size")
-    children = t.sysev.select("pid").distinct().filter("pid % 2 = 1").withColumn("role", F.lit("child"))
-    stats = t.sysev.groupBy("pid").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.when(name.isin("read", "pread64"), size)), F.lit(0)).alias("bytes_read"),
-        F.coalesce(F.sum(F.when(name.isin("write", "pwrite64"), size)), F.lit(0)).alias("bytes_written"),
-        *[count_if(name == c).alias(f"n_{c}") for c in ("read", "pread64", "pwrite64", "openat")],
-    )
-    return stats.join(children, "pid", "left").withColumn("role", F.coalesce("role", F.lit("parent")))
+    return Y.process_io(t.sysev, t.sysev.filter("pid % 2 = 1"), ["read", "pread64", "pwrite64", "openat"])
 
 
 @query(
@@ -408,18 +382,7 @@ def tracked_by_fork(t: Tables) -> DataFrame:
       UNION ALL SELECT 'active_only', pid FROM (SELECT pid FROM act EXCEPT SELECT pid FROM live)""",
 )
 def process_sets(t: Tables) -> DataFrame:
-    live = t.part.select((F.col("p_partkey") % 26).alias("pid"))
-    active = t.events.select((F.col("user_id") % 20 + 3).alias("pid"))
-    sets = {
-        "both": live.intersect(active),
-        "live_only": live.subtract(active),
-        "active_only": active.subtract(live),
-    }
-    out = None
-    for kind, rows in sets.items():
-        rows = rows.select(F.lit(kind).alias("kind"), "pid")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return Y.process_sets(t.part.select((F.col("p_partkey") % 26).alias("pid")), t.events.select((F.col("user_id") % 20 + 3).alias("pid")))
 
 
 REF_SQL = """

@@ -127,3 +127,72 @@ def manifest_objects(documents: DataFrame, column: str = "value") -> DataFrame:
         "o.*",
         *[F.coalesce(F.col(f"device_geometry.{k}"), F.lit(v)).alias(k) for k, v in defaults.items()],
     )
+
+
+# What a row of a page monitor document can hold.
+MONITOR_ROW = {
+    "item": "string", "iter": "bigint", "position": "bigint", "pages": "bigint", "present": "bigint", "dirty": "bigint", "dirty_kb": "bigint", "dirty_pct": "double", "detail": "string",
+}
+
+
+def _monitor_row(**given: str) -> str:
+    return "named_struct(" + ", ".join(f"'{n}', cast({given.get(n, 'null')} as {kind})" for n, kind in MONITOR_ROW.items()) + ")"
+
+
+def _inside(path: str, kind: str) -> str:
+    return f"try_variant_get(v, '$.{path}', '{kind}')"
+
+
+def monitor_rows(documents: DataFrame, column: str = "value") -> DataFrame:
+    """All kinds of page monitor documents as rows: the other columns, ``kind``, ``pid`` and the columns of ``MONITOR_ROW``.
+
+    A snapshot has one row (``detail``: a letter per page), soft-dirty tracking and a timeline one per sample, a heat map one per sample
+    and block (``position``), a region scan one per file and, with ``iter``, one per tracked sample and file, and a scan unified by file
+    one per file, sample and block. Other modes give a row of the kind ``other``, texts that are no JSON one of the kind ``bad``.
+    Documents are read once, as variants; what they lack is null.
+    """
+    kept = [c for c in documents.columns if c != column]
+    shots = "array<struct<iter:bigint,present:bigint,newly_dirty:bigint,dirty:bigint,dirty_kb:bigint,bitmap:string,blocks:array<double>>>"
+    files = f"array<struct<pathname:string,total_pages:bigint,present:bigint,dirty:bigint,dirty_pct:double,snapshots:{shots}>>"
+    tracking = "array<struct<iter:bigint,files:array<struct<path:string,dirty:bigint,dirty_kb:bigint>>>>"
+    # A sample without its list has no rows; the others of its document stay.
+    each = lambda values, row: f"coalesce(transform({values}, {row}), array())"
+    blocks = lambda shot, **more: each(f"{shot}.blocks", f"(b, i) -> {_monitor_row(iter=f'{shot}.iter', position='i', dirty_pct='b', **more)}")
+    region = _monitor_row(item="f.pathname", pages="f.total_pages", present="f.present", dirty="f.dirty", dirty_pct="f.dirty_pct")
+    one = each("s.files", f"f -> {_monitor_row(item='f.path', iter='s.iter', dirty='f.dirty', dirty_kb='f.dirty_kb')}")
+    tracked = f"flatten({each(_inside('tracking', tracking), f's -> {one}')})"
+    soft = _monitor_row(item=_inside("start", "string"), iter="s.iter", present="s.present", dirty="s.newly_dirty", dirty_kb="s.dirty_kb", detail="s.bitmap")
+    timed = _monitor_row(item=_inside("start", "string"), iter="s.iter", present="s.present", dirty="s.dirty", dirty_kb="s.dirty_kb")
+    unified = blocks("s", item="f.pathname")
+    single = _monitor_row(
+        item=_inside("start", "string"), pages=_inside("total_pages", "bigint"), present=_inside("present", "bigint"), dirty=_inside("dirty", "bigint"),
+        dirty_pct=_inside("dirty_pct", "double"), detail=_inside("pages", "string"),
+    )
+    kinds = {
+        "snapshot": f"array({single})",
+        "softdirty": f"transform({_inside('snapshots', shots)}, s -> {soft})",
+        "heatmap": f"flatten({each(_inside('snapshots', shots), 's -> ' + blocks('s', item=_inside('start', 'string')))})",
+        "timeline": f"transform({_inside('samples', shots)}, s -> {timed})",
+        "region_all": f"concat({each(_inside('files', files), f'f -> {region}')}, {tracked})",
+        "file_unified": f"flatten({each(_inside('files', files), 'f -> flatten(' + each('f.snapshots', f's -> {unified}') + ')')})",
+    }
+    kind = F.expr("case when v is null then 'bad' when {0} in ({1}) then {0} else 'other' end".format(_inside("mode", "string"), ", ".join(f"'{k}'" for k in kinds)))
+    found = F.expr("case kind " + " ".join(f"when '{k}' then {rows}" for k, rows in kinds.items()) + " end")
+    docs = documents.select(*kept, F.try_parse_json(column).alias("v")).withColumn("kind", kind)
+    docs = docs.select(*kept, "kind", F.expr(_inside("pid", "bigint")).alias("pid"), found.alias("rows"))
+    return docs.select(*kept, "kind", "pid", F.inline_outer("rows"))
+
+
+def monitor_costs(documents: DataFrame, column: str = "value") -> DataFrame:
+    """What each method of page monitoring costs: one row per measurement, from diffs within pages and from comparisons of methods."""
+    cost = "label:string,wall_ms:double,cpu_pct:double,peak_rss_kb:bigint,bytes_read:bigint"
+    diffs = _inside("snapshots", f"array<struct<total_changed_bytes:bigint,total_changed_pages:bigint,overhead:struct<{cost}>>>")
+    runs = _inside("benchmarks", f"array<struct<{cost}>>")
+    row = "named_struct('c', {}, 'changed_bytes', {}, 'changed_pages', {})"
+    measured = F.expr(
+        f"case {_inside('mode', 'string')} when 'sub_page_diff' then transform({diffs}, s -> {row.format('s.overhead', 's.total_changed_bytes', 's.total_changed_pages')})"
+        f" when 'overhead_bench' then transform({runs}, b -> {row.format('b', 'cast(null as bigint)', 'cast(null as bigint)')}) end"
+    )
+    kept = [c for c in documents.columns if c != column]
+    rows = documents.select(*kept, F.try_parse_json(column).alias("v")).select(*kept, F.inline(measured)).filter("c is not null")
+    return rows.select(*kept, F.col("c.label").alias("method"), "c.wall_ms", "c.cpu_pct", "c.peak_rss_kb", "c.bytes_read", "changed_bytes", "changed_pages")
