@@ -57,9 +57,9 @@ def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 with rows as (
-  select vec_id, list_transform(embedding, lambda x: (x > 0)::int) bits from embeddings where vec_id is not null and len(embedding) between 1 and 64
+  select vec_id, list_transform(embedding, lambda x: (x > 0)::int) bits from embeddings where vec_id is not null and len(embedding) > 0
 ), pairs as (
-  select q.vec_id query_id, r.vec_id, list_sum(list_transform(list_zip(q.bits, r.bits), lambda p: abs(p[1] - p[2])))::int distance
+  select q.vec_id query_id, r.vec_id, list_sum(list_transform(list_zip(q.bits, r.bits), lambda p: abs(coalesce(p[1], 0) - coalesce(p[2], 0))))::int distance
   from rows q join rows r on q.vec_id % 100 = 0 and q.vec_id <> r.vec_id
 )
 select query_id, row_number() over (partition by query_id order by distance, vec_id)::int rank, vec_id, distance

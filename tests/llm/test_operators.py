@@ -208,6 +208,27 @@ def test_top_k(spark):
     assert mih.nearest(vectors).collect() == [(0, 1, 5, 0)]
 
 
+@pytest.mark.parametrize("longest", [65, 150])
+def test_top_k_of_long_vectors(spark, longest):
+    """Vectors of several words, of unlike lengths, among them copies and one that is nearest to nothing."""
+    rng = random.Random(longest)
+    base = [[rng.choice((-1.0, 1.0)) for _ in range(longest)] for _ in range(6)]
+    rows = []
+    for k in range(90):
+        v = [x if rng.random() > 0.04 else -x for x in base[k % 6]]
+        rows.append((k, v[: longest - k % 3 * 20] if k % 7 else base[k % 6]))
+    rows += [(200, [1.0] * longest), (201, [1.0]), (202, None), (203, [float("nan")] * longest)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    signs = {i: [x > 0 for x in v] + [False] * (longest - len(v)) for i, v in rows if v and v[0] == v[0]}
+    got = {}
+    for r in mih.nearest(frame, every=20, k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["distance"], r["vec_id"]))
+    assert set(got) == {0, 20, 40, 60, 80, 200}
+    for q, found in got.items():
+        best = sorted((sum(a != b for a, b in zip(signs[q], s)), i) for i, s in signs.items() if i != q)[:5]
+        assert sorted(found) == [(n, d, i) for n, (d, i) in enumerate(best, 1)]
+
+
 def test_shards_odd(odd, none, spark, tmp_path):
     out = shards.shard(odd, 3)
     assert sorted(out.columns) == sorted(odd.columns)
