@@ -87,7 +87,10 @@ def size_histogram(req: DataFrame, block_bytes: int) -> DataFrame:
 
 
 def log2_histogram(df: DataFrame, value: str, by: str, cap: int = 31) -> DataFrame:
-    """Rows and cumulative share per log2 bucket; at most ``cap`` + 1 rows per group."""
+    """Rows and cumulative share per log2 bucket; at most ``cap`` + 1 rows per group.
+
+    ``approx_bytes`` is null where ``n`` times the bucket's size passes 64 bits.
+    """
     counts = df.groupBy(by, floor_log2(F.col(value), cap).alias("bucket"))
     counts = counts.agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(by).agg(F.sum("n").alias("total"))
@@ -97,7 +100,7 @@ def log2_histogram(df: DataFrame, value: str, by: str, cap: int = 31) -> DataFra
         by,
         "bucket",
         "n",
-        (F.col("n") * shifted).alias("approx_bytes"),
+        F.try_multiply("n", shifted).alias("approx_bytes"),
         (F.col("upto") * 100 / F.col("total")).alias("cumulative_pct"),
     )
 
