@@ -40,10 +40,12 @@ def snapshot(pages: DataFrame, by: Sequence[str]) -> DataFrame:
 def letters(pages: DataFrame, by: Sequence[str], stripe: int = 1024) -> DataFrame:
     """One string of page letters per stripe of consecutive pages."""
     mark = page_letter(F.col("present"), F.col("swapped"), F.col("soft_dirty"), F.col("file_mapped"))
-    rows = pages.withColumns({"letter": mark, "stripe": int_div(F.col("page_idx"), stripe)})
-    entry = F.sort_array(F.collect_list(F.struct("page_idx", "letter")))
-    strings = rows.groupBy(*by, "stripe").agg(entry.alias("e"))
-    return strings.select(*by, "stripe", F.array_join(F.col("e.letter"), "").alias("letters"))
+    # A number of page and letter takes less room in a list than a struct, and is sorted faster.
+    entry = F.shiftleft("page_idx", 7) + F.ascii(mark)
+    rows = pages.withColumns({"entry": entry, "stripe": int_div(F.col("page_idx"), stripe)})
+    strings = rows.groupBy(*by, "stripe").agg(F.sort_array(F.collect_list("entry")).alias("e"))
+    letter = F.transform("e", lambda e: F.char(e.bitwiseAND(F.lit(127).cast("long"))))
+    return strings.select(*by, "stripe", F.array_join(letter, "").alias("letters"))
 
 
 def dirty_iterations(pages: DataFrame, by: Sequence[str]) -> DataFrame:

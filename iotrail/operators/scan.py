@@ -28,6 +28,12 @@ from iotrail.session import pin
 #: A group up to this size may be sorted by one task.
 ROWS_PER_TASK = 20_000_000
 
+#: Rows that a task holds on average if keyed rows are dealt out for more than one step.
+ROWS_PER_DEAL = 500_000
+
+#: Rows per hash of the keys are counted first, before rows per key.
+HASHES = 4096
+
 CHUNK = "_chunk"
 
 
@@ -339,9 +345,19 @@ def _null_safe_join(rows: DataFrame, small: DataFrame, by: Sequence[str], how: s
     return out.drop(*[f"_by_{c}" for c in by])
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
+    """``df`` by hash of ``keys``, in as many tasks as ``rows`` (those of ``df`` by default) need, so that a task's share doesn't grow.
+
+    Groups and windows whose keys include ``keys`` then need no other exchange.
+    """
+    rows = df.count() if rows is None else rows
+    return df.repartition(max(_partitions(df), -(-rows // ROWS_PER_DEAL)), *keys)
+
+
 def exceeds(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
-    """Whether a key has more than ``limit`` rows. Keys are counted only if there are that many rows at all."""
-    return df.count() > limit and largest_group(df, keys) > limit
+    """Whether a key has more than ``limit`` rows. Keys are counted only if that many rows share one of ``HASHES`` hashes."""
+    shared = df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(HASHES)).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return (shared.agg(F.max("n")).first()[0] or 0) > limit and largest_group(df, keys) > limit
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:

@@ -9,6 +9,7 @@ from iotrail.functions import scalar as S
 from iotrail.functions.stats import quantiles
 from iotrail.operators import heat as H
 from iotrail.operators import pages as G
+from iotrail.operators.scan import dealt
 from iotrail.operators.series import runs
 from iotrail.plans.blocks import r6, rounded
 from iotrail.plans.objects import nearest
@@ -17,11 +18,17 @@ from iotrail.plans.registry import Tables, query
 ITERS = 2
 
 
-def pages(t: Tables) -> DataFrame:
-    """All pages of all mappings in two iterations, as page-table entries."""
+def pages(t: Tables, vma: DataFrame | None = None) -> DataFrame:
+    """All pages of all mappings in two iterations, as page-table entries.
+
+    Mappings are dealt out by address before they become pages, so all pages of
+    a mapping are in one task, and the tasks are as many as the pages need.
+    """
+    vma = t.vma if vma is None else vma
     size = F.col("end_addr") - F.col("start_addr")
     each = F.explode(F.sequence(F.lit(0).cast("long"), S.int_div(size, 4096) - 1))
-    rows = t.vma.withColumn("vma_bytes", size).withColumn("page_idx", each)
+    n = vma.agg(F.sum(S.int_div(size, 4096))).first()[0] or 0
+    rows = dealt(vma, ["start_addr"], n * ITERS).withColumn("vma_bytes", size).withColumn("page_idx", each)
     rows = rows.withColumn("iter", F.explode(F.array(*[F.lit(i).cast("long") for i in range(ITERS)])))
     base, i = S.int_div(F.col("start_addr"), 1048576), F.col("page_idx")
     states = {

@@ -20,3 +20,26 @@ def test_histogram_beyond_64_bits(spark):
     got = {r["bucket"]: r for r in B.log2_histogram(rows, "ns", "is_read", cap=62).collect()}
     assert got[62]["n"] == 3 and got[62]["approx_bytes"] is None and got[62]["cumulative_pct"] == 100
     assert got[2]["approx_bytes"] == 4
+
+
+def tables(spark, tmp_path):
+    """Twelve parts of four sizes and two brands."""
+    parts = [(k, 1 + k % 4 * 9, f"b{k % 2}") for k in range(1, 13)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    return Tables(spark, str(tmp_path))
+
+
+def test_pages_are_not_shuffled(spark, tmp_path):
+    t = tables(spark, tmp_path)
+    for name in ("page_letters", "page_dirty_density", "dirty_runs", "hottest_window"):
+        found = REGISTRY[name].build(t)
+        assert plan(found).count("Exchange hashpartitioning") == 1, name  # of the mappings
+    letters = {(r["start_addr"], r["iter"], r["stripe"]): r["letters"] for r in REGISTRY["page_letters"].build(t).collect()}
+    assert sum(map(len, letters.values())) == 2 * sum((1 + k % 4 * 9) * 4 for k in range(1, 13))
+
+    def letter(base, i, it):
+        if (base + i) % 5:
+            return "D" if (base * 7 + i * 3 + it) % 4 == 0 else "F" if i % 3 == 0 else "P"
+        return "S" if (base + i) % 10 == 0 else "."
+
+    assert letters[3 << 20, 1, 1] == "".join(letter(3, i, 1) for i in range(64, 112))
