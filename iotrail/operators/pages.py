@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,15 +143,21 @@ def hottest_window(blocks: DataFrame, by: Sequence[str], value: str = "dirty_pct
     no row; of equal windows the first one wins.
     """
     by = list(by)
-    sums = Scan(blocks, by, ["block"]).add(RunningSum("_upto", F.col(value))).df
-    sizes = blocks.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    rows = sums.join(sizes, by).withColumn(
-        "_w", F.greatest(F.lit(4).cast("long"), int_div(F.col("_n"), 8))
-    )
-    ends = sums.select(*by, F.col("block").alias("_end"), F.col("_upto").alias("_through"))
-    rows = rows.withColumn("_end", F.col("block") + F.col("_w") - 1)
-    full = rows.join(ends, [*by, "_end"])
-    total = F.col("_through") - F.col("_upto") + F.col(value)
+    scan = Scan(blocks, by, ["block"]).add(RunningSum("_upto", F.col(value)))
+    if scan.chunked:
+        sizes = blocks.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        rows = scan.df.hint("merge").join(sizes, by)
+    else:
+        rows = scan.df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    rows = rows.withColumn("_w", F.greatest(F.lit(4).cast("long"), int_div(F.col("_n"), 8)))
+    # A block ends one window and starts another; both meet at the window's last block, without a join.
+    none = F.lit(None)
+    ends = F.struct(F.col("block").alias("_end"), F.col("_upto").alias("_through"), none.alias("_before"), none.alias("block"), "_w")
+    before = F.col("_upto") - F.col(value)
+    starts = F.struct((F.col("block") + F.col("_w") - 1).alias("_end"), none.alias("_through"), before.alias("_before"), "block", "_w")
+    marks = rows.select(*by, F.explode(F.array(ends, starts)).alias("m")).select(*by, "m.*")
+    full = marks.groupBy(*by, "_end").agg(*[F.max(c).alias(c) for c in ("_through", "_before", "block", "_w")])
+    total = F.col("_through") - F.col("_before")
     best = full.withColumn("window_sum", total).filter("window_sum > 0")
     pick = F.struct(F.col("window_sum"), -F.col("block"))
     out = best.groupBy(*by).agg(F.max_by(F.struct("block", "_w", "window_sum"), pick).alias("b"))

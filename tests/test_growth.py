@@ -43,3 +43,18 @@ def test_pages_are_not_shuffled(spark, tmp_path):
         return "S" if (base + i) % 10 == 0 else "."
 
     assert letters[3 << 20, 1, 1] == "".join(letter(3, i, 1) for i in range(64, 112))
+
+
+def test_hottest_window_without_join(spark):
+    values = {("a", 0): [0, 9, 9, 0, 9, 9, 0], ("a", 1): [0] * 9, ("b", 0): [1, 2, 3], ("b", 1): [k * 7 % 5 for k in range(80)]}
+    rows = [(*k, i, v) for k, vs in values.items() for i, v in enumerate(vs)]
+    blocks = spark.createDataFrame(rows, "g string, iter long, block long, dirty_pct long")
+    found = G.hottest_window(blocks, ["g", "iter"])
+    assert "Join" not in plan(found)
+    want = {}
+    for key, vs in values.items():
+        w = max(4, len(vs) // 8)
+        sums = [(sum(vs[i : i + w]), -i) for i in range(len(vs) - w + 1)]
+        if sums and max(sums)[0] > 0:
+            want[key] = (-max(sums)[1], w, max(sums)[0])
+    assert {(r["g"], r["iter"]): (r["start_block"], r["window"], r["window_sum"]) for r in found.collect()} == want
