@@ -122,18 +122,27 @@ def coalesced(vma: DataFrame) -> DataFrame:
     )
 
 
+def numbered(vma: DataFrame, name: str = "place") -> DataFrame:
+    """Mappings with their place by file offset, larger ones first, then by address."""
+    order = ["file_offset", "_size", "start_addr"]
+    rows = vma.withColumn("_size", F.col("start_addr") - F.col("end_addr"))
+    return Scan(rows, [], order).add(RunningSum(name, F.lit(1))).df.drop("_size")
+
+
 def file_pages(pages: DataFrame) -> DataFrame:
     """Each file page once per iteration, as the first mapping that shows it has it.
 
-    Mappings come by file offset, larger ones first.
+    Mappings come by ``place``, see ``numbered``. Place and state make one
+    number, so that the first one is the least: pages are hashed, not sorted.
     """
     at = int_div(F.col("file_offset"), PAGE) + F.col("page_idx")
-    first = F.struct("file_offset", (-F.col("vma_bytes")).alias("s"), "start_addr")
-    state = F.struct("present", "soft_dirty", "swapped", "file_mapped")
-    rows = pages.groupBy("iter", "pathname", at.alias("file_page")).agg(
-        F.min_by(state, first).alias("st")
-    )
-    return rows.select("iter", "pathname", F.col("file_page").alias("page_idx"), "st.*")
+    flags = ("present", "soft_dirty", "swapped", "file_mapped")
+    number = F.col("place").cast("long") * (1 << len(flags))
+    for k, flag in enumerate(flags):
+        number = number + F.when(F.col(flag), F.lit(1 << k)).otherwise(F.lit(0))
+    rows = pages.groupBy("iter", "pathname", at.alias("page_idx")).agg(F.min(number).alias("_first"))
+    states = [(F.col("_first").bitwiseAND(F.lit(1 << k)) != 0).alias(flag) for k, flag in enumerate(flags)]
+    return rows.select("iter", "pathname", "page_idx", *states)
 
 
 def hottest_window(blocks: DataFrame, by: Sequence[str], value: str = "dirty_pct") -> DataFrame:

@@ -177,7 +177,7 @@ def file_range_coalescing(t: Tables) -> DataFrame:
     "vma",
 )
 def file_heat_deduplicated(t: Tables) -> DataFrame:
-    return G.density(G.file_pages(pages(t)), ["iter", "pathname"], 16)
+    return G.density(G.file_pages(pages(t, G.numbered(t.vma))), ["iter", "pathname"], 16)
 
 
 @query(

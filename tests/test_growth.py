@@ -58,3 +58,18 @@ def test_hottest_window_without_join(spark):
         if sums and max(sums)[0] > 0:
             want[key] = (-max(sums)[1], w, max(sums)[0])
     assert {(r["g"], r["iter"]): (r["start_block"], r["window"], r["window_sum"]) for r in found.collect()} == want
+
+
+def test_file_pages_are_hashed(spark):
+    size = 4096
+    vma = [("f", 0, 0, 2 * size), ("f", 0, 100 * size, 103 * size), ("f", size, 200 * size, 205 * size), ("g", 0, 7 * size, 8 * size), ("g", 0, 7 * size, 8 * size)]
+    vma = spark.createDataFrame(vma, "pathname string, file_offset long, start_addr long, end_addr long")
+    size_of = F.col("end_addr") - F.col("start_addr")
+    pages = G.numbered(vma).withColumn("page_idx", F.explode(F.sequence(F.lit(0).cast("long"), (size_of / size).cast("long") - 1)))
+    pages = pages.withColumns({"iter": F.lit(0).cast("long"), "present": F.col("start_addr") == 100 * size, "soft_dirty": F.col("start_addr") == 200 * size})
+    pages = pages.withColumns({"swapped": ~F.col("present"), "file_mapped": F.col("page_idx") == 1})
+    found = G.file_pages(pages)
+    assert "SortAggregate" not in plan(found)
+    got = {(r["pathname"], r["page_idx"]): tuple(r)[3:] for r in found.collect()}
+    first = {("f", p): (True, False, False, p == 1) for p in range(3)}
+    assert got == first | {("f", p): (False, True, True, p == 2) for p in range(3, 6)} | {("g", 0): (False, False, True, False)}
