@@ -197,6 +197,13 @@ def binary_pages(contents: DataFrame, key: str, value: str) -> DataFrame:
     return rows.select(key, "page_idx", cut.alias("content"))
 
 
+def _portions(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """Batches cut up: a page may list hundreds of blocks and bytes, so the lists of a few pages are held at a time."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start : start + rows]
+
+
 def page_diff(pages: DataFrame, keys: Sequence[str], block: int, detail_up_to: int = 64) -> DataFrame:
     """Changed bytes per page and per sub-block between ``before`` and ``after``.
 
@@ -212,7 +219,7 @@ def page_diff(pages: DataFrame, keys: Sequence[str], block: int, detail_up_to: i
     names = list(keys)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _portions(batches):
             out = []
             for row in batch.itertuples(index=False):
                 a = np.frombuffer(row.before, dtype=np.uint8)

@@ -73,3 +73,9 @@ def test_file_pages_are_hashed(spark):
     got = {(r["pathname"], r["page_idx"]): tuple(r)[3:] for r in found.collect()}
     first = {("f", p): (True, False, False, p == 1) for p in range(3)}
     assert got == first | {("f", p): (False, True, True, p == 2) for p in range(3, 6)} | {("g", 0): (False, False, True, False)}
+
+
+def test_portions_of_batches():
+    parts = list(G._portions(iter([pd.DataFrame({"a": range(600)}), pd.DataFrame({"a": range(3)})])))
+    assert [len(p) for p in parts] == [256, 256, 88, 3]
+    assert [v for p in parts for v in p["a"]] == [*range(600), *range(3)]
