@@ -12,7 +12,7 @@ from iotrail.operators import series
 from iotrail.operators.blocks import count_if
 from iotrail.operators.fold import assign_lanes
 from iotrail.operators.pairing import latest_pairs
-from iotrail.operators.scan import RunningSum, Scan
+from iotrail.operators.scan import RunningSum, Scan, dealt
 from iotrail.plans.blocks import r6, rounded
 from iotrail.plans.registry import Tables, micros, query
 from iotrail.session import pin
@@ -401,7 +401,7 @@ bk AS (SELECT tid, ts_ns // {7 * DAY} bucket, count(*) cmds, CAST(sum(bytes) AS
 
 
 def _weekly(t: Tables) -> DataFrame:
-    return t.cmd.groupBy("tid", S.int_div(F.col("ts_ns"), 7 * DAY).alias("bucket")).agg(
+    return dealt(t.cmd, ["tid"]).groupBy("tid", S.int_div(F.col("ts_ns"), 7 * DAY).alias("bucket")).agg(
         F.count(F.lit(1)).alias("cmds"), F.sum("bytes").alias("bytes")
     )
 

@@ -79,3 +79,17 @@ def test_portions_of_batches():
     parts = list(G._portions(iter([pd.DataFrame({"a": range(600)}), pd.DataFrame({"a": range(3)})])))
     assert [len(p) for p in parts] == [256, 256, 88, 3]
     assert [v for p in parts for v in p["a"]] == [*range(600), *range(3)]
+
+
+def test_weekly_rows_are_shuffled_once(spark, tmp_path):
+    row = "timestamp '2020-01-{day:02d} 00:00:00' l_shipdate, {k}L l_orderkey, {n} l_linenumber, 4.0D l_quantity, 'R' l_returnflag"
+    lines = [spark.sql("select " + row.format(day=d, k=k, n=d)) for k in (1, 2) for d in (1, 2, 9, 30)]
+    every = lines[0]
+    for line in lines[1:]:
+        every = every.unionByName(line)
+    every.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = REGISTRY["activity_runs"].build(Tables(spark, str(tmp_path)))
+    assert plan(found).count("Exchange") == 1
+    week = 7 * 86_400 * 10**9
+    got = sorted((r["tid"], r["cmds"], (r["end_ns"] - r["begin_ns"]) // week) for r in found.collect())
+    assert got == [(2, 1, 1), (2, 3, 3), (3, 1, 1), (3, 3, 3)]
