@@ -16,7 +16,8 @@ from iotrail.functions.scalar import (
 )
 from iotrail.operators.asof import asof_join
 from iotrail.operators.blocks import count_if
-from iotrail.operators.scan import Previous, RunningSum, Scan
+from iotrail.operators.scan import Previous, RunningMax, RunningSum, Scan
+from iotrail.session import pin
 
 PAGE = 4096
 
@@ -151,9 +152,13 @@ def footprint(faults: DataFrame, direct: DataFrame, cap_pages: int | None = None
     if cap_pages is not None:
         end = F.least(end, start + cap_pages)
     ranges = direct.select("dev", "ino", start.alias("_s"), end.alias("_e")).filter("_e > _s")
-    spans = ranges.select("dev", "ino", F.explode(F.sequence("_s", F.col("_e") - 1)).alias("page"))
-    pages = faults.select("dev", "ino", F.col("pgoff").alias("page")).unionByName(spans)
-    distinct = pages.distinct().groupBy("dev", "ino").agg(F.count(F.lit(1)).alias("unique_pages"))
+    single = faults.select("dev", "ino", F.col("pgoff").alias("_s"), (F.col("pgoff") + 1).alias("_e"))
+    # A range adds the pages behind all earlier ends; ranges don't become pages.
+    spans = single.unionByName(ranges).groupBy("dev", "ino", "_s").agg(F.max("_e").alias("_e"))
+    reached = Scan(pin(spans), ["dev", "ino"], ["_s"]).add(RunningMax("_reach", F.col("_e"), exclusive=True)).df
+    # A page without number is one page.
+    fresh = F.when(F.col("_s").isNull(), 1).otherwise(F.greatest(F.col("_e") - F.greatest("_s", "_reach"), F.lit(0)))
+    distinct = reached.groupBy("dev", "ino").agg(F.sum(fresh).alias("unique_pages"))
     return distinct.withColumn("footprint_bytes", F.col("unique_pages") * PAGE)
 
 

@@ -11,6 +11,7 @@ from iotrail.operators.scan import RunningSum, Scan
 from iotrail.plans.blocks import r6, rounded
 from iotrail.plans.objects import DAY
 from iotrail.plans.registry import Tables, micros, query
+from iotrail.session import pin
 
 
 def faults(t: Tables) -> DataFrame:
@@ -231,7 +232,7 @@ def page_footprint(t: Tables) -> DataFrame:
  FROM fi LEFT JOIN dm USING (dev, ino) LEFT JOIN fo USING (dev, ino) LEFT JOIN ra USING (dev, ino) LEFT JOIN us USING (dev, ino)""",
 )
 def amplification_ladder(t: Tables) -> DataFrame:
-    done = _completed(t)
+    done = pin(_completed(t))  # read twice
     useful = A.direct_io(
         t.lineitem.select(
             (F.col("l_suppkey") % 3).alias("dev"),

@@ -93,3 +93,14 @@ def test_weekly_rows_are_shuffled_once(spark, tmp_path):
     week = 7 * 86_400 * 10**9
     got = sorted((r["tid"], r["cmds"], (r["end_ns"] - r["begin_ns"]) // week) for r in found.collect())
     assert got == [(2, 1, 1), (2, 3, 3), (3, 1, 1), (3, 3, 3)]
+
+
+def test_footprint_of_ranges(spark):
+    faults = spark.createDataFrame([(0, 1, 3), (0, 1, 3), (0, 1, 9), (0, 1, None), (0, 1, None), (None, 2, 1)], "dev long, ino long, pgoff long")
+    direct = spark.createDataFrame(
+        [(0, 1, 0, 4096 * 4), (0, 1, 4096 * 2 + 5, 4096 * 4), (0, 1, 4096 * 2, 1), (0, 1, 4096 * 20, 0), (5, 5, 1 << 40, 1 << 50)], "dev long, ino long, pos long, count long"
+    )
+    found = A.footprint(faults, direct)
+    assert "Generate" not in plan(found)
+    got = {(r["dev"], r["ino"]): r["unique_pages"] for r in found.collect()}
+    assert got == {(0, 1): 7 + 1 + 1, (None, 2): 1, (5, 5): 1 << 38}
