@@ -1,194 +1,206 @@
-"""Stupid-backoff language model scores, computed with joins.
+"""Stupid-backoff language model scores.
 
 Grams of up to ``order`` words are counted over all documents. The last word of a gram g with the context v scores log(C(g) / C(v)) if
-the gram is known, else log(backoff) more than the gram without its first word, down to log(C(w) / N) for a single word. So a document's
-score is the sum of its words' scores backed off all the way plus, for every gram that is known, what it gains over backing off once.
-All sums are joins of (document, gram, count) rows with a count table on the gram:
-
-* words: counts per word; words joined with them; summed per document;
-* longer grams, order by order: one shuffle by the gram serves both the counts and the join. A gram of k words is the pair of its first
-  and its last k - 1 words. Known grams get the counts of the two by joining the table of the order below twice, which is done on
-  distinct grams only.
-
-Every counted gram is known, so no gram of a counted document backs off, and what the steps down to a single word would add and take
-away again is left out: a document's score is the sum of log C(g) over its grams of ``order`` words less the sum of log C(v) over their
-contexts, one exchange each that serves both the counts and the join. With ``shared`` only those grams are known that two documents or
-more have, and the others back off; as that holds for every part of such a gram, too, the sums stay the same. The grams are taken in
-``PASSES`` passes by hash, so that no more than a share of them is on disk at once. Grams are counted within a document before they are
-shuffled. Grams that more than a ``COMMON``-th of a sample of the documents have are counted first (there are at most ``COMMON`` times as many
-as a document has on average); their counts are broadcast, and their rows go to ``SALTS`` tasks by the document. The sample only decides
-where rows go. Words and inner grams are 64-bit hashes; the odds that two of a billion different ones meet are about 3 %.
+the gram is known, else log(backoff) more than the gram without its first word, down to log(C(w) / N) for a single word. Every word of
+every document takes these steps: the counts of its grams of all sizes are looked up, and it goes down from the longest until one is known.
+
+* Documents are packed into blocks of some ``BLOCK_WORDS`` words, which are written once: the hashes of a block's distinct words, and
+  words as numbers among them.
+* Each block sends its distinct grams of each size with their counts, ordered by hash and cut into as many ranges of hashes as the corpus
+  needs (``RANGE_GRAMS`` grams on average). A range's counts are added up across blocks in one task, and go back in the order they came.
+  However frequent a gram is, a block sends it once, so no range is hot. The ranges are taken in ``passes`` passes, so that no more than
+  a share of the grams is on disk at once.
+* A block scores its words from the counts that came back.
+
+A gram is known if a counted document has it; with ``shared``, one of several words only if two counted documents or more have it. Words
+and grams are 64-bit hashes; the odds that two of a billion different ones meet are about 3 %.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from iotrail.llm.common import pin_and_free, quoted, word_count
+from iotrail.llm.common import pin_and_free, quoted
 
 PASSES = 2
-COMMON = 50
-SALTS = 64
-#: One of so many documents is looked at for common grams.
-SAMPLE = 64
 BACKOFF = 0.4
+#: Words of a block; a longer document is a block of its own.
+BLOCK_WORDS = 1_000_000
+#: Grams of one size that a range of hashes has on average, at most.
+RANGE_GRAMS = 2_000_000
 #: Stands before the first word of a document; grams of nothing else have this hash, too.
 START = 0
 
-
-def _hashes(text: str | None) -> np.ndarray:
-    """Hashes of the words of a text in order, A-Z lower-cased."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # of bytes, both only know ASCII
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+BLOCK = "block long, ids array<long>, counted binary, lengths binary, vocabulary binary, words binary, n_docs long, n_words long, n_counted long"
 
 
 def _mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ w.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _exploded(docs: DataFrame, doc_id: str, text: str, size: int, inner: bool = False, part: int = 0, parts: int = 1) -> DataFrame:
-    """(``doc_id``, [``v``,] ``w``, ``n``[, ``gram``]): the distinct words, or the distinct grams of ``size`` words of one pass, of each row.
-
-    ``v`` and ``w`` are the hashes of a gram without its last and its first word. Words come with ``START`` once, and so do ``inner``
-    grams, which also have a hash of their own, ``gram``.
-    """
-    names = ["doc_id", "v", "w", "n", "gram"] if inner else ["doc_id", "v", "w", "n"] if size > 1 else ["doc_id", "w", "n"]
-
-    def grams(text: str | None) -> list[np.ndarray]:
-        w = _hashes(text)
-        if size == 1:
-            found, n = np.unique(w, return_counts=True)
-            return [np.append(found, START), np.append(n, 1)] if len(w) else [found, n]
-        if len(w):
-            w = np.concatenate([np.full(size if inner else size - 1, START, np.int64), w])
-            for _ in range(size - 2):
-                w = _mixed(w[:-1], w[1:]).view(np.int64)
-        v, w = w[:-1], w[1:]
-        mix = _mixed(v, w)
-        here = (mix >> np.uint64(40)) % np.uint64(parts) == np.uint64(part)
-        found, at, n = np.unique(mix[here], return_index=True, return_counts=True)
-        return [v[here][at], w[here][at], n, *([found.view(np.int64)] if inner else [])]
-
-    return _each(_rows(docs, doc_id, text), grams, names)
-
-
-def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
-
+    return (v * np.uint64(0x9E3779B97F4A7C15) ^ w) * np.uint64(0xBF58476D1CE4E5B9)
 
-def _contexts(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(``doc_id``, ``w``, ``n``, ``m``): the distinct grams of ``size`` words of each row, how often it has them, and how often as a context."""
 
-    def grams(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        w = _hashes(text)
-        if not len(w):
-            return w, w, w
-        w = np.concatenate([np.full(size, START, np.int64), w])
-        for _ in range(size - 1):
-            w = _mixed(w[:-1], w[1:]).view(np.int64)
-        found, n = np.unique(w, return_counts=True)
-        return found, n, n - (found == w[-1])
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of the documents ``rows`` (id, text, whether it is counted), with their counted documents that have words, and words."""
 
-    return _each(_rows(docs, doc_id, text), grams, ["doc_id", "w", "n", "m"])
-
-
-def _each(rows: DataFrame, grams: Callable, names: list[str]) -> DataFrame:
-    """(``doc_id``, the columns that ``grams`` gives for its text)."""
+    def packed(number: int, ids: list, counted: list, parts: list[np.ndarray], vocabulary: dict[bytes, int]) -> pa.RecordBatch:
+        lengths = np.array([len(p) for p in parts], np.int64)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), np.uint64, len(vocabulary))
+        words = np.concatenate(parts).astype(_kind(len(hashes)))
+        marks = np.array(counted, bool)
+        values = [number, ids, marks.tobytes(), lengths.tobytes(), hashes.tobytes(), words.tobytes(), int((marks & (lengths > 0)).sum()), len(words), int(lengths[marks].sum())]
+        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, *[pa.int64()] * 3]
+        names = [c.split()[0] for c in BLOCK.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                found = [grams(t.as_py()) for t in part.column(1)]
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found])))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate([f[k] for f in found]).astype(np.int64)) for k in range(len(names) - 1))], names=names)
-
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
-
+        numbers = count(TaskContext.get().partitionId() << 32)
 
-def _common(docs: DataFrame, doc_id: str, exploded: Callable[[DataFrame], DataFrame], key: list[str]) -> DataFrame:
-    """(``key``, ``whole``): the counts over all documents of the grams that many documents of a sample have."""
-    some = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(SAMPLE)) == 0)
-    held = exploded(some).groupBy(*key).agg(F.count(F.lit(1)).alias("held"))
-    common = pin_and_free(held.where(F.col("held") * COMMON > max(some.count(), COMMON)).select(*key))
-    return pin_and_free(exploded(docs).join(F.broadcast(common), key).groupBy(*key).agg(F.sum("n").alias("whole")))
+        def empty() -> tuple[list, list, list, defaultdict]:
+            return [], [], [], defaultdict(count().__next__)
 
+        held, (ids, counted, parts, vocabulary) = 0, empty()
+        for batch in batches:
+            for key, text, mark in zip(*batch.columns, strict=True):
+                text = text.as_py()
+                found = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # of bytes, both only know ASCII
+                ids.append(key.as_py())
+                counted.append(bool(mark.as_py()))
+                parts.append(np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found)).astype(np.uint32))
+                held += len(found)
+                if held >= BLOCK_WORDS or len(ids) >= BLOCK_WORDS:
+                    yield packed(next(numbers), ids, counted, parts, vocabulary)
+                    held, (ids, counted, parts, vocabulary) = 0, empty()
+        if ids:
+            yield packed(next(numbers), ids, counted, parts, vocabulary)
+
+    return rows.mapInArrow(run, BLOCK)
+
+
+def _kind(distinct: int) -> type:
+    return np.uint16 if distinct <= 1 << 16 else np.uint32
+
+
+def _grams(block: dict, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each word of a block, its document's place and, size by size, the hash of the gram that ends with it."""
+    lengths, vocabulary = np.frombuffer(block["lengths"], np.int64), np.frombuffer(block["vocabulary"], np.uint64)
+    words = np.frombuffer(block["words"], _kind(len(vocabulary)))
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(words)) + (order - 1) * (doc + 1)
+    gram = np.full(len(words) + (order - 1) * len(lengths), START, np.uint64)
+    gram[at] = vocabulary[words]
+    sizes = [gram[at]]
+    for _ in range(order - 1):
+        gram = np.concatenate([np.zeros(1, np.uint64), _mixed(gram[:-1], gram[1:])])
+        sizes.append(gram[at])
+    return doc, sizes
+
+
+def _sent(blocks: DataFrame, order: int, shared: bool, ranges: int, part: int, parts: int) -> DataFrame:
+    """(``block``, ``size``, ``range``, ``grams``, ``n``, ``low``, ``high``): the distinct grams of each block and how often its counted
+    documents have them, for the ranges of one pass; with ``shared``, also the least and the greatest id of those documents."""
+    names = ["block", "size", "range", "grams", "n", "low", "high"]
 
-def _summed(rows: DataFrame, common: DataFrame, key: list[str], times: str) -> DataFrame:
-    """(``doc_id``, ``s``): the sum of ``times`` log C over the grams of each document, C being the sum of ``n``.
-
-    Counts and documents meet in one exchange: the rows of a gram lie together, sorted, and get their sum in place. Common grams bring
-    theirs along and are spread by the document.
-    """
-    salt = F.when(F.col("whole").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS))).otherwise(-1).cast("int")
-    dealt = rows.join(F.broadcast(common), key, "left").withColumn("salt", salt).repartition(*key, "salt")
-    here = F.sum("n").over(Window.partitionBy(*key, "salt"))
-    return dealt.withColumn("c", F.coalesce("whole", here)).groupBy("doc_id").agg(F.sum(F.col(times) * F.log("c")).alias("s"))
-
-
-def _complete(docs: DataFrame, doc_id: str, text: str, passes: int, order: int) -> list[DataFrame]:
-    """Parts (``doc_id``, ``s``, ``n_words``) of the scores if every counted gram is known."""
-    none = F.lit(0).cast("long").alias("n_words")
-    contexts = lambda some: _contexts(some, doc_id, text, order - 1)
-    grams = lambda some, part=0, parts=1: _exploded(some, doc_id, text, order, False, part, parts)
-    less = _summed(contexts(docs), _common(docs, doc_id, contexts, ["w"]), ["w"], "m")
-    done = [pin_and_free(less.select("doc_id", (-F.col("s")).alias("s"), none))]
-    common = _common(docs, doc_id, grams, ["v", "w"])
-    for part in range(passes):
-        done.append(pin_and_free(_summed(grams(docs, part, passes), common, ["v", "w"], "n").select("doc_id", "s", none)))
-    return [*done, docs.select(quoted(doc_id).cast("long").alias("doc_id"), F.lit(0.0).alias("s"), word_count(quoted(text).cast("string")).alias("n_words"))]
-
-
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", backoff: float = BACKOFF, passes: int = PASSES, order: int = 2, shared: bool = False) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in (b for batch in batches for b in batch.to_pylist()):
+            doc, sizes = _grams(block, order)
+            marks = np.frombuffer(block["counted"], bool)
+            ids = np.array([-(2**63) if i is None else i for i in block["ids"]], np.int64)
+            for size, grams in enumerate(sizes, 1):
+                columns = list(np.unique(grams, return_counts=True))
+                if not marks.all() or (shared and size > 1):
+                    mine = marks[doc]
+                    place, owner = np.searchsorted(columns[0], grams[mine]), ids[doc[mine]]
+                    columns[1] = np.bincount(place, minlength=len(columns[0]))
+                if shared and size > 1:
+                    columns += [np.full(len(columns[0]), 2**63 - 1, np.int64), np.full(len(columns[0]), -(2**63), np.int64)]
+                    np.minimum.at(columns[2], place, owner)
+                    np.maximum.at(columns[3], place, owner)
+                columns[1] = columns[1].astype(np.int64)
+                ends = np.searchsorted(_range_of(columns[0], ranges), np.arange(ranges + 1))
+                here = [r for r in range(part, ranges, parts) if ends[r] < ends[r + 1]]
+                blobs = [pa.array([c[ends[r] : ends[r + 1]].tobytes() for r in here], pa.binary()) for c in columns]
+                blobs += [pa.nulls(len(here), pa.binary())] * (4 - len(blobs))
+                fixed = [pa.array([v] * len(here), pa.int64()) for v in (block["block"], size)]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(here, pa.int64()), *blobs], names=names)
+
+    return blocks.mapInArrow(run, "block long, size long, range long, grams binary, n binary, low binary, high binary")
+
+
+def _range_of(grams: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of hashes, of so many of like width, that each gram is in."""
+    return (grams >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """The grams of one size and range with the counts of all blocks, in the order each block has sent them; unknown ones have 0."""
+    joined = lambda name, kind: np.concatenate([np.frombuffer(b, kind) for b in table[name].to_pylist()])
+    found, place = np.unique(joined("grams", np.uint64), return_inverse=True)
+    whole = np.zeros(len(found), np.int64)
+    np.add.at(whole, place, joined("n", np.int64))
+    if table["low"][0].is_valid:
+        low, high = np.full(len(found), 2**63 - 1, np.int64), np.full(len(found), -(2**63), np.int64)
+        np.minimum.at(low, place, joined("low", np.int64))
+        np.maximum.at(high, place, joined("high", np.int64))
+        whole[low >= high] = 0
+    ends = np.cumsum([len(b) // 8 for b in table["grams"].to_pylist()])
+    back = [c.tobytes() for c in np.split(whole[place], ends[:-1])]
+    return table.select(["block", "size", "range"]).append_column("whole", pa.array(back, pa.binary()))
+
+
+def scores(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", backoff: float = BACKOFF, passes: int = PASSES, order: int = 2, shared: bool = False, counted: Column | None = None
+) -> DataFrame:
     """``doc_id``, ``n_words``, ``log_score`` (natural logarithm, summed) and ``mean_log_score`` (per word) for every document.
 
     The model has grams of up to ``order`` words; with ``shared``, grams of several words count only if two documents or more have them.
-    Rows that repeat an id, or have none, make one document, whose words are added up. Documents without words score 0 and have no mean.
-    An empty table gives an empty result.
+    The documents where ``counted`` holds make the model, by default all; the others are only scored, and a word that no counted document
+    has scores like one that they have once. Rows that repeat an id, or have none, make one document, whose words are added up. Documents
+    without words score 0 and have no mean. An empty table gives an empty result.
     """
     if order < 1:
         raise ValueError("order must be 1 or more")
-    if order > 1 and not shared:
-        return _totals(docs, doc_id, _complete(docs, doc_id, text, passes, order))
-    words = _exploded(docs, doc_id, text, 1)
-    table = pin_and_free(words.groupBy("w").agg(F.sum("n").alias("c")))
-    is_word = F.col("w") != START
-    total = table.where(is_word).agg(F.sum("c")).first()[0] or 1
-    base = F.log(F.lit(backoff ** (order - 1)) * F.col("c") / F.lit(float(total)))
-    sums = [pin_and_free(words.where(is_word).join(table.hint("shuffle_hash"), "w").groupBy("doc_id").agg(F.sum(F.col("n") * base).alias("s"), F.sum("n").alias("n_words")))]
-    lower = table.withColumn("score", F.log(F.lit(backoff) * F.col("c") / F.lit(float(total))))
-    for size in range(2, order + 1):
-        inner, tables = size < order, []
-        for part in range(passes):
-            # Both the counts and the join below start from this exchange; it is written once.
-            grams = _exploded(docs, doc_id, text, size, inner, part, passes).repartition("v", "w")
-            counts = [F.sum("n").alias("c"), *([F.first("gram").alias("gram")] if inner else [])]
-            named = F.coalesce("doc_id", F.lit(-(2**63)))
-            known = grams.groupBy("v", "w").agg(*counts, F.min(named).alias("low"), F.max(named).alias("high")).where("low < high").drop("low", "high")
-            known = known.join(lower.select(F.col("w").alias("v"), F.col("c").alias("c_v")), "v").join(lower.select("w", F.col("score").alias("backed_off")), "w")
-            score = F.log(F.col("c") / F.col("c_v"))
-            gains = known.select("v", "w", (score - F.col("backed_off")).alias("gain"))
-            if inner:
-                tables.append(pin_and_free(known.select(F.col("gram").alias("w"), "c", (score + F.log(F.lit(backoff))).alias("score"))))
-                grams = grams.where(F.col("gram") != START)
-            # A partition's share of the known grams is hashed, so that the many rows need no sort.
-            joined = grams.join(gains.hint("shuffle_hash"), ["v", "w"])
-            sums.append(pin_and_free(joined.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("gain")).alias("s"), F.lit(0).cast("long").alias("n_words"))))
-        if inner:
-            lower = reduce(DataFrame.unionByName, tables)
-    return _totals(docs, doc_id, sums)
-
-
-def _totals(docs: DataFrame, doc_id: str, sums: list[DataFrame]) -> DataFrame:
-    every = docs.select(quoted(doc_id).cast("long").alias("doc_id"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n_words"))
-    for part in sums:
-        every = every.unionByName(part.select("doc_id", "s", "n_words"))
+    mark = F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))
+    blocks = pin_and_free(_blocks(docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"), mark.alias("counted"))))
+    n_blocks, n_docs, n_words, total = blocks.agg(F.count("block"), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_docs", "n_words", "n_counted"))).first()
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(tasks, -(-n_words // RANGE_GRAMS))
+
+    def lookup(part: int) -> DataFrame:
+        sent = _sent(blocks, order, shared, ranges, part, passes).repartition(max(tasks, -(-ranges // passes)), "range")
+        return pin_and_free(sent.groupBy("range", "size").applyInArrow(_counted, "block long, size long, range long, whole binary"))
+
+    def score(block: pa.Table, known: pa.Table) -> pa.Table:
+        block = block.to_pylist()[0]
+        doc, sizes = _grams(block, order)
+        first = np.diff(doc, prepend=-1) > 0
+        known = known.sort_by([("size", "ascending"), ("range", "ascending")]).to_pydict()
+        at, before = np.zeros(0), np.zeros(0)
+        for size, grams in enumerate(sizes, 1):
+            whole = b"".join(b for s, b in zip(known["size"], known["whole"], strict=True) if s == size)
+            here = np.frombuffer(whole, np.int64)[np.unique(grams, return_inverse=True)[1]]
+            if size == 1:
+                at = np.log(np.maximum(here, 1) / max(total, 1))
+            else:
+                context = np.where(first, n_docs, np.roll(before, 1))
+                is_known = here > 0
+                at = np.where(is_known, np.log(np.where(is_known, here, 1) / np.where(is_known, context, 1)), np.log(backoff) + at)
+            before = here
+        lengths = np.frombuffer(block["lengths"], np.int64)
+        sums = np.bincount(doc, weights=at, minlength=len(lengths))
+        return pa.table({"doc_id": pa.array(block["ids"], pa.int64()), "s": sums, "n_words": lengths})
+
+    known = reduce(DataFrame.unionByName, [lookup(part) for part in range(passes)])
+    tasks = max(tasks, n_blocks)
+    sides = [df.repartition(tasks, "block").groupBy("block") for df in (blocks, known)]
+    every = sides[0].cogroup(sides[1]).applyInArrow(score, "doc_id long, s double, n_words long")
     out = every.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("log_score"))
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -353,6 +353,36 @@ def test_backoff_by_force(spark, order, shared):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_backoff_of_documents_that_are_not_counted(spark, order, monkeypatch):
+    """Documents outside the model back off, step by step, where it doesn't know their grams; small blocks and ranges give the same."""
+    rng = random.Random(13)
+    texts = {k: " ".join(rng.choices("abcdef", k=rng.randint(1, 12))) for k in range(14)} | {20: "a q b c d", 21: "", 22: "q q", 23: None}
+    padded = {k: ["<s>"] * (order - 1) + t.split() for k, t in texts.items() if t}
+    count = {}
+    for k, w in padded.items():
+        for size in range(1, order + 1):
+            for i in range(len(w) - size + 1 if k < 8 else 0):
+                count[tuple(w[i : i + size])] = count.get(tuple(w[i : i + size]), 0) + 1
+    total = sum(c for g, c in count.items() if len(g) == 1 and g != ("<s>",))
+
+    def score(gram):
+        if len(gram) == 1:
+            return np.log(max(count.get(gram, 0), 1) / total)
+        if gram in count:
+            return np.log(count[gram] / (8 if gram[:-1] == ("<s>",) * (len(gram) - 1) else count[gram[:-1]]))
+        return np.log(0.4) + score(gram[1:])
+
+    want = {k: sum(score(tuple(w[i - order + 1 : i + 1])) for i in range(order - 1, len(w))) for k, w in padded.items()} | {21: 0, 23: 0}
+    assert any(tuple(w[i : i + order]) not in count for k, w in padded.items() if 8 <= k < 20 for i in range(len(w) - order + 1))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    for words, grams in ((lm.BLOCK_WORDS, lm.RANGE_GRAMS), (10, 5)):
+        monkeypatch.setattr(lm, "BLOCK_WORDS", words)
+        monkeypatch.setattr(lm, "RANGE_GRAMS", grams)
+        got = {r["doc_id"]: r["log_score"] for r in lm.scores(frame, order=order, counted=F.col("doc_id") < 8).collect()}
+        assert got == pytest.approx(want)
+
+
 def test_every_known_notice_in_a_text(spark):
     """Each notice is found as a line among others, whether it has the word licence or not, in any spelling."""
     known = dict.fromkeys(t for _, t in licenses.known_texts() if "\n" not in t)
