@@ -2,8 +2,12 @@
 
 import json
 import random
+from types import SimpleNamespace
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from iotrail import schemas
 from iotrail.operators import heat as H
@@ -128,6 +132,61 @@ def test_a_full_table_evicts_the_oldest(spark, tmp_path):
     assert {o for _, o, _, _ in got} >= {"evicted", "expired", "paired"}
 
 
+class Kept:
+    """A list of state values in memory."""
+
+    def __init__(self):
+        self.values = []
+
+    def get(self):
+        return iter(self.values)
+
+    def put(self, values):
+        self.values = list(values)
+
+    def appendValue(self, value):
+        self.values.append(value)
+
+    def clear(self):
+        self.values = []
+
+
+class Handle:
+    def __init__(self):
+        self.lists, self.timers = {}, []
+
+    def getListState(self, name, schema):
+        return self.lists.setdefault(name, Kept())
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+@pytest.mark.parametrize("kind", [LongType(), StringType()])
+def test_waiting_events_are_no_python_objects(kind, monkeypatch):
+    """A large micro-batch waits in pieces of columns, and comes out in pieces."""
+    monkeypatch.setattr(jobs, "EVENTS_AT_ONCE", 100)
+    rng = random.Random(5)
+    rows = [(rng.randrange(12), (i + 1) * S, rng.random() < 0.7) for i in range(950)]
+    rows = [(str(k) if isinstance(kind, StringType) else k, ts, is_start) for k, ts, is_start in rows]
+    mixed = pd.DataFrame(rng.sample(rows, len(rows)), columns=["k", "ts_ns", "is_start"])
+    pairs, handle = jobs.BoundedPairs("device", "k", ("bigint", kind.simpleString()), 15 * S, 4, kind), Handle()
+    pairs.init(handle)
+    times = lambda mark: SimpleNamespace(getCurrentWatermarkInMs=lambda: mark)
+    assert not list(pairs.handleInputRows((0,), iter([mixed[:500], mixed[500:]]), times(0)))
+    assert len(handle.lists["waiting"].values) <= 12 and handle.timers == [1001]
+    found = [f for mark in (400_500, 8 * 10**15) for f in pairs.handleExpiredTimer((0,), times(mark), None)]
+    assert len(found) > 5 and not handle.lists["waiting"].values and not handle.timers
+    got = [(r.k, r.outcome, r.start_ns, None if pd.isna(r.end_ns) else r.end_ns) for f in found for r in f.itertuples()]
+    assert sorted(got, key=str) == bounded_by_force(rows, 4, 15 * S)
+
+
 def test_timers_expire_starts_without_further_rows(spark, tmp_path):
     rows = [(1, 10 * S, True, 0, 0), (2, 11 * S, True, 0, 0), (2, 13 * S, False, 0, 0), (3, 100 * S, True, 0, 0), (4, 200 * S, True, 0, 0)]
     write_parts(spark, str(tmp_path), rows, 5)
