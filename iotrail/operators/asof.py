@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from iotrail.functions.scalar import int_div
+from iotrail.operators import scan
 from iotrail.operators.scan import LastSeen, Scan
 
 
@@ -31,6 +32,8 @@ def asof_join(
     """
     sign = -1 if forward else 1
     right_tie = [F.col(c) for c in tie]
+    # Columns of the left side stay columns, so that those nobody asks for later aren't shuffled; its position is kept once.
+    held = [c for c in left.columns if c not in keys and c != left_on]
     rows_r = right.select(
         *keys,
         (F.col(right_on) * sign).alias("_at"),
@@ -38,18 +41,20 @@ def asof_join(
         *[c.alias(f"_tie{i}") for i, c in enumerate(right_tie)],
         F.struct(*[F.col(c).alias(n) for c, n in take.items()]).alias("_hit"),
     )
-    rows_l = left.select(
-        *keys,
-        (F.col(left_on) * sign).alias("_at"),
-        F.lit(1).alias("_side"),
-        F.struct(*left.columns).alias("_row"),
-    )
+    rows_l = left.select(*keys, (F.col(left_on) * sign).alias("_at"), F.lit(1).alias("_side"), *held)
+    order = ["_at", "_side", *[f"_tie{i}" for i in range(len(right_tie))]]
+    if chunked is None:
+        sizes = rows_r.select(*keys).unionByName(rows_l.select(*keys))
+        chunked = not keys or scan.exceeds(sizes, keys, scan.ROWS_PER_TASK)
+    if chunked:
+        # Left rows at one position are spread by a hash of what they hold, so that a hot position is no single chunk.
+        rows_l = rows_l.withColumn("_mix", F.xxhash64(*(held or ["_at"])))
+        order.append("_mix")
     both = rows_r.unionByName(rows_l, allowMissingColumns=True)
-    # Left rows at one position are spread by a hash of what they hold, so that a hot position is no single chunk.
-    both = both.withColumn("_mix", F.xxhash64("_row"))
-    order = ["_at", "_side", *[f"_tie{i}" for i in range(len(right_tie))], "_mix"]
     seen = Scan(both, keys, order, chunked).add(LastSeen("_seen", F.col("_hit"))).df
-    return seen.filter("_side = 1").select("_row.*", *[f"_seen.{n}" for n in take.values()])
+    at = (F.col("_at") * sign).cast(left.schema[left_on].dataType).alias(left_on)
+    columns = [at if c == left_on and c not in keys else c for c in left.columns]
+    return seen.filter("_side = 1").select(*columns, *[f"_seen.{n}" for n in take.values()])
 
 
 def range_join(

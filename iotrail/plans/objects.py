@@ -287,7 +287,7 @@ def objects_in_flight(t: Tables) -> DataFrame:
 )
 def objects_in_flight_overlap(t: Tables) -> DataFrame:
     """Spans that overlap the second quarter of the trace."""
-    spans = _spans(t)
+    spans = pin(_spans(t).select("trace_id", "begin_ns", "end_ns"))  # read for the quantiles, too
     ranked = quantiles(spans, [], "begin_ns", {"a": 0.25, "b": 0.5}, nearest=True)
     low, high = ranked.select("a", "b").first()
     keep = (F.col("end_ns") >= low) & (F.col("begin_ns") <= high)
@@ -743,6 +743,7 @@ def cumulative_device_bytes(t: Tables) -> DataFrame:
 )
 def object_timeline(t: Tables) -> DataFrame:
     """Spans, instants, late marks, flows and the count of objects in flight in one drawing order."""
-    spans = pin(_spans(t))
+    names = "obj_key trace_id bytes n_cmds cmd_bytes first_slba last_slba first_cmd_ns last_cmd_ns ts_ns begin_ns end_ns late is_span"
+    spans = pin(_spans(t).select(*names.split()))
     counters = series.inflight(spans, "begin_ns", "end_ns").select(F.col("ts").alias("ts_ns"), F.lit("objects in flight").alias("name"), F.col("open").alias("value"))
     return O.timeline(spans, counters)

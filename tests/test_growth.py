@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from iotrail.operators import blocks as B
 from iotrail.operators import pages as G
 from iotrail.operators import readamp as A
+from iotrail.operators.asof import asof_join
+from iotrail.plans import objects
 from iotrail.plans.registry import REGISTRY, Tables
 
 
@@ -104,3 +106,36 @@ def test_footprint_of_ranges(spark):
     assert "Generate" not in plan(found)
     got = {(r["dev"], r["ino"]): r["unique_pages"] for r in found.collect()}
     assert got == {(0, 1): 7 + 1 + 1, (None, 2): 1, (5, 5): 1 << 38}
+
+
+def objects_and_commands(spark, tmp_path):
+    """Three operations on two keys, with two commands each."""
+    orders = [(k, k % 2, "O", 10.5, f"2020-01-{k + 1:02d}") for k in range(3)]
+    orders = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, day string")
+    orders.select("*", F.to_timestamp("day").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(k, 1, 1, n, 2.0, "R", f"2020-01-{k + n:02d}") for k in range(3) for n in (1, 2)]
+    lines = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, day string")
+    lines.select("*", F.to_timestamp("day").alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    return Tables(spark, str(tmp_path))
+
+
+def test_spans_shuffle_what_is_asked_for(spark, tmp_path):
+    t = objects_and_commands(spark, tmp_path)
+    narrow = plan(objects._spans(t).select("trace_id", "begin_ns", "end_ns"))
+    assert "Window" in narrow and not any(name in narrow for name in ("l_quantity", "l_returnflag", "o_totalprice"))
+    found = REGISTRY["objects_in_flight_overlap"].build(t)
+    assert "Window" not in plan(found) and "Join" not in plan(found)  # spans are worked out once
+    # Spans begin on days 1, 2 and 3; the quantiles by rank are the first two.
+    assert sorted(r["trace_id"] for r in found.collect()) == [1, 2]
+
+
+def test_asof_join_without_what_nobody_reads(spark):
+    left = spark.createDataFrame([("a", 1, 5, "x"), ("a", 2, 9, "y"), (None, 3, 9, "z"), ("b", 4, None, "w")], "k string, id int, at int, wide string")
+    right = spark.createDataFrame([("a", 5, 1), ("a", 6, 2), (None, 8, 3), ("b", 1, 4)], "k string, since int, v int")
+    for forward, want in ((False, {1: 1, 2: 2, 3: 3, 4: None}), (True, {1: 1, 2: None, 3: None, 4: None})):
+        for chunked in (None, True):
+            found = asof_join(left, right, ["k"], "at", "since", {"v": "v"}, forward=forward, chunked=chunked)
+            assert [(f.name, f.dataType) for f in found.schema][:4] == [(f.name, f.dataType) for f in left.schema]
+            assert {r["id"]: r["v"] for r in found.collect()} == want
+            assert {r["id"]: (r["k"], r["at"], r["wide"]) for r in found.collect()} == {r["id"]: (r["k"], r["at"], r["wide"]) for r in left.collect()}
+    assert plan(asof_join(left, right, ["k"], "at", "since", {"v": "v"}).select("id", "v")).count("wide") == 1  # in the table itself
