@@ -10,8 +10,10 @@ from iotrail.functions import scalar as S
 from iotrail.operators import counters as C
 from iotrail.operators.blocks import count_if
 from iotrail.operators.pairing import consuming_pairs
+from iotrail.operators.scan import dealt
 from iotrail.plans.blocks import r6, rounded
 from iotrail.plans.registry import Tables, query
+from iotrail.session import pin
 from iotrail.sources import records, text
 
 
@@ -112,7 +114,9 @@ def nvme_lines(t: Tables) -> DataFrame:
     setup = F.concat(head, F.lit("nvme_setup_cmd: nvme0:"), disk, ids, F.lit(", nsid=1, flags=0x0, cmd=("), op, args, F.lit(")"))
     status = F.when(k % 50 == 1, "0x281").otherwise("0x0")
     done = F.concat(head, F.lit("nvme_complete_rq: nvme0:"), disk, ids, F.lit(", res=0, status="), status)
-    return t.sysev.select(F.when(S.int_div(k, 4) % 2 == 0, setup).otherwise(done).alias("value"), "event_id")
+    # Cutting lines is what takes time, and a table may be few files.
+    events = dealt(t.sysev, ["event_id", "ts_ns"])
+    return events.select(F.when(S.int_div(k, 4) % 2 == 0, setup).otherwise(done).alias("value"), "event_id")
 
 
 NVME_SQL = """
@@ -127,9 +131,10 @@ pr AS (SELECT event_id, pop op, status, pslba slba, pnlb * 4096 bytes, pslba * 8
 
 
 def nvme_pairs(t: Tables) -> DataFrame:
+    """Lines are cut once: the pairs are looked for in what is written."""
     events = text.ftrace_nvme(nvme_lines(t))
     extent = S.nvme_extent(F.col("cmd"), 4096)
-    events = events.withColumns({"op": S.nvme_class(F.col("cmd")), **extent})
+    events = pin(events.withColumns({"op": S.nvme_class(F.col("cmd")), **extent}).drop("cmd", "disk", "nsid"))
     starts = F.col("action") == "setup"
     carry = ["ts_ns", "op", "slba", "bytes", "sector512"]
     pairs = consuming_pairs(events, ["ctrl", "qid", "cmdid"], ["ts_ns", "event_id"], starts, carry)

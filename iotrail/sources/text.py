@@ -178,7 +178,8 @@ def command_fields(line: Column, event: str) -> Column:
     tail = behind(line, event + ":")
     command = F.coalesce(F.substring_index(behind(tail, "cmd=("), ")", 1), F.lit(""))
 
-    def cut(w: Column) -> Column:
+    def cut(parts: Column) -> Column:
+        w, at = parts["w"], parts["at"]
         controller, second = F.rtrim(w[0], F.lit(":")), F.coalesce(F.get(w, F.lit(1)), F.lit(""))
         disk = F.when(second.contains("=") | ~F.lower(second).startswith("nvme"), field_value(w, "disk")).otherwise(second)
         qid, cmdid = field_value(w, "qid"), field_value(w, "cmdid")
@@ -186,8 +187,9 @@ def command_fields(line: Column, event: str) -> Column:
         given = [F.substr(controller, F.lit(5)), disk, qid, cmdid, field_value(w, "nsid"), command, field_value(w, "status")]
         return F.when(fits, F.array(at, *[F.coalesce(x, F.lit("")) for x in given]))
 
-    at = event_time(line, event + ":")
-    return let(words(F.replace(ahead(tail, "cmd=("), F.lit(","), F.lit(" "))), cut)
+    given = words(F.replace(ahead(tail, "cmd=("), F.lit(","), F.lit(" ")))
+    # Lines of other events are not cut at all.
+    return F.when(tail.isNotNull(), let(F.struct(given.alias("w"), event_time(line, event + ":").alias("at")), cut))
 
 
 def ftrace_nvme(lines: DataFrame) -> DataFrame:

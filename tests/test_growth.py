@@ -139,3 +139,13 @@ def test_asof_join_without_what_nobody_reads(spark):
             assert {r["id"]: r["v"] for r in found.collect()} == want
             assert {r["id"]: (r["k"], r["at"], r["wide"]) for r in found.collect()} == {r["id"]: (r["k"], r["at"], r["wide"]) for r in left.collect()}
     assert plan(asof_join(left, right, ["k"], "at", "since", {"v": "v"}).select("id", "v")).count("wide") == 1  # in the table itself
+
+
+def test_command_lines_are_cut_once(spark, tmp_path):
+    rows = [(k, f"2024-01-01 00:{k:02d}:00", k // 8, "view", 1.0) for k in range(16)]
+    rows = spark.createDataFrame(rows, "event_id long, at string, user_id long, event_type string, value double")
+    rows.select("event_id", F.to_timestamp("at").alias("ts"), "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    found = REGISTRY["nvme_command_pairs"].build(Tables(spark, str(tmp_path)))
+    assert "lambda" not in plan(found)
+    # Four set-ups are followed by their completions, four minutes later.
+    assert sorted((r["event_id"], r["lat_ns"]) for r in found.collect()) == [(k, 4 * 60 * 10**9) for k in (4, 5, 6, 7, 12, 13, 14, 15)]
