@@ -189,6 +189,37 @@ def test_blocks_of_nearest(spark):
             assert r["vec_id"] == s.argmax()
 
 
+def test_codes_of_nearest_leave_few_rows(spark):
+    """Of 2,000 rows a query reranks those that may reach its k-th best: a few times k, not a share of the table."""
+    x = np.random.default_rng(10).standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes = rabitq.index(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    codes = codes.select("vec_id", "norm", "a").orderBy("vec_id").toPandas()
+    spread = (codes["norm"] * np.sqrt(1 - codes["a"] ** 2) / codes["a"] / np.sqrt(63) * rabitq.SURE).to_numpy()
+    for q in range(0, 2000, 100):
+        s = np.delete(x @ x[q], q)
+        assert (s + np.delete(spread, q) >= np.sort(s)[-20]).sum() <= 80
+
+
+def test_lengths_of_nearest(spark, monkeypatch):
+    """Lengths far beyond single precision, an odd number of components, and blocks that grow with the table."""
+    rng = np.random.default_rng(11)
+    for scale in (1e-120, 1.0, 1e30, 1e120):
+        x = rng.standard_normal((400, 7)) * scale * rng.choice([1e-3, 1.0, 1e3], (400, 1))
+        frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        codes = rabitq.pin(rabitq.index(frame))
+        for blocks in (64, 3):
+            monkeypatch.setattr(rabitq, "BLOCKS", blocks, raising=False)
+            got: dict[int, list[int]] = {}
+            for r in rabitq.search(codes, codes.where("vec_id % 40 = 0"), 5, block=90).orderBy("query_id", "rank").collect():
+                got.setdefault(r["query_id"], []).append(r["vec_id"])
+            assert sorted(got) == list(range(0, 400, 40))
+            for q, found in got.items():
+                s = x @ x[q]
+                s[q] = -np.inf
+                assert found == list(np.argsort(-s)[:5])
+
+
 def test_top_k(spark):
     rng = random.Random(9)
     centres = [rng.getrandbits(64) for _ in range(5)]
